@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 
 #: Items held by one index; larger sets are searched in blocks of this many.
 ITEMS_PER_INDEX = 20_000
+#: Share of any item's weight that its most frequent terms may hold to count as common.
+COMMON_SHARE = 0.3
+#: Items in a block whose largest weights bound it.
+ITEM_BLOCK = 4
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORDS = re.compile(rb"[a-z0-9\x80-\xff]+").findall
 
@@ -37,6 +41,12 @@ class Index:
     block_last: list[list[int]] = field(default_factory=list)
     block_max: list[list[float]] = field(default_factory=list)
     most: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    rare: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    # Per rare term the blocks of ITEM_BLOCK items that hold it and its largest weight in each, end to end.
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, "int64"))
+    blocks: np.ndarray = field(default_factory=lambda: np.zeros(0, "int64"))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    common: np.ndarray = field(default_factory=lambda: np.zeros(0))  # most that common terms give an item of each block
     items: list[tuple[int, list[bytes], list[bytes], list[bytes]]] = field(default_factory=list)
     longest: int = 1
 
@@ -65,9 +75,51 @@ def build_index(items: list[tuple[int, str | None, str | None]], idf: dict[bytes
         ix.block_last.append([ids[min(i + block, len(ids)) - 1] for i in range(0, len(ids), block)])
         ix.block_max.append([max(weights[i : i + block]) for i in range(0, len(ids), block)])
     ix.most = np.array([max(w) for _, w in ix.postings] + [0.0])
+    # Terms in many items are common while no item has more than COMMON_SHARE of its weight in them.
+    rare, mass, n_items = np.ones(len(ix.postings) + 1, bool), np.zeros(max(1, len(ix.items))), len(ix.items)
+    rare[-1] = False  # stands for words of no item
+    for t in sorted(range(len(ix.postings)), key=lambda t: -len(ix.postings[t][0])):
+        ids, weights = ix.postings[t]
+        if (mass[ids] + weights).max() > COMMON_SHARE:
+            break
+        mass[ids] += weights
+        rare[t] = False
+    ix.rare = rare
+    n_blocks = max(1, -(-n_items // ITEM_BLOCK))
+    ix.common = np.pad(mass, (0, n_blocks * ITEM_BLOCK - len(mass))).reshape(n_blocks, ITEM_BLOCK).max(1)
+    first, blocks, tops = [0], [], []
+    for t, (ids, weights) in enumerate(ix.postings):
+        if rare[t]:
+            top: dict[int, float] = {}
+            for i, w in zip(ids, weights, strict=True):
+                top[i // ITEM_BLOCK] = max(top.get(i // ITEM_BLOCK, 0.0), w)
+            blocks += top
+            tops += top.values()
+        first.append(len(blocks))
+    ix.first, ix.blocks, ix.weights = np.array(first), np.array(blocks, "int64"), np.array(tops)
     return ix
 
 
+def passages_to_search(ix: Index, ids: np.ndarray, threshold: float) -> np.ndarray:
+    """Numbers of the passages for which the block maxima of some block could add up to the threshold.
+
+    ``ids`` are a text's term numbers. Passage k has the bins k and k + 1 of ``longest`` words. All passages
+    and blocks are summed at once, each distinct term once for each bin.
+    """
+    bins, terms_, n_blocks = -(-len(ids) // ix.longest), len(ix.rare), len(ix.common)
+    hit = np.flatnonzero(ix.rare[ids])
+    key = np.unique(hit // ix.longest * terms_ + ids[hit])
+    b, t = np.divmod(key, terms_)
+    n = ix.first[t + 1] - ix.first[t]
+    at = np.repeat(ix.first[t] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, "int64")
+    total = np.bincount(np.repeat(b, n) * n_blocks + ix.blocks[at], ix.weights[at], (bins + 1) * n_blocks).reshape(bins + 1, n_blocks)
+    upper = total[:-1] + total[1:] + ix.common
+    could = (upper >= threshold - 1e-9).any(1)
+    if bins > 1:
+        could[-1] = False  # the last bin lies in the passage before
+    return np.flatnonzero(could)
+
+
 def block_max_wand(ix: Index, query: list[int], threshold: float, block: int = 32) -> list[tuple[int, float]]:
     """Every item whose score from the distinct query terms reaches the threshold.
 
@@ -138,8 +190,8 @@ def search_text(ix: Index, text: bytes | None, threshold: float, least_overlap:
     """(item_id, score, question_overlap, answer_overlap) of the leaked items of one whole text.
 
     Passages have twice the longest item's length and overlap by half, so every run as long as
-    an item lies inside one. A passage is searched only if the largest weights of its distinct
-    terms could reach the threshold, which running sums tell for all passages at once.
+    an item lies inside one. A passage is searched only if the block maxima allow a hit (see
+    ``passages_to_search``).
     """
     words = terms(text)
     if not words or not ix.items:
@@ -147,16 +199,11 @@ def search_text(ix: Index, text: bytes | None, threshold: float, least_overlap:
     none = len(ix.postings)
     get = ix.vocabulary.get
     ids = np.fromiter((get(w, none) for w in words), "int64", len(words))
-    size, step = 2 * ix.longest, ix.longest
-    gain = np.concatenate(([0.0], np.cumsum(ix.most[ids])))
-    starts = np.arange(0, max(1, len(words) - size + step), step)
-    ends = np.minimum(starts + size, len(words))
     best: dict[int, tuple[float, float, float]] = {}
-    for s, e in zip(starts[(could := gain[ends] - gain[starts] >= threshold - 1e-9)], ends[could], strict=True):
+    for k in passages_to_search(ix, ids, threshold).tolist():
+        s, e = k * ix.longest, min((k + 2) * ix.longest, len(words))
         query = np.unique(ids[s:e])
         query = query[query < none].tolist()
-        if float(ix.most[query].sum()) < threshold:
-            continue
         for n, score in block_max_wand(ix, query, threshold):
             item_id, q, a, _ = ix.items[n]
             passage = words[s:e]
