@@ -1,8 +1,8 @@
 """Quality classifier: regularised quadratic discriminant over document statistics.
 
-The statistics are plain column expressions of the whole text, the fit is one aggregation of
-class sums and cross products, and the score is a column expression again: each class's
-log density from its cached Cholesky factor.
+The statistics are counts over the bytes, words and lines of the whole text. The fit is one aggregation of
+class sums and cross products, and a score compares the classes' log densities, each from its
+cached Cholesky factor.
 """
 
 from __future__ import annotations
@@ -10,39 +10,44 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bucket_of, materialize, text_or_empty
+from .common import bucket_of, materialize
 
 #: Characters counted apart; their shares of a text are features.
-MARKS = {"symbols": "#$%&*@^~=<>{}[]\\", "bars": "|_/+", "shouts": "!?", "stops": ".,;:"}
+MARKS = {"symbols": b"#$%&*@^~=<>{}[]\\", "bars": b"|_/+", "shouts": b"!?", "stops": b".,;:", "digits": b"0123456789", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+FEATURES = ["chars", "word_len", "line_len", *MARKS, "variety", "line_variety"]
+_CLASSES = np.zeros((256, len(MARKS)))
+for _k, _chars in enumerate(MARKS.values()):
+    _CLASSES[list(_chars), _k] = 1.0
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Transformed statistics of a text: logarithms of sizes, square roots of shares."""
-    n = F.length(text)
-    per = lambda part, whole: F.sqrt(F.greatest(part, F.lit(0)) / F.greatest(whole, F.lit(1)))
-    without = lambda chars: n - F.length(F.translate(text, chars, ""))
-    words = F.size(F.split(text, BLANKS, -1))
-    lines = F.size(F.split(text, "\n", -1))
-    out = {"chars": F.log1p(n), "word_len": F.log1p(n / words), "line_len": F.log1p(n / lines)}
-    out |= {k: per(without(v), n) for k, v in MARKS.items()}
-    out["digits"] = per(without("0123456789"), n)
-    out["upper"] = per(without("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), n)
-    halves = F.array_distinct(F.split(text, BLANKS, -1))
-    out["variety"] = per(F.size(halves), words)
-    out["line_variety"] = per(F.size(F.array_distinct(F.split(text, "\n", -1))), lines)
-    return out
+def statistics(text: bytes | None) -> list[float]:
+    """Transformed statistics of a text, in the order of ``FEATURES``: logarithms of sizes, square roots of shares.
 
-
-FEATURES = ["chars", "word_len", "line_len", *MARKS, "digits", "upper", "variety", "line_variety"]
+    A null text counts as empty, and an empty text has finite values.
+    """
+    text = text or b""
+    counts = np.bincount(np.frombuffer(text, "u1"), minlength=256)
+    n = max(1, int(counts.sum() - counts[0x80:0xC0].sum()))  # code points
+    words, lines = text.split(), text.split(b"\n")
+    n_words = max(1, len(words))
+    sizes = [np.log1p(n), np.log1p(n / n_words), np.log1p(n / len(lines))]
+    return [*sizes, *np.sqrt(counts @ _CLASSES / n), np.sqrt(len(set(words)) / n_words), np.sqrt(len(set(lines)) / len(lines))]
 
 
 def featurize(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, f_...) of each row; a null text counts as empty, and an empty text has finite values."""
-    stats = statistics(F.col("__t"))
-    return docs.select("doc_id", text_or_empty(text).alias("__t")).select("doc_id", *(stats[k].cast("double").alias(f"f_{k}") for k in FEATURES))
+    """(doc_id, f_...) of each row."""
+
+    def count(batches):
+        for b in batches:
+            x = np.array([statistics(t.as_py()) for t in b.column(1).cast(pa.binary())]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, j]) for j in range(x.shape[1]))], ["doc_id", *(f"f_{k}" for k in FEATURES)])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col(text).cast("string").alias("text")).mapInArrow(count, f"doc_id {kind}, " + ", ".join(f"f_{k} double" for k in FEATURES))
 
 
 @dataclass(frozen=True)
@@ -55,15 +60,13 @@ class Quadratic:
     logdet: tuple[float, float]
     slope: float = 1.0
 
-    def score(self, x: list[Column]) -> Column:
-        """Probability of class 1: the logistic function of the difference of log densities."""
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Probability of class 1 of each row: the logistic function of the difference of log densities."""
         density = []
         for c in (0, 1):
-            z = [sum((F.lit(w) * (x[j] - F.lit(self.mean[c][j])) for j, w in enumerate(row[: i + 1])), F.lit(0.0)) for i, row in enumerate(self.whiten[c])]
-            far = sum((v * v for v in z), F.lit(0.0))
-            density.append(F.lit(self.prior[c] - 0.5 * self.logdet[c]) - 0.5 * far)
-        gap = F.greatest(F.least(self.slope * (density[1] - density[0]), F.lit(500.0)), F.lit(-500.0))
-        return 1.0 / (1.0 + F.exp(-gap))
+            z = (x - np.array(self.mean[c])) @ np.array(self.whiten[c]).T
+            density.append(self.prior[c] - 0.5 * self.logdet[c] - 0.5 * (z * z).sum(1))
+        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * (density[1] - density[0]), -500.0, 500.0)))
 
 
 def fit(featured: DataFrame, labels: DataFrame, label: str, train: Column, shrink: float = 0.1, slope: float = 1.0) -> Quadratic:
@@ -111,22 +114,30 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
     featured = materialize(featurize(docs), "statistics")
     held = bucket_of(F.col("doc_id"), fold[0]) == fold[1]
     model = fit(featured, labels, label, ~held)
-    scored = featured.select("doc_id", held.alias("held_out"), model.score([F.col(f"f_{k}") for k in FEATURES]).alias("score"))
-    return scored.select("*", (F.col("score") >= least).cast("int").alias("predicted"))
+
+    def rate(batches):
+        for b in batches:
+            x = np.stack([b.column(2 + j).to_numpy(zero_copy_only=False) for j in range(len(FEATURES))], 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.score(x))], ["doc_id", "held_out", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = featured.select("doc_id", held.alias("held_out"), *(f"f_{k}" for k in FEATURES))
+    return rows.mapInArrow(rate, f"doc_id {kind}, held_out boolean, score double").select("*", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: tuple[int, int] = (4, 2), least: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, all columns unchanged.
 
-    The model is fitted on the statistics of labelled rows only; the score is then computed
-    beside each row, so no text is shuffled.
+    The statistics for the fit are one pass over the texts, the decision another, beside the rows
+    themselves, so no text is shuffled.
     """
-    known = labels.where(F.col(label).isin(0, 1)).select("doc_id").distinct()
     held = bucket_of(F.col("doc_id"), fold[0]) == fold[1]
-    featured = featurize(docs.where(~held))
-    model = fit(featured.join(known, "doc_id", "left_semi"), labels, label, F.lit(True))
-    # The lambda holds the statistics as one value: a filter on a plain column would be pushed
-    # below the projection with a copy of each statistic for each use.
-    stats = statistics(text_or_empty())
-    held_once = F.array(F.struct(*(stats[k].cast("double").alias(k) for k in FEATURES)))
-    return docs.where(F.get(F.transform(held_once, lambda x: model.score([x[k] for k in FEATURES])), F.lit(0)) >= least)
+    model = fit(featurize(docs), labels, label, ~held)
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        for b in batches:
+            x = np.array([statistics(t.as_py()) for t in b.column(at).cast(pa.binary())]).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(model.score(x) >= least))
+
+    return docs.mapInArrow(keep, docs.schema)
