@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,6 +48,11 @@ DENYING = ("fake news", "rumour", "denies reports", "no waterlogging", "traffic
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def clean_html(c: Column) -> Column:
     """Text of a page: no scripts, styles or tags, entities resolved, blanks collapsed."""
     out = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ")
@@ -57,11 +64,10 @@ def clean_html(c: Column) -> Column:
 
 def canonical_url(c: Column) -> Column:
     """Scheme and host in lower case, tracking parameters, fragment and final slash dropped."""
-    scheme, host, path, query = (F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)\??([^#]*)", i) for i in range(1, 5))
-    tracking = r"^(utm_|fbclid|gclid|ref|mc_)"
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(tracking)), "&")
-    out = F.concat(F.lower(scheme), F.lit("://"), F.lower(host), F.regexp_replace(path, "/+$", ""))
-    return F.when(kept != "", F.concat(out, F.lit("?"), kept)).otherwise(out)
+    part = lambda i: F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)\??([^#]*)", i)
+    kept = F.array_join(F.filter(F.split(part(4), "&"), lambda p: (p != "") & ~p.rlike(r"^(utm_|fbclid|gclid|ref|mc_)")), "&")
+    out = F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), F.regexp_replace(part(3), "/+$", ""))
+    return F.concat(out, let(kept, lambda k: F.when(k != "", F.concat(F.lit("?"), k)).otherwise("")))
 
 
 def words(c: Column) -> Column:
@@ -109,14 +115,17 @@ def text_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def keyword_class(c: Column, keywords: dict[str, tuple[str, ...]] | None = None) -> Column:
     """The class whose keywords score highest: phrases 3, whole words 1; the first of equals, OTHER without a hit."""
-    text = F.lower(F.coalesce(c, F.lit("")))
-    scores = []
-    for n, (name, words_) in enumerate((keywords or KEYWORDS).items()):
-        hit = lambda w: text.contains(w) if " " in w else text.rlike(rf"(?U)(\b|^){w}(\b|$)")
-        total = sum((F.when(hit(w), 3.0 if " " in w else 1.0).otherwise(0.0) for w in words_), F.lit(0.0))
-        scores.append(F.struct(total.alias("score"), F.lit(-n).alias("order"), F.lit(name).alias("name")))
-    best = F.array_max(F.array(*scores))
-    return F.when(best["score"] > 0, best["name"]).otherwise("OTHER")
+
+    def best(text: Column) -> Column:
+        scores = []
+        for n, (name, words_) in enumerate((keywords or KEYWORDS).items()):
+            hit = lambda w: text.contains(w) if " " in w else text.rlike(rf"(?U)(\b|^){w}(\b|$)")
+            total = reduce(lambda a, b: a + b, (F.when(hit(w), 3.0 if " " in w else 1.0).otherwise(0.0) for w in words_))
+            scores.append(F.struct(total.alias("score"), F.lit(-n).alias("order"), F.lit(name).alias("name")))
+        return F.array_max(F.array(*scores))
+
+    found = let(F.lower(F.coalesce(c, F.lit(""))), best)
+    return let(found, lambda x: F.when(x["score"] > 0, x["name"]).otherwise("OTHER"))
 
 
 def mentions(c: Column, phrases: tuple[str, ...]) -> Column:
