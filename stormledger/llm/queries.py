@@ -69,5 +69,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pii, op2_warc, op3_mixing, op4_suffix, op5_toxicity, op6_substring, op7_quality, op8_decontamination, op9_simhash, op10_neardup)}
 
 
+_OP2 = """WITH p AS (SELECT page_id, COALESCE(html, '') AS h FROM pages), d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS x FROM p),
+ g AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS lead_ FROM d),
+ c AS (SELECT *, list_transform(range(8), lambda k: ('0x' || substr(x, CAST(1 + 5 * k AS INTEGER), 5))::UBIGINT) AS v FROM g)
+ SELECT page_id, payload_bytes, array_to_string(list_transform(v, lambda n: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((n // (1 << s)) % 32 AS INTEGER) + 1, 1)), '')), '') AS payload_digest,
+ CASE WHEN page_id = lead_ THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> lead_ THEN lead_ END AS refers_to FROM c"""
+
+# Windows that start in an earlier place again; a unit is removed if the last such window that starts at or before it reaches it.
+_OP4 = """WITH t AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h FROM documents), b AS (SELECT doc_id, h, length(h) // 2 AS n FROM t),
+ piece AS (SELECT doc_id, 500 * k AS o, substr(h, CAST(1000 * k + 1 AS INTEGER), 1198) AS p FROM (SELECT doc_id, h, unnest(range(0, n // 500 + 1)) AS k FROM b WHERE n >= 100)),
+ w AS (SELECT doc_id, o + i AS i, md5_number(substr(p, CAST(2 * i + 1 AS INTEGER), 200)) AS s FROM (SELECT *, unnest(range(0, greatest(0, length(p) // 2 - 99))) AS i FROM piece)),
+ later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM w) WHERE r > 1),
+ marks AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM later),
+ runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marks) GROUP BY doc_id, k),
+ gaps AS (SELECT doc_id, a, z, COALESCE(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before_ FROM runs),
+ kept AS (SELECT g.doc_id, string_agg(substr(h, CAST(2 * before_ + 1 AS INTEGER), CAST(2 * (a - before_) AS INTEGER)), '' ORDER BY a) || substr(any_value(h), CAST(2 * max(z) + 1 AS INTEGER)) AS h, sum(z - a) AS removed, count(*) AS spans FROM gaps g JOIN b ON b.doc_id = g.doc_id GROUP BY 1)
+ SELECT b.doc_id, n AS n_bytes, CAST(COALESCE(removed, 0) AS BIGINT) AS n_removed, COALESCE(spans, 0) AS n_spans, sha256(unhex(COALESCE(k.h, b.h))) AS kept_sha256 FROM b LEFT JOIN kept k ON k.doc_id = b.doc_id"""
+
+_OP6 = r"""WITH t AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t WHERE len(w) >= 20)),
+ later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS r FROM s) WHERE r > 1),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later),
+ words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t),
+ kept AS (SELECT words.doc_id, string_agg(x, ' ' ORDER BY words.i) FILTER (gone.i IS NULL) AS k, count(gone.i) AS n FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.i = words.i GROUP BY 1)
+ SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n, 0) AS n_removed, sha256(COALESCE(k, '')) AS kept_sha256 FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL with the same rows, where SQL has the operations: XXH64 and fitted models it has not."""
+    return {"op2_warc": _OP2, "op4_suffix": _OP4, "op6_substring": _OP6}
