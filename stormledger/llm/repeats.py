@@ -30,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text worked on at once, and bytes of super-k-mers held before they are sent.
+#: Bytes of text whose hashes are scanned at once (so that they stay in a core's cache), and bytes of text that make a batch.
+SCAN = 1 << 18
 CHUNK = 1 << 20
+#: Bytes of super-k-mers whose windows are compared together.
+RESOLVE = 1 << 15
 #: Buckets for each shuffle partition.
-BUCKETS = 8
+BUCKETS = 2
 #: Ids from here on stand for null ids, after all others: one for each text (by its hash).
 NULL_IDS = (1 << 63) - 1 - (1 << 40)
 _BASE = 0x9E3779B97F4A7C15
@@ -43,7 +46,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     if base not in _POWERS or len(_POWERS[base]) < n:
-        x = np.full(max(n, CHUNK), base, "u8")
+        x = np.full(max(n, 2 * SCAN), base, "u8")
         x[0] = 1
         _POWERS[base] = np.cumprod(x, dtype="u8")
     return _POWERS[base][:n]
@@ -129,7 +132,7 @@ def chunks(units: Units, rows: Iterator[tuple[int, bytes]]) -> Iterator[Chunk]:
         for offset, piece in units.cut(text, 4 * CHUNK) if len(text) > 4 * CHUNK else [(0, text)]:
             held.append((doc, offset, piece))
             size += len(piece)
-            if size >= CHUNK:
+            if size >= SCAN:
                 yield Chunk(units, held)
                 held, size = [], 0
     if held:
@@ -161,30 +164,38 @@ def _repeated_hashes(texts: DataFrame, units: Units, parts: int) -> DataFrame:
     names = "bucket id hashes marks base docs"
     schema = "bucket long, id long, hashes binary, marks binary, base long, docs binary"
 
+    def asked(h, doc):
+        order = np.argsort(h, kind="stable")
+        h, doc = h[order], doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        which = np.cumsum(new) - 1
+        twice = np.bincount(which, minlength=int(new.sum())) > 1
+        known = twice[which]
+        kd, kh = doc[known], h[known]
+        by = np.argsort(kd, kind="stable")
+        kd, kh = kd[by], kh[by]
+        rows = [(int(d) % buckets, int(d), np.unique(kh[s]).tobytes(), None, None, None) for d, s in _groups(kd)]
+        h, doc = h[new], doc[new]
+        bucket = (h % np.uint64(buckets)).astype("i8")
+        by = np.argsort(bucket, kind="stable")
+        h, doc, twice = h[by], doc[by], twice[by]
+        for k, s in _groups(bucket[by]):
+            base = int(doc[s].min())
+            away = doc[s] - base
+            rows.append((int(k), None, h[s].tobytes(), twice[s].tobytes(), base, away.astype(np.min_scalar_type(int(away.max()))).tobytes()))
+        return _packed(rows, names, kinds)
+
     def ask(batches):
+        held, size = [], 0
         for c in chunks(units, _texts(batches)):
-            order = np.argsort(c.hash, kind="stable")
-            h, doc = c.hash[order], c.doc[c.piece[order]]
-            new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
-            which = np.cumsum(new) - 1
-            twice = np.bincount(which, minlength=new.sum()) > 1 if len(h) else np.zeros(0, bool)
-            rows = []
-            known = twice[which] if len(h) else np.zeros(0, bool)
-            kd, kh = doc[known], h[known]
-            by = np.argsort(kd, kind="stable")
-            for d, s in _groups(kd[by]):
-                rows.append((int(d) % buckets, int(d), np.unique(kh[by][s]).tobytes(), None, None, None))
-            h, doc = h[new], doc[new]
-            bucket = (h % np.uint64(buckets)).astype("i8")
-            by = np.argsort(bucket, kind="stable")
-            for k, s in _groups(bucket[by]):
-                d = doc[by][s]
-                base = int(d.min())
-                away = d - base
-                rows.append((int(k), None, h[by][s].tobytes(), twice[by][s].tobytes(), base, away.astype(np.min_scalar_type(int(away.max()))).tobytes()))
-            if rows:
-                yield _packed(rows, names, kinds)
+            held.append((c.hash, c.doc[c.piece]))
+            size += len(c.raw)
+            if size >= CHUNK:
+                yield asked(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+        if held:
+            yield asked(*map(np.concatenate, zip(*held, strict=True)))
 
     def answer(batches):
         key, held = None, []
@@ -223,8 +234,8 @@ def _repeated_hashes(texts: DataFrame, units: Units, parts: int) -> DataFrame:
                 yield _packed(replies, "id hashes", [pa.int64(), pa.binary()])
         yield from flush()
 
-    asked = texts.mapInArrow(ask, schema).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return asked.mapInArrow(answer, "id long, hashes binary").groupBy("id").agg(F.collect_list("hashes").alias("hashes"))
+    dealt = texts.mapInArrow(ask, schema).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(answer, "id long, hashes binary").groupBy("id").agg(F.collect_list("hashes").alias("hashes"))
 
 
 def repeated_ranges(texts: DataFrame, units: Units, parts: int) -> DataFrame:
@@ -301,7 +312,7 @@ def repeated_ranges(texts: DataFrame, units: Units, parts: int) -> DataFrame:
                 if k != key:
                     close()
                     key = k
-                    if size > CHUNK // 4:
+                    if size > RESOLVE:
                         resolved()
                 mine, had = (doc, start), held.get(content)
                 if had is None:
@@ -344,7 +355,8 @@ def without_repeats(docs: DataFrame, units: Units, report: Callable[[bytes, list
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.select(F.coalesce("id", F.lit(NULL_IDS) + F.pmod(F.xxhash64("text"), F.lit(1 << 40))).alias("id"), "text")
+    # The last literal tells the planner that ids are never null, so both joins share one shuffle of the texts.
+    texts = texts.select(F.coalesce("id", F.lit(NULL_IDS) + F.pmod(F.xxhash64("text"), F.lit(1 << 40)), F.lit(0)).alias("id"), "text")
     ranges = repeated_ranges(texts, units, parts)
     ranges = ranges.groupBy(F.col("id").alias("__range")).agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 

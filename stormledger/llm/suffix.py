@@ -25,24 +25,31 @@ def suffix_array(text: list[int]) -> list[int]:
     """
     n = len(text)
     order = sorted(range(n), key=text.__getitem__)
-    place, group = [0] * n, [0] * n
+    place, group, end = [0] * n, [0] * n, [0] * n  # end: the last place of the group that starts there
     start = 0
     for i, s in enumerate(order):
         if i and text[s] != text[order[i - 1]]:
             start = i
-        place[s], group[s] = i, start
-    end = {}  # the last place of each group
-    for s in order:
-        end[group[s]] = place[s]
+        place[s], group[s], end[start] = i, start, i
     prev = [-1] * n
     last = n - 1
     while last >= 0:
         start = group[order[last]]
-        members = order[start : last + 1]
-        if len(members) > 1:
-            members.sort()
+        if start == last:  # a group of one, as most are
+            s = order[last]
+            p = s - 1
+            while p >= 0 and group[p] >= start:
+                p = prev[p]
+            prev[s] = p
+            if p >= 0 and (stop := end[g := group[p]]) != g:
+                q, i = order[stop], place[p]
+                order[i], place[q] = q, i
+                order[stop], place[p], group[p] = p, stop, stop
+                end[g], end[stop] = stop - 1, stop
+            last -= 1
+            continue
         counts: dict[int, int] = {}
-        for s in members:
+        for s in sorted(order[start : last + 1]):
             p = s - 1
             while p >= 0 and group[p] >= start:
                 p = prev[p]
@@ -61,27 +68,25 @@ def suffix_array(text: list[int]) -> list[int]:
                 fresh = stop - len(those) + 1
                 if fresh == g:  # the whole group moves, and so stays
                     continue
-                at = fresh
-                those_set = set(those)
-                holes = [place[p] for p in those if place[p] < fresh]
-                fill = [order[i] for i in range(fresh, stop + 1) if order[i] not in those_set]
-                for hole, s in zip(holes, fill, strict=True):
-                    order[hole], place[s] = s, hole
-                for p in those:
+                at = stop
+                for p in those:  # swapped with the last of what is left of the group
+                    q, i = order[at], place[p]
+                    order[i], place[q] = q, i
                     order[at], place[p], group[p] = p, at, fresh
-                    at += 1
+                    at -= 1
                 end[g], end[fresh] = fresh - 1, stop
         last = start - 1
-    free = {}
-    out, done = [-1] * n, [False] * n
-    out[0], done[n - 1] = n - 1, True
-    free[group[n - 1]] = 1
+    free = list(range(n))
+    out = [-1] * n
+    out[0], done = n - 1, [False] * n
+    done[n - 1] = True
+    free[group[n - 1]] += 1
     for i in range(n):
         j = out[i] - 1
         while j >= 0 and not done[j]:
             g = group[j]
-            at = free.get(g, g)
-            out[at], done[j], free[g] = j, True, at + 1
+            out[free[g]], done[j] = j, True
+            free[g] += 1
             j = prev[j]
     return out
 
@@ -103,17 +108,33 @@ class ByteUnits:
         return grams, starts, starts + 1, edges
 
     def resolve(self, contents: list[bytes], owners: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
-        k = len(contents)
+        # Only strings whose hash occurs twice can repeat: contents are cut to the span of those.
+        data = np.frombuffer(b"".join(contents) + b"\0" * self.width, "u1")
+        sizes = np.array([len(c) for c in contents])
+        base = np.cumsum(sizes) - sizes
+        count = sizes - self.width + 1
+        owner = np.repeat(np.arange(len(contents)), count)
+        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        starts = base[owner] + inner
+        _, which, times = np.unique(run_hashes(data, starts, starts + self.width), return_inverse=True, return_counts=True)
+        again = times[which] > 1
+        owner, inner = owner[again], inner[again]
+        if not len(owner):
+            return
+        kept, at = np.unique(owner, return_index=True)
+        low, high = inner[at], inner[np.append(at[1:], len(owner)) - 1]
+        pieces = [contents[i][a : b + self.width] for i, a, b in zip(kept.tolist(), low.tolist(), high.tolist(), strict=True)]
+        k = len(pieces)
         text: list[int] = []
         first = []
-        for i, c in enumerate(contents):  # each ends with a symbol of its own, smaller than any byte
+        for i, c in enumerate(pieces):  # each ends with a symbol of its own, smaller than any byte
             first.append(len(text))
-            text += [b + k for b in c]
+            text += [b + k + 1 for b in c]
             text.append(k - i)
-        text = [x + 1 for x in text] + [0]
-        data = np.frombuffer(b"\0".join(contents) + b"\0" * (self.width + 2), "u1")
+        text.append(0)
+        data = np.frombuffer(b"\0".join(pieces) + b"\0" * (self.width + 2), "u1")
         first = np.array(first)
-        sizes = np.array([len(c) for c in contents])
+        sizes = np.array([len(c) for c in pieces])
         sa = np.array(suffix_array(text))
         which = np.searchsorted(first, sa, "right") - 1
         inside = sa - first[which]
@@ -127,8 +148,10 @@ class ByteUnits:
             b = min(len(sa), a + 20_000)
             same[a:b] = (view[sa[a:b]] == view[sa[a - 1 : b - 1]]).all(1)
         string = np.cumsum(~same)
-        doc = np.array([d for d, _ in owners], "i8")[which]
-        place = np.array([p for _, p in owners], "i8")[which] + inside
+        doc = np.array([d for d, _ in owners], "i8")[kept[which]]
+        inside = inside + low[which]
+        place = np.array([p for _, p in owners], "i8")[kept[which]] + inside
+        which = kept[which]
         by = np.lexsort((place, doc, string))
         head = np.ones(len(by), bool)
         head[1:] = string[by[1:]] != string[by[:-1]]

@@ -86,7 +86,8 @@ def test_repeats_of_made_texts(spark, seed, monkeypatch):
     rng = random.Random(seed)
     words = patchwork(rng, 120, [f"w{k}" for k in range(40)] + ["é", "a"], " ")
     words |= {1000: "loop " * 400, 1001: " \n ", 1002: "", 1003: "loop " * 30 + "end"}
-    monkeypatch.setattr(repeats, "CHUNK", 3000)
+    for name in ("SCAN", "CHUNK", "RESOLVE"):
+        monkeypatch.setattr(repeats, name, 3000)
     docs = spark.createDataFrame(list(words.items()), SCHEMA).repartition(5)
     check_words(docs, 20, words)
     check_words(docs, 5, words)
