@@ -20,8 +20,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str):
         return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(k) for k in (*pii.BASE, "iban")]
-    return found.select("doc_id", *counts[:4], F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(spans).alias("spans"), counts[4])
+    counts = {k: count(k) for k in pii.PATTERNS}
+    extra = [counts[k] for k in pii.PATTERNS if k not in pii.BASE]
+    best = F.array_max(F.transform(spans, lambda s: s["score"])).alias("best_score")
+    return found.select("doc_id", *(counts[k] for k in pii.BASE), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(spans).alias("spans"), *extra, best)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
