@@ -58,19 +58,27 @@ def parse_head(head: bytes) -> dict[str, str]:
 
 
 def inflate(data: bytes, chunk: int = 1 << 18) -> Iterator[bytes]:
-    """The contents of a gzip file of any number of members, once through, in pieces of bounded size."""
-    rest = data
-    while rest:
-        d = zlib.decompressobj(31)
-        feed = rest
+    """The contents of a gzip file of any number of members, once through, in pieces of bounded size.
+
+    The file is fed in slices, and each slice once, so time is linear in its size. Zeros between members are padding.
+    """
+    view, at = memoryview(data), 0
+    while at < len(view):
+        d, feed = zlib.decompressobj(31), b""
         while not d.eof:
+            if not feed and at < len(view):
+                feed = view[at : at + chunk]
+                at += len(feed)
+            last = not feed
             piece = d.decompress(feed, chunk)
+            feed = d.unconsumed_tail
             if piece:
                 yield piece
-            feed = d.unconsumed_tail
-            if not piece and not feed and not d.eof:
+            elif last and not d.eof:
                 raise ValueError("the archive ends inside a gzip member")
-        rest = d.unused_data.lstrip(b"\0")
+        at -= len(d.unused_data)
+        while at < len(view) and view[at] == 0:
+            at += 1
 
 
 def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -103,7 +111,8 @@ def gzip_member(data: bytes) -> bytes:
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, refers_to): of equal payloads of at least ``least_bytes`` bytes the largest
     page_id is the response and the others refer to it. A null html is an empty payload; a
-    null page_id refers to the response, if there is one with an id.
+    null page_id refers to the response, if there is one with an id. Rows that repeat the largest page_id
+    with the payload are responses all.
 
     Only digests are grouped. The payloads meet a table of repeated digests, which is
     broadcast only if its written size allows it.
@@ -170,13 +179,16 @@ def sidecar(normalised: DataFrame) -> DataFrame:
     return normalised.select("archive", F.explode("index").alias("x")).select("archive", "x.*")
 
 
-def read_records(normalised: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records, each member found by its offset.
+def read_records(archives: DataFrame, index: DataFrame, with_payload: bool = True) -> DataFrame:
+    """The records of archives (archive, data) that an index (see ``sidecar``) lists, each member found by its offset.
 
     (archive, offset, record_type, page_id, url, payload_bytes, payload_digest, refers_to, payload). A
     response's digest and size are taken from its payload, and must agree with its header; a
-    revisit has those of its header and a null payload.
+    revisit has those of its header and a null payload. An index of some members reads those alone. The index of one
+    archive is as long as the archive has records, and archives are closed at a size.
     """
+    lists = index.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("members"))
+    met = archives.select("archive", "data").join(lists, "archive").select("archive", "data", "members")
     names = ["archive", "offset", "record_type", "page_id", "url", "payload_bytes", "payload_digest", "refers_to", "payload"]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
@@ -185,9 +197,9 @@ def read_records(normalised: DataFrame, with_payload: bool = True) -> DataFrame:
 
     def read(batches):
         for b in batches:
-            for name, data, index in zip(*(b.column(i) for i in range(3)), strict=True):
+            for name, data, members in zip(*(b.column(i) for i in range(3)), strict=True):
                 rows, data = [], memoryview(data.as_py() or b"")
-                for x in index.as_py() or []:
+                for x in members.as_py():
                     raw = zlib.decompress(data[x["offset"] : x["offset"] + x["length"]], 31)
                     end = raw.find(b"\r\n\r\n")
                     head = parse_head(raw[:end])
@@ -202,10 +214,11 @@ def read_records(normalised: DataFrame, with_payload: bool = True) -> DataFrame:
                     rows.append((name.as_py(), x["offset"], head["warc-type"], number(head.get("x-page-id")), head.get("warc-target-uri"), size, said, number(head.get("x-refers-to-page-id")), payload if with_payload else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)], names)
 
-    return normalised.select("archive", "data", "index").mapInArrow(read, "archive string, offset long, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    return met.mapInArrow(read, "archive string, offset long, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Pages written as monolithic archives, normalised, and read back by index, without payloads."""
+    """Pages written as monolithic archives, normalised with an index beside them, and read back by the index, without payloads."""
     written = materialize(write_archives(with_revisits(pages, least_bytes)), "archives")
-    return read_records(materialize(normalise(written), "normalised"), with_payload=False)
+    made = materialize(normalise(written), "normalised")
+    return read_records(made, materialize(sidecar(made), "sidecar"), with_payload=False)
