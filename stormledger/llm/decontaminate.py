@@ -8,7 +8,7 @@ items: it is the share of the item's BM25 weight that the passage covers.
 from __future__ import annotations
 
 import heapq
-import math
+import pickle
 import re
 from dataclasses import dataclass, field
 
@@ -17,8 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items held by one index; larger sets are searched in blocks of this many.
-ITEMS_PER_INDEX = 20_000
+from .common import materialize
+
+#: Items, and bytes of their texts, that make one index; larger sets have several.
+ITEMS_PER_INDEX, BYTES_PER_INDEX = 20_000, 8 << 20
+#: Bytes of packed indexes that are broadcast together; the documents are read once for each such set.
+BROADCAST_BYTES = 128 << 20
 #: Share of any item's weight that its most frequent terms may hold to count as common.
 COMMON_SHARE = 0.3
 #: Items in a block whose largest weights bound it.
@@ -232,56 +236,88 @@ def with_parts(items: DataFrame, item_id: str = "item_id", text: str = "text", q
     return rows.where("item_id is not null").groupBy("item_id").agg(F.min(F.struct("question", "answer")).alias("x")).select("item_id", "x.question", "x.answer")
 
 
+def item_indexes(parts: DataFrame) -> DataFrame:
+    """(block, data): the packed indexes of all items (item_id, question, answer), each built in a task.
+
+    Document frequencies and the mean length are aggregated over all items; an item's weights travel with it.
+    """
+    spark = parts.sparkSession
+
+    def count(batches):
+        """(item_id, term) of the distinct terms of each item, and a row with an empty term for its length."""
+        for b in batches:
+            ids, found, sizes = [], [], []
+            for item_id, q, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                w = terms((q or "").encode()) + terms((a or "").encode())
+                for t in {*w, b""}:
+                    ids.append(item_id)
+                    found.append(t)
+                    sizes.append(len(w))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, "int64"), pa.array(found, pa.binary()), pa.array(sizes, "int64")], ["item_id", "term", "n"])
+
+    counted = materialize(parts.select("item_id", "question", "answer").mapInArrow(count, "item_id long, term binary, n long"), "terms")
+    every = counted.where("length(term) = 0").agg(F.count(F.when(F.col("n") > 0, 1)).alias("items"), F.sum("n").alias("words")).first()
+    size = parts.agg(F.count("*").alias("n"), F.sum(F.octet_length("question") + F.octet_length("answer")).alias("bytes")).first()
+    n, words = every["items"] or 0, every["words"] or 0
+    blocks = max(1, -(-size["n"] // ITEMS_PER_INDEX), -(-(size["bytes"] or 0) // BYTES_PER_INDEX))
+    mean = words / max(1, n)
+    frequency = counted.where("length(term) > 0").groupBy("term").agg(F.count("*").alias("k"))
+    idf = frequency.select("term", F.log(1 + (n - F.col("k") + 0.5) / (F.col("k") + 0.5)).alias("idf"))
+    per_item = counted.join(idf, "term").groupBy("item_id").agg(F.collect_list(F.struct("term", "idf")).alias("idfs"))
+    rows = parts.join(per_item, "item_id").select("item_id", "question", "answer", "idfs", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block"))
+
+    def build(key, pdf):
+        import pandas as pd
+
+        weights = {bytes(x["term"]): x["idf"] for row in pdf["idfs"] for x in row}
+        ix = build_index(list(zip(pdf["item_id"].tolist(), pdf["question"], pdf["answer"], strict=True)), weights, mean)
+        return pd.DataFrame({"block": [key[0]], "data": [pickle.dumps(vars(ix))]})
+
+    return materialize(rows.groupBy("block").applyInPandas(build, "block long, data binary"), "index") if n else spark.createDataFrame([], "block long, data binary")
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, least_overlap: float = 0.5, **columns) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every leak.
 
     Every passage of every whole text is searched. An item leaks into a document if a passage
     covers at least ``threshold`` of its BM25 weight and holds at least ``least_overlap`` of the
     5-grams of its question and of the 3-grams of its answer. Document frequencies and the mean
-    length are counted over all items. Items are searched in blocks of ``ITEMS_PER_INDEX``, so
-    what a task holds is bounded however large the benchmark is. Null or empty texts and
-    items have no leaks; rows that repeat an id are searched each.
+    length are counted over all items. The indexes are built in tasks (see ``item_indexes``) and broadcast in sets of a
+    checked size, however large the benchmark is. Null or empty texts and
+    items have no leaks, and neither has an empty table; rows that repeat an id are searched each.
     """
-    parts = with_parts(items, **columns)
-    rows = parts.orderBy("item_id").toLocalIterator()
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    frequency, count, total = {}, 0, 0
-    held: list[tuple[int, str, str]] = []
-    blocks = []
-    for r in rows:
-        w = terms((r["question"] or "").encode()) + terms((r["answer"] or "").encode())
-        count, total = count + bool(w), total + len(w)
-        for t in set(w):
-            frequency[t] = frequency.get(t, 0) + 1
-        held.append((r["item_id"], r["question"], r["answer"]))
-        if len(held) == ITEMS_PER_INDEX:
-            blocks.append(held)
-            held = []
-    blocks.append(held)
-    idf = {t: math.log(1 + (count - n + 0.5) / (n + 0.5)) for t, n in frequency.items()}
-    out = None
-    for block in blocks:
-        ix = docs.sparkSession.sparkContext.broadcast(build_index(block, idf, total / max(1, count)))
-
-        def search(batches, ix=ix):
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = (pa.int64(), pa.int64(), *[pa.float64()] * 3)
+    indexes = item_indexes(materialize(with_parts(items, **columns), "items"))
+    sets: list[list[int]] = []
+    held = BROADCAST_BYTES + 1
+    for r in indexes.select("block", F.octet_length("data").alias("n")).orderBy("block").collect():  # a row for each index
+        if held + r["n"] > BROADCAST_BYTES:
+            sets.append([])
+            held = 0
+        sets[-1].append(r["block"])
+        held += r["n"]
+    out = spark.createDataFrame([], schema)
+    for blocks in sets:
+        shared = spark.sparkContext.broadcast([bytes(r["data"]) for r in indexes.where(F.col("block").isin(blocks)).select("data").collect()])
+
+        def search(batches, shared=shared):
+            held = [Index(**pickle.loads(x)) for x in shared.value]
             for b in batches:
-                found = [[], [], [], [], []]
-                ids = b.column(0).to_pylist()
-                for doc_id, text in zip(ids, b.column(1).cast(pa.binary()), strict=True):
-                    for leak in search_text(ix.value, text.as_py(), threshold, least_overlap):
-                        for column, x in zip(found, (doc_id, *leak), strict=True):
-                            column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, (pa.int64(), pa.int64(), *[pa.float64()] * 3), strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                found = []
+                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
+                    found += [(doc_id, *leak) for ix in held for leak in search_text(ix, text.as_py(), threshold, least_overlap)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], names)
 
         part = texts.mapInArrow(search, schema)
-        out = part if out is None else out.unionByName(part)
+        out = part if blocks is sets[0] else out.unionByName(part)
     return out
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents into which no item leaked, all columns unchanged. Rows with a null id stay."""
-    from .common import materialize
-
     gone = materialize(find_leaks(docs, items, **options).select(F.col("doc_id").alias("__gone")).where("__gone is not null").distinct(), "leaks")
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*docs.columns)
