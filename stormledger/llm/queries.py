@@ -33,7 +33,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"))
+    made = plan.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"))
+    return made.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
-    return made.select("doc_id", "n_chars", "edited_sha256", hex16(F.col("fp")).alias("fingerprint"), hex16(F.col("efp")).alias("edited_fingerprint"), "near_edited", "near_next")
+    return made.select("doc_id", "n_chars", "edited_sha256", hex16(F.col("fp")).alias("fingerprint"), hex16(F.col("efp")).alias("edited_fingerprint"), "near_edited", "near_next", "class_id", "links")
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 BITS = 64
 
@@ -82,36 +83,75 @@ def covering_masks(radius: int, seed: int = 20160) -> list[int]:
     return [signed(sum(1 << p for p, x in enumerate(vectors) if (x & v).bit_count() % 2)) for v in range(1, 1 << (radius + 1))]
 
 
-def links_within(points: DataFrame, radius: int, masks: list[int], small: int = 64) -> DataFrame:
+def bucketed(points: DataFrame, masks: list[int]) -> DataFrame:
+    """(id, fp, t, key, n): each point in the bucket of every table, with the bucket's size; lone points are left out."""
+    tables = points.select("id", "fp", F.posexplode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("t", "m")).select("id", "fp", "t", F.col("fp").bitwiseAND(F.col("m")).alias("key"))
+    count = tables.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return tables.join(count, ["t", "key"])
+
+
+def bucket_pairs(members: DataFrame, radius: int, *flags: str) -> DataFrame:
+    """(t, u, v, fu, fv), u > v, and the flags of both: the pairs within the radius of each bucket. For buckets of a bounded size only."""
+    side = lambda x: members.select("t", "key", F.col("id").alias(x), F.col("fp").alias(f"f{x}"), *(F.col(f).alias(f"{f}_{x}") for f in flags))
+    near = F.bit_count(F.col("fu").bitwiseXOR(F.col("fv"))) <= radius
+    return side("u").join(side("v"), ["t", "key"]).where((F.col("u") > F.col("v")) & near).drop("key")
+
+
+def flips(radius: int) -> list[int]:
+    """Every mask of at most ``radius`` bits."""
+    return [signed(sum(1 << b for b in c)) for r in range(radius + 1) for c in itertools.combinations(range(BITS), r)]
+
+
+def named_values(points: DataFrame, radius: int) -> DataFrame:
+    """(id, value): each point with every value within the radius of its fingerprint."""
+    every = F.array(*(F.lit(x).cast("long") for x in flips(radius)))
+    return points.select("id", F.explode(F.transform(every, lambda x: x.bitwiseXOR(F.col("fp")))).alias("value"))
+
+
+def links_within(points: DataFrame, radius: int, masks: list[int], small: int = 64, middle: int = 4096) -> DataFrame:
     """Links (u, v) among distinct fingerprints (id, fp) such that two fingerprints are connected
     by links if and only if they are connected by steps of at most ``radius`` bits.
 
-    Each link returned is itself within the radius. Buckets of up to ``small`` members are
-    compared pair by pair. In larger ones no pairs are made: for radius 2 each member names itself
-    and its 64 neighbours at one bit, and all that name the same value (they are within two
-    bits of each other) are linked to the smallest of them; each pair within two bits shares
-    such a value. For other radii members of large buckets are compared in blocks (see
-    ``_block_links``), which returns a spanning forest.
+    Each link returned is itself within the radius, but not every pair within the radius is a link: the links connect what
+    the pairs connect. Buckets of up to ``small`` members are compared pair by pair. Beyond, members name the values near
+    them: two fingerprints within r bits share a value within r // 2 bits of the one and r - r // 2 of the other, so all
+    that name a value are linked to the smallest that names it from within r // 2. That is linear in the members; as a
+    radius above 2 takes many values for each member, buckets of up to ``middle`` members are compared in blocks
+    instead (see ``_block_links``), at most four copies of a member.
     """
-    tables = points.select("id", "fp", F.posexplode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("t", "m")).select("id", "fp", "t", F.col("fp").bitwiseAND(F.col("m")).alias("key"))
-    count = tables.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = tables.join(count, ["t", "key"])
-    few = members.where(F.col("n") <= small)
-    a = few.select("t", "key", F.col("id").alias("u"), F.col("fp").alias("fu"))
-    b = few.select("t", "key", F.col("id").alias("v"), F.col("fp").alias("fv"))
-    near = F.bit_count(F.col("fu").bitwiseXOR(F.col("fv"))) <= radius
-    found = a.join(b, ["t", "key"]).where((F.col("u") > F.col("v")) & near).select("u", "v")
+    members = bucketed(points, masks)
+    found = bucket_pairs(members.where(F.col("n") <= small), radius).select("u", "v")
     many = members.where(F.col("n") > small)
-    if radius == 2:
-        flips = F.array(F.lit(0).cast("long"), *(F.lit(signed(1 << k)).cast("long") for k in range(BITS)))
-        named = many.select("id", "fp").distinct().select("id", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("fp")))).alias("value"))
-        low = named.groupBy("value").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1").select("value", "v")
-        stars = named.join(low, "value").where("id > v").select(F.col("id").alias("u"), "v")
-    else:
-        stars = _block_links(many, radius)
+    if radius > 2:
+        found = found.unionByName(_block_links(many.where(F.col("n") <= middle), radius))
+        many = many.where(F.col("n") > middle)
+    hot = many.select("id", "fp").distinct()
+    low = named_values(hot, radius // 2).groupBy("value").agg(F.min("id").alias("v"))
+    stars = named_values(hot, radius - radius // 2).join(low, "value").where("id != v").select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v"))
     return found.unionByName(stars).distinct()
 
 
+def near_counts(points: DataFrame, masks: list[int], small: int = 64) -> DataFrame:
+    """(id, links): how many other distinct fingerprints (id, fp) lie within two bits of each, exactly; rows without any are left out.
+
+    ``masks`` are tables in which every pair within two bits meets. Pairs of buckets of up to ``small`` members are
+    counted in the first table in which they meet. Members of larger buckets name their own value and the 64 at one
+    bit: two that are one or two bits apart share exactly two values, so the counts of the values add up to twice the
+    links among such members, and 65 for the member itself. No pair of a large bucket is made.
+    """
+    members = bucketed(points, masks).withColumn("hot", F.max("n").over(Window.partitionBy("id")) > small)
+    few = members.where(F.col("n") <= small)
+    hot = members.where("hot").select("id", "fp").distinct()
+    flagged = bucket_pairs(few, 2, "hot")
+    first = F.array_min(F.filter(F.array(*(F.when(F.col("fu").bitwiseXOR(F.col("fv")).bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(k)) for k, m in enumerate(masks))), lambda x: x.isNotNull()))
+    pairs = flagged.where(~(F.col("hot_u") & F.col("hot_v")) & (F.col("t") == first)).select(F.explode(F.array("u", "v")).alias("id"))
+    named = named_values(hot, 1)
+    times = named.groupBy("value").agg(F.count("*").alias("k"))
+    hot_counts = named.join(times, "value").groupBy("id").agg(((F.sum("k") - 65) / 2).cast("long").alias("links"))
+    cold_counts = pairs.groupBy("id").agg(F.count("*").alias("links"))
+    return hot_counts.unionByName(cold_counts).groupBy("id").agg(F.sum("links").alias("links")).where("links > 0")
+
+
 def _block_links(many: DataFrame, radius: int, block: int = 1024) -> DataFrame:
     """Spanning forests of large buckets, from block against block.
 
