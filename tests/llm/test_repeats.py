@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -154,11 +155,25 @@ def test_warc_normaliser(spark):
             assert gzip.decompress(bytes(r["data"][x["offset"] : x["offset"] + x["length"]])) == want
         assert gzip.decompress(bytes(r["data"])) == (b"".join(records) if r["index"] else b"")
     assert warc.sidecar(norm).count() == 40
-    assert {bytes(r["payload"]) for r in warc.read_records(norm).collect()} == {b"payload %d " % i * (i * 50) for i in range(20)}
+    assert {bytes(r["payload"]) for r in warc.read_records(norm, warc.sidecar(norm)).collect()} == {b"payload %d " % i * (i * 50) for i in range(20)}
+    some = warc.sidecar(norm).where("n = 3")
+    assert {bytes(r["payload"]) for r in warc.read_records(norm, some).collect()} == {b"payload 3 " * 150}
+    for data in (mono, each, each + b"\0" * 70):
+        for chunk in (7, 64, 1 << 18):
+            assert b"".join(warc.inflate(data, chunk)) == b"".join(records)
     with pytest.raises(ValueError, match="ends inside"):
         list(warc.split_records(warc.inflate(mono[:-40])))
 
 
+def test_warc_repeated_pages(spark):
+    from stormledger.llm import warc
+
+    rows = [(7, "u", "same"), (7, "u", "same"), (3, "v", "same"), (None, "w", "same"), (9, "x", None), (9, "y", ""), (4, "z", "lone")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("offset", F.lit(1)).withColumn("payload", F.lit("clash"))
+    got = sorted((r["page_id"] or -1, r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect())
+    assert got == [(-1, "revisit", 7), (3, "revisit", 7), (4, "response", None), (7, "response", None), (7, "response", None), (9, "response", None), (9, "response", None)]
+
+
 # --- toxicity
 
 
