@@ -13,30 +13,87 @@ from ..functions.geo import haversine_m
 METRES_PER_DEGREE = 111_190.0
 
 
-def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, window_s: int, condition: Column | None = None, max_lat: float = 60.0) -> DataFrame:
-    """Pairs of rows within a radius and a time window.
+def _seconds(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)
 
-    ``left`` has (lid, llat, llon, lt) and ``right`` (rid, rlat, rlon, rt), and any other columns; the result
-    adds ``distance_m`` and ``delta_s`` (right minus left). Rows without place or time have no pairs.
 
-    Both sides get the cell of their place and time; each right row is copied to its neighbours' cells that its own
+def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, window_s: int | None = None, condition: Column | None = None) -> DataFrame:
+    """Pairs of rows within a radius and, if there is one, a time window.
+
+    ``left`` has (llat, llon, lt) and ``right`` (rlat, rlon, rt), and any other columns; the result
+    adds ``distance_m`` and ``delta_s`` (right minus left). Without a window lt and rt aren't read. Rows without place or time have no pairs.
+
+    Both sides get the cell of their place and time; each right row is copied to the cells that its own
     reach touches, so the join is an equi-join that AQE can split where a cell is hot. The
-    exact tests stay. Cells are as large as the reach, at latitudes up to ``max_lat``.
+    exact tests stay. Cells are as high as the reach; each band of latitude is cut into cells at least as wide as the reach
+    is at its end nearer to the pole, around the whole globe, so neighbours across the 180th meridian and at any latitude meet.
     """
     dlat = radius_m / METRES_PER_DEGREE
-    dlon = dlat / math.cos(math.radians(max_lat))
-    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)
-    cell = lambda v, size: F.floor(v / F.lit(float(size)))
-    reach = lambda v, size: F.sequence(cell(v - size, size), cell(v + size, size))
-    a = left.withColumns({"__ls": seconds("lt"), "__x": cell(F.col("llon"), dlon), "__y": cell(F.col("llat"), dlat)}).withColumn("__z", cell(F.col("__ls"), window_s))
-    b = right.where("rlat is not null and rlon is not null and rt is not null").withColumn("__rs", seconds("rt"))
-    b = b.withColumn("__x", F.explode(reach(F.col("rlon"), dlon))).withColumn("__y", F.explode(reach(F.col("rlat"), dlat))).withColumn("__z", F.explode(reach(F.col("__rs"), window_s)))
-    pairs = a.join(b, ["__x", "__y", "__z"])
-    pairs = pairs.withColumn("distance_m", haversine_m("llat", "llon", "rlat", "rlon")).withColumn("delta_s", F.col("__rs") - F.col("__ls"))
-    keep = (F.col("distance_m") <= radius_m) & (F.abs("delta_s") <= window_s)
+    band = lambda lat: F.floor(lat / F.lit(dlat))
+    edge = F.greatest(F.abs(F.col("__y") * dlat), F.abs((F.col("__y") + 1) * dlat)) + dlat
+    wide = 1.01 * dlat / F.greatest(F.cos(F.radians(F.least(edge, F.lit(90.0)))), F.lit(1e-9))
+    around = F.greatest(F.floor(360.0 / wide), F.lit(1))  # cells of a band
+    column = lambda lon: F.floor((lon + 180.0) * F.col("__n") / 360.0)
+    wrapped = lambda x: F.pmod(x, F.col("__n"))
+    width = 360.0 / F.col("__n")
+    a = left.where("llat is not null and llon is not null").withColumn("__y", band(F.col("llat"))).withColumn("__n", around)
+    a = a.withColumn("__x", wrapped(column(F.col("llon")))).drop("__n")
+    b = right.where("rlat is not null and rlon is not null")
+    b = b.withColumn("__y", F.explode(F.sequence(band(F.col("rlat") - dlat), band(F.col("rlat") + dlat)))).withColumn("__n", around)
+    spread = F.sequence(column(F.col("rlon") - width), column(F.col("rlon") + width))
+    b = b.withColumn("__x", F.explode(F.array_distinct(F.transform(spread, wrapped)))).drop("__n")
+    keys = ["__x", "__y"]
+    keep = F.col("distance_m") <= radius_m
+    if window_s is not None:
+        cell = lambda v: F.floor(v / F.lit(float(window_s)))
+        a = a.where("lt is not null").withColumn("__ls", _seconds("lt")).withColumn("__z", cell(F.col("__ls")))
+        b = b.where("rt is not null").withColumn("__rs", _seconds("rt")).withColumn("__z", F.explode(F.sequence(cell(F.col("__rs") - window_s), cell(F.col("__rs") + window_s))))
+        keys.append("__z")
+    pairs = a.join(b, keys).withColumn("distance_m", haversine_m("llat", "llon", "rlat", "rlon"))
+    if window_s is not None:
+        pairs, keep = pairs.withColumn("delta_s", F.col("__rs") - F.col("__ls")), keep & (F.abs("delta_s") <= window_s)
     if condition is not None:
         keep = keep & condition
-    return pairs.where(keep).drop("__x", "__y", "__z", "__ls", "__rs")
+    return pairs.where(keep).drop(*keys, "__ls", "__rs")
+
+
+def newest_within(left: DataFrame, right: DataFrame, keys: list[str], window_s: int, k: int, slot_s: int = 3600) -> DataFrame:
+    """For each left row (lid, keys, lt) the newest k right rows (rid, keys, rt) at most ``window_s`` away in time: (lid, rid, rt).
+
+    Right rows are counted from the newest on: their place in a slot of time, and behind it the later slots of the key.
+    A left row's first match is the place of the end of its window, so its matches are the k places that follow, and
+    are looked up by an equi-join. However many rows share a key, a left row is copied k times and no more; only the
+    counts of a key's slots meet in one task.
+    """
+    moment = lambda c: F.floor(c / F.lit(float(slot_s)))
+    r = right.where("rt is not null").select(*keys, F.lit(1).alias("__is"), "rid", "rt", F.lit(None).cast(left.schema["lid"].dataType).alias("lid"), _seconds("rt").alias("__s"))
+    at = left.where("lt is not null").select(*keys, F.lit(0).alias("__is"), F.lit(None).cast(right.schema["rid"].dataType).alias("rid"), F.lit(None).cast("timestamp").alias("rt"), "lid", (_seconds("lt") + window_s).alias("__s"))
+    both = r.unionByName(at).dropna(subset=keys).withColumn("__z", moment(F.col("__s")))
+    inside = Window.partitionBy(*keys, "__z").orderBy(F.col("__s").desc(), "__is", F.col("rid").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*keys).orderBy(F.col("__z").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    slots = both.groupBy(*keys, "__z").agg(F.sum("__is").alias("__n")).withColumn("__later", F.coalesce(F.sum("__n").over(later), F.lit(0))).drop("__n")
+    placed = both.withColumn("__in", F.sum("__is").over(inside)).join(slots, [*keys, "__z"]).withColumn("__p", F.col("__later") + F.col("__in"))
+    asked = placed.where("__is = 0").select(*keys, "lid", F.col("__s").alias("__end"), F.explode(F.sequence(F.col("__p") + 1, F.col("__p") + k)).alias("__p"))
+    given = placed.where("__is = 1").select(*keys, "rid", "rt", "__s", "__p")
+    return asked.join(given, [*keys, "__p"]).where(F.col("__s") >= F.col("__end") - 2 * window_s).select("lid", "rid", "rt")
+
+
+def latest_before(left: DataFrame, right: DataFrame, keys: list[str], window_s: int, values: list[str]) -> DataFrame:
+    """``left`` (keys, lt and any columns) with the ``values`` of the last right row (keys, rt, values) within ``window_s`` of lt, either way;
+    left rows without one are dropped. ``values`` are an order too: of right rows at one moment the largest counts.
+
+    An as-of join: both sides are sorted together in slots of the window's length, and each slot also holds the
+    last right row of each of the two slots before it, so nothing is paired, and a hot key is split by time.
+    """
+    slot = lambda c: F.floor(c / F.lit(float(window_s)))
+    seen = F.struct(F.col("__s").alias("s"), *values)
+    r = right.where("rt is not null").withColumn("__s", _seconds("rt")).select(*keys, "__s", slot(F.col("__s")).alias("__z"), seen.alias("__seen"))
+    carried = r.groupBy(*keys, "__z").agg(F.max("__seen").alias("__seen")).select(*keys, F.explode(F.array(F.col("__z") + 1, F.col("__z") + 2)).alias("__z"), F.col("__seen.s").alias("__s"), "__seen")
+    rows = left.where("lt is not null").withColumn("__s", _seconds("lt") + window_s).withColumn("__z", slot(F.col("__s"))).withColumn("__q", F.struct(*left.columns))
+    every = r.unionByName(carried).unionByName(rows.select(*keys, "__s", "__z", "__q"), allowMissingColumns=True)
+    before = Window.partitionBy(*keys, "__z").orderBy("__s", F.col("__q").isNotNull(), "__seen").rowsBetween(Window.unboundedPreceding, 0)
+    last = every.withColumn("__last", F.last("__seen", ignorenulls=True).over(before)).where(F.col("__q").isNotNull())
+    return last.where(F.col("__last.s") >= F.col("__s") - 2 * window_s).select("__q.*", *(F.col(f"__last.{v}").alias(v) for v in values))
 
 
 def in_window(left: DataFrame, right: DataFrame, window_s: int, keys: list[str], condition: Column | None = None) -> DataFrame:

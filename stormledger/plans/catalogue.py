@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geo import haversine_m, haversine_sql
+from ..functions.geo import haversine_sql
+from ..functions.rounding import r4, r4_sql
 from ..operators import analytics as an
 from ..operators import credibility as cr
 from ..operators import duplicates as du
@@ -205,7 +206,7 @@ def _tokens_sql(texts: str) -> str:
 
 _SCORES = f"""cand AS ({_CANDIDATES}),
  {_tokens_sql("SELECT DISTINCT title AS k FROM reports")},
- full_ AS (SELECT c.*, ra.title AS title_a, rb.title AS title_b, {compatibility_sql("ra.category_code", "rb.category_code")} AS cat, CASE WHEN ra.city = rb.city THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END AS entity FROM cand c JOIN reports ra ON ra.id = c.a JOIN reports rb ON rb.id = c.b),
+ full_ AS (SELECT c.*, ra.title AS title_a, rb.title AS title_b, {compatibility_sql("ra.category_code", "rb.category_code")} AS cat, CASE WHEN ra.city IS NULL OR rb.city IS NULL THEN 0.5::DOUBLE WHEN ra.city = rb.city THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END AS entity FROM cand c JOIN reports ra ON ra.id = c.a JOIN reports rb ON rb.id = c.b),
  dots AS (SELECT p.title_a, p.title_b, sum(x.w * y.w) AS dot FROM (SELECT DISTINCT title_a, title_b FROM full_ WHERE title_a <> title_b) p JOIN vec x ON x.k = p.title_a JOIN vec y ON y.k = p.title_b AND y.t = x.t GROUP BY 1, 2),
  sig AS (SELECT f.*, greatest(1 - distance_m / 2500.0::DOUBLE, 0.0) AS spatial, greatest(1 - abs(delta_s) / 10800.0::DOUBLE, 0.0) AS temporal, CASE WHEN f.title_a = f.title_b THEN 1.0 ELSE greatest(least(COALESCE(dot, 0.0), 1.0), 0.0) END AS similarity FROM full_ f LEFT JOIN dots d ON d.title_a = f.title_a AND d.title_b = f.title_b),
  scored AS (SELECT *, 0.35::DOUBLE * spatial + 0.25::DOUBLE * temporal + 0.25::DOUBLE * similarity + 0.15::DOUBLE * cat AS raw, cat = 0 OR entity = 0 AS gate FROM sig)"""
@@ -234,14 +235,20 @@ def category_compatibility(spark, sf_dir):
 
 # --- observations
 
-_TREND = """one AS (SELECT station, observed_at, arg_max(level_m, obs_id) AS level_m FROM observations WHERE level_m IS NOT NULL GROUP BY 1, 2),
- steps AS (SELECT *, epoch_us(observed_at) / 1e6 AS s, epoch_us(observed_at) / 1e6 - lag(epoch_us(observed_at) / 1e6) OVER (PARTITION BY station ORDER BY observed_at) AS gap FROM one),
- agg AS (SELECT station, count(*) AS points, arg_max(level_m, s) - arg_min(level_m, s) AS d, max(s) - min(s) AS span, COALESCE(bool_or(gap > 7200), false) AS has_gaps FROM steps GROUP BY 1),
- tr AS (SELECT station, points, CASE WHEN points > 1 THEN round(d, 4) END AS delta_m, CASE WHEN points > 1 THEN round(CASE WHEN span > 0 THEN d / span * 3600 ELSE 0 END, 4) END AS rate_per_hour, has_gaps,
-  CASE WHEN points = 1 THEN 'SINGLE_POINT' WHEN abs(d) < 0.05 THEN 'STEADY' WHEN d > 0 THEN 'RISING' ELSE 'FALLING' END AS direction FROM agg)"""
+def _trend_sql(source: str, key: str, keep: str = "tr") -> str:
+    """CTEs up to ``keep``(key, points, delta_m, rate_per_hour, has_gaps, direction) of readings (key, observed_at, obs_id, level_m)."""
+    return f"""{keep}_one AS (SELECT {key}, observed_at, arg_max(level_m, obs_id) AS level_m FROM {source} WHERE level_m IS NOT NULL GROUP BY 1, 2),
+ {keep}_steps AS (SELECT *, epoch_us(observed_at) / 1e6 AS s, epoch_us(observed_at) / 1e6 - lag(epoch_us(observed_at) / 1e6) OVER (PARTITION BY {key} ORDER BY observed_at) AS gap FROM {keep}_one),
+ {keep}_agg AS (SELECT {key}, count(*) AS points, arg_max(level_m, s) - arg_min(level_m, s) AS d, max(s) - min(s) AS span, COALESCE(bool_or(gap > 7200), false) AS has_gaps FROM {keep}_steps GROUP BY 1),
+ {keep} AS (SELECT {key}, points, CASE WHEN points > 1 THEN {r4_sql("d")} END AS delta_m, CASE WHEN points > 1 THEN {r4_sql("CASE WHEN span > 0 THEN d / span * 3600 ELSE 0 END")} END AS rate_per_hour, has_gaps,
+  CASE WHEN points = 1 THEN 'SINGLE_POINT' WHEN abs(d) < 0.05 THEN 'STEADY' WHEN d > 0 THEN 'RISING' ELSE 'FALLING' END AS direction FROM {keep}_agg)"""
 
 
-@query(f"WITH {_TREND} SELECT *, CASE direction WHEN 'SINGLE_POINT' THEN 0.25 WHEN 'STEADY' THEN 0.4 WHEN 'RISING' THEN round(least(0.6::DOUBLE + abs(rate_per_hour) / 0.5::DOUBLE * 0.4::DOUBLE, 1.0::DOUBLE), 4) ELSE 0.3 END::DOUBLE AS trend FROM tr")
+_TREND = _trend_sql("observations", "station")
+_TREND_SCORE = f"CASE direction WHEN 'SINGLE_POINT' THEN 0.25 WHEN 'STEADY' THEN 0.4 WHEN 'RISING' THEN {r4_sql('least(0.6::DOUBLE + abs(rate_per_hour) / 0.5::DOUBLE * 0.4::DOUBLE, 1.0::DOUBLE)')} WHEN 'FALLING' THEN 0.3 ELSE 0.0 END::DOUBLE"
+
+
+@query(f"WITH {_TREND} SELECT *, {_TREND_SCORE} AS trend FROM tr")
 def station_trend(spark, sf_dir):
     t = ob.trend(dm.observations(spark, sf_dir), ["station"]).drop("span_minutes")
     return t.select("*", ob.trend_score(F.col("direction"), F.col("rate_per_hour")).alias("trend"))
@@ -252,77 +259,131 @@ def latest_by_station(spark, sf_dir):
     return li.latest(dm.observations(spark, sf_dir), ["station", "source_id"], [F.col("observed_at").desc(), F.col("obs_id").desc()]).select("station", "source_id", "obs_id", "level_m")
 
 
-_OBS_PAIRS = f"""SELECT r.id, o.obs_id, o.source_id, o.station, o.level_m, o.observed_at, r.category_code, {haversine_sql("r.lat", "r.lon", "o.lat", "o.lon")} AS distance_m, (epoch_us(o.observed_at) - epoch_us(r.occurred_at)) / 1e6 AS delta_s
- FROM reports r JOIN observations o ON o.level_m IS NOT NULL AND abs(o.lat - r.lat) < 0.32 AND o.observed_at BETWEEN r.occurred_at - INTERVAL 24 HOUR AND r.occurred_at + INTERVAL 24 HOUR WHERE r.id % 40 = 0"""
-_OBS = f"""near AS (SELECT * FROM ({_OBS_PAIRS}) WHERE distance_m <= 35000), one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, source_id, station ORDER BY observed_at DESC, obs_id DESC) AS r FROM near) WHERE r = 1),
+_OBS_PAIRS = f"""SELECT r.id, o.obs_id, o.source_id, o.station, o.level_m, o.observed_at, o.river, o.basin, o.district, o.state, o.warning_level_m, r.category_code, r.title, r.description, r.location_name,
+ {haversine_sql("r.lat", "r.lon", "o.lat", "o.lon")} AS distance_m, (epoch_us(o.observed_at) - epoch_us(r.occurred_at)) / 1e6 AS delta_s
+ FROM reports r JOIN observations o ON o.level_m IS NOT NULL AND abs(o.lat - r.lat) < 0.32 AND o.observed_at BETWEEN r.occurred_at - INTERVAL 24 HOUR AND r.occurred_at + INTERVAL 24 HOUR"""
+_OBS = f"""near_obs AS (SELECT * FROM ({_OBS_PAIRS}) WHERE distance_m <= 35000), one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, source_id, station ORDER BY observed_at DESC, obs_id DESC) AS r FROM near_obs) WHERE r = 1),
  obs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY source_id, station) AS k FROM one) WHERE k <= 50)"""
 
 
-def _some_reports(spark, sf_dir):
-    """The reports of one desk: those whose id is divisible by 40 are watched by sensors."""
-    return dm.reports(spark, sf_dir).where("id % 40 = 0")
-
-
 @query(f"WITH {_OBS} SELECT id, obs_id, station, round(distance_m, 3) AS distance_m, CAST(floor(delta_s) AS BIGINT) AS delta_s FROM obs")
 def observation_candidates(spark, sf_dir):
-    found = ob.candidates(_some_reports(spark, sf_dir), dm.observations(spark, sf_dir))
+    found = ob.candidates(dm.reports(spark, sf_dir), dm.observations(spark, sf_dir))
     return found.select("id", "obs_id", "station", F.round("distance_m", 3).alias("distance_m"), F.floor("delta_s").alias("delta_s"))
 
 
-_WL_TEMPORAL = """CASE WHEN abs(delta_s) / 3600 > 24 THEN 0.0 WHEN abs(delta_s) <= 1800 THEN 1.0 WHEN delta_s < 0 THEN CASE WHEN abs(delta_s) / 3600 <= 4 THEN 1.0 ELSE round(greatest(1 - (abs(delta_s) / 3600 - 4) / 20, 0.0), 4) END ELSE round(pow(0.7::DOUBLE, abs(delta_s) / 3600 / 24 * 3), 4) END::DOUBLE"""
+_HISTORY = f"""past AS (SELECT a.obs_id AS anchor, h.obs_id, h.observed_at, h.level_m FROM (SELECT DISTINCT obs_id FROM obs) c JOIN observations a ON a.obs_id = c.obs_id JOIN observations h ON h.source_id = a.source_id AND h.station = a.station
+  AND h.observed_at BETWEEN a.observed_at - INTERVAL 6 HOUR AND a.observed_at), {_trend_sql("past", "anchor")}"""
+
+
+@query(f"WITH {_OBS}, {_HISTORY} SELECT * FROM tr")
+def observation_trends(spark, sf_dir):
+    """The trend of the six hours before each reading that some report may use."""
+    obs = dm.observations(spark, sf_dir)
+    return ob.trend(ob.station_history(ob.candidates(dm.reports(spark, sf_dir), obs), obs), ["anchor"]).drop("span_minutes")
+
+
+def _river_sql(text: str, river: str) -> str:
+    t, r = f"lower(trim({text}))", f"lower(trim({river}))"
+    word = rf"'\b' || {r} || '\b'"
+    after, before = rf"regexp_replace({t}, '^.*?\b' || {r} || '\b', '')", rf"regexp_extract({t}, '^(.*?)\b' || {r} || '\b', 1)"
+    other = rf"(regexp_matches({after}, '^\W*({'|'.join(ob.OF_PLACES)})\b') OR regexp_matches({before}, '\b({'|'.join(ob.OF_NAMES)})\W*$'))"
+    return f"COALESCE(regexp_matches({t}, {word}) AND (regexp_matches({t}, '{'|'.join(ob.OF_RIVERS)}') OR NOT {other}), false)"
 
 
-@query(f"""WITH {_OBS}, {_TREND.replace("one AS", "one_ AS").replace("FROM one)", "FROM one_)")},
- sig AS (SELECT o.id, o.obs_id, round(greatest(1 - distance_m / 35000::DOUBLE, 0.0), 4) AS spatial, {_WL_TEMPORAL} AS temporal, CASE WHEN category_code IN ('FLOOD_WATERLOGGING', 'URBAN_FLOOD') THEN 1.0 WHEN category_code = 'HEAVY_RAINFALL' THEN 0.55 ELSE 0.3 END::DOUBLE AS relevance,
-  CASE WHEN t.direction IS NULL THEN 0.0 WHEN t.direction = 'SINGLE_POINT' THEN 0.25 WHEN t.direction = 'STEADY' THEN 0.4 WHEN t.direction = 'RISING' THEN round(least(0.6::DOUBLE + abs(rate_per_hour) / 0.5::DOUBLE * 0.4::DOUBLE, 1.0::DOUBLE), 4) ELSE 0.3 END::DOUBLE AS trend,
-  t.direction, t.points, category_code, CASE o.station % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.55 ELSE 0.2 END::DOUBLE AS context FROM obs o LEFT JOIN tr t ON t.station = o.station),
- m AS (SELECT *, round(least(greatest(spatial * 0.20::DOUBLE + temporal * 0.15::DOUBLE + relevance * 0.15::DOUBLE + context * 0.20::DOUBLE + trend * 0.20::DOUBLE + 1.0::DOUBLE * 0.05::DOUBLE + 0.9::DOUBLE * 0.05::DOUBLE, 0.0), 1.0), 4) AS raw,
-  CASE WHEN context = 0.2 THEN CASE WHEN spatial >= 0.4 AND direction = 'RISING' THEN 0.48 ELSE 0.35 END WHEN context <= 0.55 THEN CASE WHEN spatial < 0.4 OR points <= 1 THEN 0.35 ELSE 0.6 END WHEN direction IS DISTINCT FROM 'RISING' OR points < 2 THEN 0.6 ELSE 1.0 END::DOUBLE AS cap FROM sig),
- s AS (SELECT id, obs_id, least(raw, cap, CASE WHEN category_code IN ('FLOOD_WATERLOGGING', 'URBAN_FLOOD') THEN 1.0 ELSE 0.69 END::DOUBLE) AS score, temporal, spatial, context FROM m)
- SELECT id, obs_id, CASE WHEN temporal = 0 OR spatial = 0 THEN 0.0 WHEN context <= 0.2 AND spatial < 0.1 THEN 0.1 ELSE round(score, 4) END::DOUBLE AS score,
-  CASE WHEN temporal = 0 OR spatial = 0 OR (context <= 0.2 AND spatial < 0.1) THEN 'IRRELEVANT' WHEN score >= 0.7 THEN 'CORROBORATING' WHEN score >= 0.45 THEN 'CONSISTENT' WHEN score >= 0.25 THEN 'WEAK' ELSE 'IRRELEVANT' END AS relationship FROM s""")
+_HOLDS = lambda t, part: f"COALESCE(contains(lower({t}), lower({part})), false)"
+_CONTEXT = f"""CASE WHEN {_river_sql("location_name", "river")} THEN 1.0 WHEN COALESCE(regexp_matches(lower(location_name), 'river|nadi'), false) THEN 0.15 WHEN {_river_sql("location_name", "basin")} THEN 0.5
+ WHEN {_HOLDS("location_name", "district")} THEN CASE WHEN regexp_matches(lower(concat_ws(' ', location_name, title, description)), '{"|".join(ob.OF_DRAINS)}') THEN 0.2 WHEN {_river_sql("title", "river")} THEN 0.55 ELSE 0.5 END
+ WHEN {_river_sql("title", "river")} THEN 0.4 WHEN {_river_sql("title", "basin")} THEN 0.35 WHEN {_HOLDS("location_name", "state")} OR {_HOLDS("title", "state")} THEN 0.2
+ WHEN {_river_sql("description", "river")} OR {_river_sql("description", "basin")} THEN 0.2 ELSE 0.1 END::DOUBLE"""
+
+
+@query(f"WITH {_OBS} SELECT DISTINCT location_name, title, description, station, {_CONTEXT} AS context FROM obs")
+def station_contexts(spark, sf_dir):
+    """How surely each station in reach belongs to what a report names."""
+    names = ["location_name", "title", "description"]
+    r, o = dm.reports(spark, sf_dir), dm.observations(spark, sf_dir)
+    found = ob.candidates(r, o).join(r.select("id", *names), "id").join(o.select("obs_id", "river", "basin", "district", "state"), "obs_id")
+    return found.select(*names, "station", ob.station_context(*map(F.col, (*names, "river", "basin", "district", "state"))).alias("context")).distinct()
+
+
+_WL_TEMPORAL = f"""CASE WHEN abs(delta_s) / 3600 > 24 THEN 0.0 WHEN abs(delta_s) <= 1800 THEN 1.0 WHEN delta_s < 0 THEN CASE WHEN abs(delta_s) / 3600 <= 4 THEN 1.0 ELSE {r4_sql("greatest(1 - (abs(delta_s) / 3600 - 4) / 20, 0.0)")} END ELSE {r4_sql("pow(0.7::DOUBLE, abs(delta_s) / 3600 / 24 * 3)")} END::DOUBLE"""
+_DIRECT = "category_code IN ('FLOOD_WATERLOGGING', 'URBAN_FLOOD')"
+_CORR = f"""sig AS (SELECT o.*, {r4_sql("greatest(1 - distance_m / 35000::DOUBLE, 0.0)")} AS spatial, {_WL_TEMPORAL} AS temporal, CASE WHEN category_code IN ('HEATWAVE', 'DROUGHT', 'COLDWAVE', 'LIGHTNING', 'THUNDERSTORM') THEN 0.0 WHEN {_DIRECT} THEN 1.0 WHEN category_code IN ('HEAVY_RAINFALL', 'CYCLONE') THEN 0.55 ELSE 0.3 END::DOUBLE AS relevance,
+  {_TREND_SCORE} AS trend, t.direction, t.points, t.has_gaps, t.delta_m, {_CONTEXT} AS context FROM obs o LEFT JOIN tr t ON t.anchor = o.obs_id),
+ m AS (SELECT *, {r4_sql("least(greatest(spatial * 0.20::DOUBLE + temporal * 0.15::DOUBLE + relevance * 0.15::DOUBLE + context * 0.20::DOUBLE + trend * 0.20::DOUBLE + 1.0::DOUBLE * 0.05::DOUBLE + 0.9::DOUBLE * 0.05::DOUBLE, 0.0), 1.0)")} AS raw,
+  CASE WHEN context <= 0.15 THEN 0.35 WHEN context = 0.2 THEN CASE WHEN spatial >= 0.4 AND direction = 'RISING' THEN 0.48 ELSE 0.35 END WHEN context <= 0.55 THEN CASE WHEN spatial < 0.4 OR COALESCE(points <= 1, false) THEN 0.35 ELSE 0.6 END WHEN direction IS DISTINCT FROM 'RISING' OR points < 2 THEN 0.6 ELSE 1.0 END::DOUBLE AS cap,
+  COALESCE(context >= 0.7 AND spatial >= 0.9 AND temporal >= 0.9 AND direction IN ('STEADY', 'FALLING') AND points >= 5 AND NOT has_gaps AND abs(delta_m) <= 0.02 AND level_m < warning_level_m - 1.0 AND regexp_matches(lower(title), 'overflowing|danger level|breached|flood emergency|catastrophic'), false) AS denies FROM sig),
+ ms AS (SELECT *, least(raw, cap, CASE WHEN {_DIRECT} THEN 1.0 ELSE 0.69 END::DOUBLE) AS mean, CASE WHEN relevance = 0 OR temporal = 0 OR spatial = 0 THEN 0 WHEN context <= 0.2 AND spatial < 0.1 THEN 1 WHEN denies THEN 2 ELSE 3 END AS gate FROM m),
+ corr AS (SELECT id, obs_id, source_id, station, CASE gate WHEN 0 THEN 0.0 WHEN 1 THEN 0.1 WHEN 2 THEN 0.5 ELSE mean END::DOUBLE AS score, CASE WHEN gate < 2 THEN 'IRRELEVANT' WHEN gate = 2 THEN 'CONTRADICTORY' WHEN mean >= 0.7 THEN 'CORROBORATING' WHEN mean >= 0.45 THEN 'CONSISTENT' WHEN mean >= 0.25 THEN 'WEAK' ELSE 'IRRELEVANT' END AS relationship FROM ms)"""
+
+
+@query(f"WITH {_OBS}, {_HISTORY}, {_CORR} SELECT id, obs_id, score, relationship FROM corr")
 def observation_corroboration(spark, sf_dir):
-    reports, obs = _some_reports(spark, sf_dir), dm.observations(spark, sf_dir)
-    found = ob.candidates(reports, obs).join(reports.select("id", "category_code", "title"), "id").join(ob.trend(obs, ["station"]), "station", "left")
-    q = ob.quality(F.col("level_m"), F.lit(0))
-    context = F.element_at(F.array(F.lit(1.0), F.lit(0.7), F.lit(0.55), F.lit(0.2)), (F.col("station") % 4).cast("int") + 1)
-    signals = found.withColumns(
-        {"spatial": ob.spatial_score(F.col("distance_m")), "temporal": ob.temporal_score(F.col("delta_s")), "relevance": ob.metric_relevance(F.col("category_code")), "context": context, "quality": q,
-         "trend": ob.trend_score(F.col("direction"), F.col("rate_per_hour")), "trust": F.lit(0.9), "warning_level_m": F.lit(None).cast("double")}
-    )
-    return ob.corroborate(signals).select("id", "obs_id", F.round("score", 4).alias("score"), "relationship")
+    return ob.matches(dm.reports(spark, sf_dir), dm.observations(spark, sf_dir)).select("id", "obs_id", "score", "relationship")
 
 
 # --- evidence and credibility
 
-_EV = """near AS (SELECT e.evidence_id, r.id, r.occurred_at FROM evidence e JOIN reports r ON r.id % 40 = 0 AND abs(epoch_us(r.occurred_at) - epoch_us(e.published_at)) <= 172800000000 AND (lower(e.city) = lower(r.city) OR (e.lat IS NOT NULL AND """ + haversine_sql("e.lat", "e.lon", "r.lat", "r.lon") + """ <= 25000))),
- ev AS (SELECT evidence_id, id, r AS rank, n > 50 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY occurred_at DESC, id DESC) AS r, count(*) OVER (PARTITION BY evidence_id) AS n FROM near) WHERE r <= 50)"""
+_EV = """near_ev AS (SELECT e.evidence_id, r.id, r.occurred_at FROM evidence e JOIN reports r ON r.occurred_at BETWEEN e.published_at - INTERVAL 48 HOUR AND e.published_at + INTERVAL 48 HOUR AND (lower(e.city) = lower(r.city) OR (e.lat IS NOT NULL AND """ + haversine_sql("e.lat", "e.lon", "r.lat", "r.lon") + """ <= 25000))),
+ ev AS (SELECT evidence_id, id, r AS rank, n > 50 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY occurred_at DESC, id DESC) AS r, count(*) OVER (PARTITION BY evidence_id) AS n FROM near_ev) WHERE r <= 50)"""
 
 
 @query(f"WITH {_EV} SELECT evidence_id, id, CAST(rank AS INTEGER) AS rank, truncated FROM ev")
 def evidence_candidates(spark, sf_dir):
-    return ev.candidates(_some_reports(spark, sf_dir), dm.evidence(spark, sf_dir))
+    return ev.candidates(dm.reports(spark, sf_dir), dm.evidence(spark, sf_dir))
 
 
-def _links(spark, sf_dir) -> DataFrame:
-    """Links of the candidates, with a text similarity by key: the decision rules are what matters here."""
-    e, r = dm.evidence(spark, sf_dir), _some_reports(spark, sf_dir)
-    rows = ev.candidates(r, e).join(e, "evidence_id").join(r.select("id", F.col("city").alias("inc_city"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"), "occurred_at"), "id")
-    hours = F.abs(F.unix_timestamp("published_at") - F.unix_timestamp("occurred_at")) / 3600
-    distance = haversine_m("rlat", "rlon", "lat", "lon")
-    rows = rows.withColumns(
-        {"distance_m": distance, "hours": hours, "semantic": ((F.col("evidence_id") * 7 + F.col("id")) % 100) / F.lit(100.0), "temporal": ev.temporal(hours), "entity": F.when(F.lower("city") == F.lower("inc_city"), 0.8).otherwise(0.0),
-         "cat": F.lit(0.8), "spatial": F.coalesce(F.greatest(1 - distance / 25000, F.lit(0.0)), F.lit(0.5)), "foreign": F.lit(False), "evi_city": F.col("city"), "evi_state": F.lit(None).cast("string"), "inc_state": F.lit(None).cast("string"),
-         "evi_placed": F.col("lat").isNotNull(), "inc_placed": F.lit(True), "text": F.col("snippet")}
-    )
-    return ev.link(rows)
+@query("""SELECT id, evidence_id FROM (SELECT r.id, e.evidence_id, row_number() OVER (PARTITION BY r.id ORDER BY e.published_at DESC, e.evidence_id DESC) AS k FROM reports r JOIN evidence e ON e.published_at BETWEEN r.occurred_at - INTERVAL 48 HOUR AND r.occurred_at + INTERVAL 48 HOUR) WHERE k <= 50""")
+def evidence_in_time(spark, sf_dir):
+    """For each report the newest evidence within two days, whatever its place."""
+    return ev.near_in_time(dm.reports(spark, sf_dir), dm.evidence(spark, sf_dir))
+
+
+def _relevance_sql(text: str, category: str) -> str:
+    some = lambda words: "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+    count = lambda words: "(" + " + ".join(f"CASE WHEN contains({text}, '{w}') THEN 1 ELSE 0 END" for w in words) + ")"
+    hits = f"CASE {category} " + " ".join(f"WHEN '{c}' THEN {count(w)}" for c, w in ev.RELEVANT.items()) + f" ELSE {count(ev.GENERAL)} END"
+    dry = f"(regexp_matches({text}, 'heatwave|heat wave|drought') AND NOT regexp_matches({text}, 'heavy rain|waterlogging|flooding|submerged|inundated|cloudburst'))"
+    return f"""CASE WHEN {some(ev.OFF_TOPIC)} AND NOT {some(ev.ON_TOPIC)} THEN 0.0 WHEN {category} IN ('FLOOD_WATERLOGGING', 'HEAVY_RAINFALL') AND {dry} THEN 0.0 WHEN {category} = 'HEATWAVE' AND regexp_matches({text}, 'flash flood|inundation') THEN 0.0
+ WHEN ({hits}) >= 2 THEN CASE WHEN {category} = 'OTHER' THEN 0.7 ELSE 1.0 END WHEN ({hits}) = 1 THEN CASE WHEN {category} = 'OTHER' THEN 0.5 ELSE 0.8 END WHEN {some(ev.FAINT)} THEN 0.5 ELSE 0.2 END::DOUBLE"""
+
+
+_SAYS = rf"""says AS MATERIALIZED (SELECT evidence_id, c AS category, {_relevance_sql("t", "c")} AS relevance FROM (SELECT evidence_id, lower(text) AS t FROM evidence), (SELECT unnest([{", ".join(repr(c) for c in dm.CATEGORIES)}]) AS c)),
+ flags AS (SELECT evidence_id, regexp_matches(lower(text), '\b({"|".join(tx.CONTEXTUAL)})\b') AS contextual, regexp_matches(lower(text), '\b({"|".join(tx.DENYING)})\b') AS denied, regexp_matches(lower(text), '\b({"|".join(ev.FOREIGN)})\b') AND city IS NULL AND state IS NULL AS away FROM evidence)"""
+
 
+@query(f"WITH {_SAYS} SELECT evidence_id, category, relevance, contextual, denied, away FROM says JOIN flags USING (evidence_id)")
+def evidence_relevance(spark, sf_dir):
+    """What each article says: its relevance to every category, and whether it reviews, denies or tells of elsewhere."""
+    told = ev.read_texts(dm.evidence(spark, sf_dir), dm.CATEGORIES)
+    return told.select("evidence_id", F.explode("relevant").alias("category", "relevance"), "contextual", "denied", F.col("foreign").alias("away"))
 
-_LINKS = _EV + """, lk AS (SELECT ev.evidence_id, ev.id, e.publisher, e.sha256, e.city AS evi_city, r.city AS inc_city, e.lat IS NOT NULL AS placed, COALESCE(greatest(1 - d / 25000, 0.0), 0.5) AS spatial, d, ((ev.evidence_id * 7 + ev.id) % 100) / 100.0::DOUBLE AS semantic,
-  CASE WHEN e.city = r.city THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END AS entity, CASE WHEN h <= 2 THEN 1.0::DOUBLE WHEN h <= 24 THEN 1.0::DOUBLE - 0.3::DOUBLE * (h - 2) / 22 WHEN h <= 48 THEN 0.7::DOUBLE - 0.4::DOUBLE * (h - 24) / 24 ELSE 0.0::DOUBLE END AS temporal
-  FROM ev JOIN evidence e ON e.evidence_id = ev.evidence_id JOIN reports r ON r.id = ev.id, LATERAL (SELECT """ + haversine_sql("r.lat", "r.lon", "e.lat", "e.lon") + """ AS d, abs(epoch_us(e.published_at) - epoch_us(r.occurred_at)) / 3600e6::DOUBLE AS h)),
- sc AS (SELECT *, 0.30::DOUBLE * semantic + 0.25::DOUBLE * entity + 0.20::DOUBLE * temporal + 0.15::DOUBLE * 0.8::DOUBLE + 0.10::DOUBLE * spatial AS s, evi_city <> inc_city OR COALESCE(d > 25000, false) AS gone FROM lk),
- links AS (SELECT id, evidence_id, publisher, sha256, CASE WHEN gone THEN 0.0::DOUBLE ELSE round(s, 4) END AS overall, CASE WHEN gone THEN 'IRRELEVANT' WHEN s >= 0.65 AND semantic >= 0.35 AND entity >= 0.7 AND temporal >= 0.5 THEN 'SUPPORTING' WHEN s >= 0.5 AND (entity >= 0.5 OR semantic >= 0.4) THEN 'RELATED' ELSE 'IRRELEVANT' END AS relationship FROM sc)"""
+
+def _same_city_sql(a: str, b: str) -> str:
+    arms = " OR ".join(f"(regexp_matches(lower({a}), '{'|'.join(n)}') AND regexp_matches(lower({b}), '{'|'.join(n)}'))" for n in ev.SAME_CITY)
+    return f"(lower({a}) = lower({b}) OR {arms})"
+
+
+_LINKS = f"""{_EV}, {_SAYS}, lk AS (SELECT ev.evidence_id, ev.id, e.publisher, e.sha256, e.url, e.wire, e.headline, r.title, e.city AS evi_city, r.city AS inc_city, e.state AS evi_state, r.state AS inc_state, e.lat IS NOT NULL AS placed, d, f.contextual, f.denied, f.away, COALESCE(s.relevance, 0.2) AS cat,
+  COALESCE(greatest(1 - d / 25000::DOUBLE, 0.0), 0.5) AS spatial, e.city IS NOT NULL AND r.city IS NOT NULL AS cities, COALESCE(contains(lower(concat_ws(' ', r.title, r.description)), lower(e.locality)), false) AS spot,
+  CASE WHEN h <= 2 THEN 1.0::DOUBLE WHEN h <= 24 THEN 1.0::DOUBLE - 0.3::DOUBLE * (h - 2) / 22 WHEN h <= 48 THEN 0.7::DOUBLE - 0.4::DOUBLE * (h - 24) / 24 ELSE 0.0::DOUBLE END AS temporal
+  FROM ev JOIN evidence e ON e.evidence_id = ev.evidence_id JOIN reports r ON r.id = ev.id JOIN flags f ON f.evidence_id = ev.evidence_id LEFT JOIN says s ON s.evidence_id = ev.evidence_id AND s.category = r.category_code,
+  LATERAL (SELECT {haversine_sql("r.lat", "r.lon", "e.lat", "e.lon")} AS d, abs(epoch_us(e.published_at) - epoch_us(r.occurred_at)) / 3600e6::DOUBLE AS h)),
+ {_tokens_sql("SELECT DISTINCT headline AS k FROM lk UNION SELECT DISTINCT title FROM lk")},
+ dot AS (SELECT p.headline, p.title, sum(x.w * y.w) AS dot FROM (SELECT DISTINCT headline, title FROM lk WHERE headline <> title) p JOIN vec x ON x.k = p.headline JOIN vec y ON y.k = p.title AND y.t = x.t GROUP BY 1, 2),
+ en AS (SELECT lk.*, CASE WHEN lk.headline = lk.title THEN 1.0 ELSE greatest(least(COALESCE(dot, 0.0), 1.0), 0.0) END AS semantic,
+  CASE WHEN cities THEN CASE WHEN {_same_city_sql("evi_city", "inc_city")} THEN CASE WHEN spot THEN 1.0 ELSE 0.8 END ELSE 0.0 END WHEN COALESCE(lower(evi_state) = lower(inc_state), false) THEN 0.6 WHEN inc_city IS NOT NULL AND spot THEN 0.85 ELSE 0.0 END::DOUBLE AS entity,
+  away OR cat = 0 OR COALESCE(d > 25000, false) OR COALESCE(NOT {_same_city_sql("evi_city", "inc_city")}, false) OR COALESCE(lower(evi_state) <> lower(inc_state), false) AS gone,
+  contextual OR (COALESCE(lower(evi_state) = lower(inc_state), false) AND evi_city IS NULL) AS ctx, NOT placed AND (inc_city IS NULL OR evi_city IS NULL) AS side FROM lk LEFT JOIN dot ON dot.headline = lk.headline AND dot.title = lk.title),
+ sw AS (SELECT *, 0.30::DOUBLE * semantic + 0.25::DOUBLE * entity + 0.20::DOUBLE * temporal + 0.15::DOUBLE * cat + 0.10::DOUBLE * spatial AS w0 FROM en),
+ sc AS (SELECT *, CASE WHEN side AND NOT ctx THEN greatest(w0 - 0.10::DOUBLE, 0.0) ELSE w0 END AS s FROM sw),
+ links AS (SELECT id, evidence_id, publisher, sha256, url, wire, CASE WHEN gone THEN 0.0::DOUBLE WHEN denied AND entity >= 0.7 THEN 0.85 ELSE {r4_sql("s")} END AS overall, CASE WHEN gone THEN 'IRRELEVANT' WHEN denied AND entity >= 0.7 THEN 'CONTRADICTORY' WHEN ctx AND s >= 0.35 THEN 'CONTEXTUAL'
+  WHEN s >= 0.65 AND semantic >= 0.35 AND entity >= 0.7 AND temporal >= 0.5 THEN 'SUPPORTING' WHEN s >= 0.5 AND (entity >= 0.5 OR semantic >= 0.4) THEN 'RELATED' ELSE 'IRRELEVANT' END AS relationship FROM sc)"""
+
+
+def _links(spark, sf_dir) -> DataFrame:
+    return ev.link_candidates(dm.reports(spark, sf_dir), dm.evidence(spark, sf_dir), dm.CATEGORIES)
 
 
 @query(f"WITH {_LINKS} SELECT id, evidence_id, overall, relationship FROM links")
@@ -331,12 +392,15 @@ def evidence_links(spark, sf_dir):
 
 
 _TOP = "top10 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overall DESC, evidence_id) AS r FROM links WHERE relationship <> 'IRRELEVANT') WHERE r <= 10)"
-_GROUPS = "grp AS (SELECT id, 'hash:' || sha256 AS origin, max(overall) AS confidence, max(CASE relationship WHEN 'SUPPORTING' THEN 1.0 WHEN 'RELATED' THEN 0.35 ELSE 0.0 END::DOUBLE) AS role_weight, count(*) AS members, arg_max(relationship, {'o': overall, 'e': -evidence_id}) AS relationship FROM top10 GROUP BY 1, 2)"
+_ORIGIN = "COALESCE('hash:' || CASE WHEN evidence_id % 3 = 0 THEN sha256 END, 'url:' || url, 'wire:' || wire, 'domain:' || CASE WHEN evidence_id % 2 = 0 THEN publisher END, 'id:' || evidence_id)"
+_GROUPS = f"grp AS (SELECT id, {_ORIGIN} AS origin, max(overall) AS confidence, max(CASE relationship WHEN 'SUPPORTING' THEN 1.0 WHEN 'RELATED' THEN 0.35 WHEN 'CONTEXTUAL' THEN 0.20 ELSE 0.0 END::DOUBLE) AS role_weight, count(*) AS members, arg_max(relationship, {{'o': overall, 'e': -evidence_id}}) AS relationship FROM top10 GROUP BY 1, 2)"
 
 
 def _grouped(spark, sf_dir) -> DataFrame:
-    top10 = ev.strongest(_links(spark, sf_dir).select("id", "evidence_id", "publisher", "sha256", "overall", "relationship"))
-    return ev.provenance_groups(top10.withColumns({"url": F.lit(None).cast("string"), "wire": F.lit(None).cast("string")}))
+    """Some articles lack a hash, some a publisher, so that every level of origin decides for some."""
+    k = F.col("evidence_id")
+    some = _links(spark, sf_dir).withColumns({"sha256": F.when(k % 3 == 0, F.col("sha256")), "publisher": F.when(k % 2 == 0, F.col("publisher"))})
+    return ev.provenance_groups(ev.strongest(some))
 
 
 @query(f"WITH {_LINKS}, {_TOP}, {_GROUPS} SELECT * FROM grp")
@@ -345,29 +409,41 @@ def evidence_provenance_groups(spark, sf_dir):
 
 
 def _raw_sql(evidence: str, joins: str) -> str:
-    base = "(least(greatest(trust, 0.10::DOUBLE), 0.95::DOUBLE) * (0.70::DOUBLE + 0.30::DOUBLE * (0.30::DOUBLE + 0.25::DOUBLE + 0.20::DOUBLE + 0.15::DOUBLE + 0.10::DOUBLE)))"
-    families = f"(1 + CASE WHEN {joins} AND family <> 'NEWS' THEN 1 ELSE 0 END)"
+    full = " + ".join(f"CASE WHEN {c} THEN {w}::DOUBLE ELSE 0.0::DOUBLE END" for c, w in (("true", 0.30), ("true", 0.25), ("has_place", 0.20), ("has_text", 0.15), ("has_category", 0.10)))
+    base = f"(least(greatest(trust, 0.10::DOUBLE), 0.95::DOUBLE) * (0.70::DOUBLE + 0.30::DOUBLE * ({full})))"
+    families = f"(1 + CASE WHEN {joins} AND family <> 'NEWS' THEN 1 ELSE 0 END + CASE WHEN stations > 0 AND family <> 'SENSOR' THEN 1 ELSE 0 END)"
     crowd = "(CASE WHEN members > 1 THEN 1 - exp(-(members - 1) / 3.0::DOUBLE) ELSE 0.0::DOUBLE END)"
-    cap = f"(CASE WHEN NOT ({crowd} > 0.01 OR {evidence} > 0.01) THEN CASE family WHEN 'CITIZEN' THEN 0.65 WHEN 'OFFICIAL' THEN 0.88 ELSE 0.75 END WHEN {families} = 1 THEN 0.82 ELSE 0.98 END::DOUBLE)"
-    lift = f"((1 - {base}) * least(least(0.30::DOUBLE * {crowd} + 0.50::DOUBLE * {evidence}, 1.0) * (1 + 0.06::DOUBLE * ({families} - 1)), 1.0))"
-    return f"round(greatest(least({base} + {lift}, {cap}), 0.0), 4)"
+    heard = f"({crowd} > 0.01 OR {evidence} > 0.01 OR observation > 0.01)"
+    cap = f"(CASE WHEN NOT {heard} THEN CASE family WHEN 'CITIZEN' THEN 0.65 WHEN 'OFFICIAL' THEN 0.88 ELSE 0.75 END WHEN {families} = 1 THEN 0.82 WHEN NOT {evidence} > 0.01 AND NOT {crowd} > 0.01 AND {families} = 2 THEN 0.85 ELSE 0.98 END::DOUBLE)"
+    support = f"least(0.30::DOUBLE * {crowd} + 0.50::DOUBLE * {evidence} + 0.50::DOUBLE * observation, 1.0)"
+    lift = f"((1 - {base}) * least({support} * (1 + 0.06::DOUBLE * ({families} - 1)), 1.0))"
+    penalty = "least((1 - (1 - denial) * (1 - obs_denial)) * 0.5::DOUBLE, 0.5::DOUBLE)"
+    return r4_sql(f"greatest(least({base} + {lift} - {penalty}, {cap}), 0.0)")
 
 
 _VALUE = "0.5::DOUBLE * least(confidence * role_weight * (1 + 0.20::DOUBLE * ln(members)), 1.0)"
-_CRED = f"""st AS (SELECT id, 1 - exp(sum(ln(1 - CASE WHEN role_weight > 0 THEN {_VALUE} ELSE 0 END))) AS evidence_, 1 - exp(sum(ln(1 - CASE WHEN role_weight > 0 AND relationship <> 'RELATED' THEN {_VALUE} ELSE 0 END))) AS strong_,
-  count(*) FILTER (relationship = 'RELATED') AS weak_groups, count(*) FILTER (confidence * role_weight > 0.1 AND relationship <> 'RELATED') AS strong_heard, count(*) FILTER (confidence * role_weight > 0.1) AS heard FROM grp GROUP BY 1),
+_NOISY = lambda v: f"CASE WHEN max(CASE WHEN greatest(1 - ({v}), 0.0) = 0 THEN 1 ELSE 0 END) = 1 THEN 1.0 ELSE 1 - exp(sum(CASE WHEN greatest(1 - ({v}), 0.0) > 0 THEN ln(greatest(1 - ({v}), 0.0)) ELSE 0.0 END)) END"
+_COUNTS, _WEAK = "relationship <> 'CONTRADICTORY' AND role_weight > 0", "relationship IN ('RELATED', 'CONTEXTUAL')"
+_CRED = f"""st AS (SELECT id, {_NOISY(f"CASE WHEN {_COUNTS} THEN {_VALUE} ELSE 0.0 END")} AS evidence_, {_NOISY(f"CASE WHEN {_COUNTS} AND NOT {_WEAK} THEN {_VALUE} ELSE 0.0 END")} AS strong_,
+  count(*) FILTER ({_COUNTS} AND {_WEAK}) AS weak_groups, count(*) FILTER ({_COUNTS} AND confidence * role_weight > 0.1 AND NOT {_WEAK}) AS strong_heard, count(*) FILTER ({_COUNTS} AND confidence * role_weight > 0.1) AS heard,
+  {_NOISY("CASE WHEN relationship = 'CONTRADICTORY' THEN 0.6::DOUBLE * confidence ELSE 0.0 END")} AS denial FROM grp GROUP BY 1),
+ so AS (SELECT id, source_id, station, max(score) AS score, max(CASE relationship WHEN 'CORROBORATING' THEN 1.0 WHEN 'CONSISTENT' THEN 0.5 WHEN 'WEAK' THEN 0.2 ELSE 0.0 END::DOUBLE) AS rel, max(CASE WHEN relationship = 'CONTRADICTORY' THEN score END) AS against FROM corr GROUP BY 1, 2, 3),
+ sn AS (SELECT id, {_NOISY("CASE WHEN rel > 0 THEN 0.6::DOUBLE * least(score * rel, 1.0) ELSE 0.0 END")} AS observation, {_NOISY("0.4::DOUBLE * COALESCE(against, 0.0)")} AS obs_denial, count(*) FILTER (score * rel > 0.1) AS stations FROM so GROUP BY 1),
  inp AS (SELECT r.id, r.trust, CASE WHEN source_type LIKE '%CITIZEN%' THEN 'CITIZEN' WHEN source_type LIKE '%OFFICIAL%' THEN 'OFFICIAL' WHEN source_type LIKE '%NEWS%' THEN 'NEWS' WHEN source_type LIKE '%SOCIAL%' THEN 'SOCIAL' ELSE 'SENSOR' END AS family,
-  CAST(1 + r.id % 5 AS BIGINT) AS members, COALESCE(evidence_, 0.0) AS evidence_, COALESCE(strong_, 0.0) AS strong_, COALESCE(weak_groups, 0) AS weak_groups, COALESCE(strong_heard, 0) AS strong_heard, COALESCE(heard, 0) AS heard FROM reports r LEFT JOIN st ON st.id = r.id WHERE r.id % 40 = 0),
+  CAST(1 + r.id % 5 AS BIGINT) AS members, location_name IS NOT NULL AS has_place, COALESCE(length(description) >= 5, false) AS has_text, category_code <> 'OTHER' AS has_category, COALESCE(evidence_, 0.0) AS evidence_, COALESCE(strong_, 0.0) AS strong_, COALESCE(weak_groups, 0) AS weak_groups,
+  COALESCE(strong_heard, 0) AS strong_heard, COALESCE(heard, 0) AS heard, COALESCE(denial, 0.0) AS denial, COALESCE(observation, 0.0) AS observation, COALESCE(obs_denial, 0.0) AS obs_denial, COALESCE(stations, 0) AS stations FROM reports r LEFT JOIN st ON st.id = r.id LEFT JOIN sn ON sn.id = r.id),
  two AS (SELECT id, weak_groups, {_raw_sql("strong_", "strong_heard > 0")} AS strong_score, {_raw_sql("evidence_", "heard > 0")} AS full_score FROM inp)"""
 
 
-@query(f"WITH {_LINKS}, {_TOP}, {_GROUPS}, {_CRED} SELECT id, strong_score, full_score, {cr.weak_capped_sql('strong_score', 'full_score', 'weak_groups > 0')} AS credibility FROM two")
+@query(f"WITH {_LINKS}, {_TOP}, {_GROUPS}, {_OBS}, {_HISTORY}, {_CORR}, {_CRED} SELECT id, strong_score, full_score, {cr.weak_capped_sql('strong_score', 'full_score', 'weak_groups > 0')} AS credibility FROM two")
 def credibility_scores(spark, sf_dir):
-    reports = _some_reports(spark, sf_dir)
-    inputs = reports.select("id", "trust", cr.family(F.col("source_type")).alias("family"), (1 + F.col("id") % 5).alias("members")).join(cr.evidence_strength(_grouped(spark, sf_dir)), "id", "left")
-    present = {f"has_{c}": F.lit(True) for c in ("coords", "time", "place", "text", "category")}
-    none = {"observation": F.lit(0.0), "obs_denial": F.lit(0.0), "stations": F.lit(0)}
-    return cr.score(inputs.withColumns(present | none))
+    """Every report from its source, its completeness, its evidence and the stations around it."""
+    reports = dm.reports(spark, sf_dir)
+    stated = {"has_coords": F.col("lat").isNotNull(), "has_time": F.col("occurred_at").isNotNull(), "has_place": F.col("location_name").isNotNull(), "has_text": F.coalesce(F.length("description") >= 5, F.lit(False)), "has_category": F.col("category_code") != "OTHER"}
+    inputs = reports.withColumns(stated).select("id", "trust", *stated, cr.family(F.col("source_type")).alias("family"), (1 + F.col("id") % 5).alias("members"))
+    heard = cr.evidence_strength(_grouped(spark, sf_dir))
+    seen = cr.observation_strength(ob.matches(reports, dm.observations(spark, sf_dir)))
+    return cr.score(inputs.join(heard, "id", "left").join(seen, "id", "left"))
 
 
 @query(f"WITH x AS (SELECT id, credibility AS strong, least(round(credibility + (id % 90) / 1000.0::DOUBLE, 4), 0.98) AS full_ FROM incidents) SELECT id, {cr.weak_capped_sql('strong', 'full_', 'id % 3 <> 0')} AS capped FROM x")

@@ -1,7 +1,7 @@
 """The domain's tables as views over the driver's tables, and the same views in SQL.
 
 ``incidents`` spreads orders over a subcontinent and years, for the dashboards. ``reports``
-puts them into one city and week, so that they meet in space and time. Observations come
+puts them into incidents of one week and region, so that they meet in space and time. Observations come
 from events, evidence from documents. All of it is integer arithmetic on keys, so any
 engine derives the same rows.
 """
@@ -62,18 +62,42 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# What reports say about their place, by incident; an empty text stands for none.
+LOCATIONS = ("Mula River bank, Pune", "Krishna basin, Satara", "Pune district", "Krishna Nagar, Nashik", "Nashik, Maharashtra", "Godavari nadi ghat, Nashik", "Satara market street", "Maharashtra coast", "")
+CITIES = ("Pune", "Satara", "Pune", "Nashik", "Nashik", "Nashik", "Satara", "", "")
+DETAILS = ("water enters houses along the Mula river bank", "street drain blocked at the underpass", "river overflowing, danger level breached at Pavana bridge", "trees down and traffic stopped", "")
+RIVERS, BASINS, DISTRICTS = ("Mula", "Krishna", "Godavari", "Pavana"), ("Krishna", "Godavari", "Bhima"), ("Pune", "Satara", "Nashik")
+TOLD = (" after heavy rain", " as flood and rain go on", ", rumour debunked by police", " while government reviews monsoon preparedness", "", " before a cricket match")
+
+
+def _headline(n: Column) -> Column:
+    return F.concat(F.lower(F.translate(pick(CATEGORIES, (n * 31) % 4), "_", " ")), F.lit(" near block "), ((n * 13) % 20).cast("string"), F.lit(" ward "), ((n * 7) % 6).cast("string"))
+
+
+def _spot(n: Column, dense: Column, factor: int, near: float, wide: float) -> Column:
+    """A degree of latitude or longitude: some lie in one metropolis, the others over a region of five degrees."""
+    return F.when(dense, near + (n * factor % 300) / F.lit(1000.0)).otherwise(wide + (n * factor % 5000) / F.lit(1000.0))
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, category_code, title, city, lat, lon, occurred_at, trust, credibility): one city, one week."""
+    """Reports of one week: up to eight of an incident, a kilometre and some hours apart, in one region."""
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    category = pick(CATEGORIES, (k * 31) % 4)
-    return o.select(
-        k.alias("id"),
-        category.alias("category_code"),
-        F.concat(F.lower(F.translate(category, "_", " ")), F.lit(" near block "), ((k * 13) % 20).cast("string"), F.lit(" ward "), ((k * 7) % 6).cast("string")).alias("title"),
-        pick(("Pune", "Nashik"), F.floor(k / 8) % 2).alias("city"),
-        (18 + ((k * 7919) % 500) / F.lit(1000.0)).alias("lat"),
-        (73 + ((k * 104729) % 500) / F.lit(1000.0)).alias("lon"),
-        minutes_after("2024-01-08 00:00:00", (k * 7907) % 10080).alias("occurred_at"),
+    g, j = F.floor(k / 8), k % 8
+    n = g * 2 + F.when((g % 3 == 0) & (j >= 4), 1).otherwise(0)
+    rows = o.select(k.alias("id"), n.alias("n"), j.alias("j"))
+    k, n, j = F.col("id"), F.col("n"), F.col("j")
+    return rows.select(
+        "id",
+        "n",
+        pick(CATEGORIES, F.when(k % 11 == 0, (k * 31) % 13).otherwise((n * 31) % 4)).alias("category_code"),
+        F.concat(_headline(n), F.when(j % 2 == 1, F.lit(" roads submerged")).otherwise(F.lit(""))).alias("title"),
+        F.nullif(pick(DETAILS, n), F.lit("")).alias("description"),
+        F.nullif(pick(LOCATIONS, n), F.lit("")).alias("location_name"),
+        F.nullif(pick(CITIES, n), F.lit("")).alias("city"),
+        F.when(n % 7 != 0, "Maharashtra").alias("state"),
+        (_spot(n, n % 16 == 0, 7919, 18.5, 16.0) + (k * 13 % 9) / F.lit(1000.0)).alias("lat"),
+        (_spot(n, n % 16 == 0, 104729, 73.8, 73.0) + (k * 7 % 9) / F.lit(1000.0)).alias("lon"),
+        minutes_after("2024-01-08 00:00:00", (n * 7907) % 10080 + (j * 17) % 150).alias("occurred_at"),
         ((40 + (k * 11) % 56) / F.lit(100.0)).alias("trust"),
         pick(SOURCE_TYPES, k).alias("source_type"),
         ((300 + (k * 37) % 651) / F.lit(1000.0)).alias("credibility"),
@@ -81,32 +105,44 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(obs_id, source_id, station, observed_at, level_m, lat, lon): river levels of stations in the city."""
-    e, u = table(spark, sf_dir, "events"), F.col("user_id")
+    """River levels; each station stands in one place, at a river, and has two sources."""
+    e, k, u = table(spark, sf_dir, "events"), F.col("event_id"), F.floor(F.col("user_id") / 4)
     return e.select(
-        F.col("event_id").alias("obs_id"),
-        F.col("event_type").alias("source_id"),
+        k.alias("obs_id"),
+        pick(("CWC", "STATE"), k).alias("source_id"),
         u.alias("station"),
         utc("ts").alias("observed_at"),
-        F.when(F.col("event_id") % 29 != 0, F.col("value")).alias("level_m"),
-        (18 + ((u * 379) % 500) / F.lit(1000.0)).alias("lat"),
-        (73 + ((u * 743) % 500) / F.lit(1000.0)).alias("lon"),
+        F.when(k % 29 != 0, F.col("value") / 10).alias("level_m"),
+        _spot(u, u % 4 != 0, 379, 18.5, 16.0).alias("lat"),
+        _spot(u, u % 4 != 0, 743, 73.8, 73.0).alias("lon"),
+        pick(RIVERS, u).alias("river"),
+        pick(BASINS, u).alias("basin"),
+        pick(DISTRICTS, u).alias("district"),
+        F.lit("Maharashtra").alias("state"),
+        (8 + u % 7).cast("double").alias("warning_level_m"),
     )
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(evidence_id, publisher, language, published_at, city, lat, lon, sha256, snippet): articles about the week."""
+    """Articles about the week's incidents: a headline of their own, and the whole text of a document."""
     d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    n = k * 3
+    dense = k % 8 == 0
     return d.select(
         k.alias("evidence_id"),
         F.col("source").alias("publisher"),
         F.col("lang").alias("language"),
         minutes_after("2024-01-08 00:00:00", (k * 613) % 10080).alias("published_at"),
-        pick(("Pune", "Nashik", "Mumbai"), k).alias("city"),
-        F.when(k % 3 != 0, 18 + ((k * 271) % 500) / F.lit(1000.0)).alias("lat"),
-        F.when(k % 3 != 0, 73 + ((k * 577) % 500) / F.lit(1000.0)).alias("lon"),
+        F.nullif(pick(("Pune", "Nashik", "Satara", "Mumbai", ""), k), F.lit("")).alias("city"),
+        F.when(k % 4 != 0, "Maharashtra").alias("state"),
+        F.when(k % 5 < 2, F.concat(F.lit("ward "), ((n * 7) % 6).cast("string"))).alias("locality"),
+        F.when(k % 3 != 0, _spot(k, dense, 271, 18.5, 16.0)).alias("lat"),
+        F.when(k % 3 != 0, _spot(k, dense, 577, 73.8, 73.0)).alias("lon"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"),
-        F.substring("text", 1, 200).alias("snippet"),
+        F.when(k % 5 == 0, F.concat(F.lit("https://news.example/"), (k % 50).cast("string"))).alias("url"),
+        F.when(k % 7 == 0, "PTI").alias("wire"),
+        F.concat(_headline(n), pick(TOLD, k)).alias("headline"),
+        F.concat(_headline(n), pick(TOLD, k), F.lit(". "), F.coalesce("text", F.lit(""))).alias("text"),
     )
 
 
@@ -115,7 +151,15 @@ def _sql_pick(values: tuple[str, ...], index: str) -> str:
 
 
 _SEVERITY_SQL = "CASE o_orderpriority " + " ".join(f"WHEN '{p}' THEN '{s}'" for p, s in SEVERITY.items()) + " ELSE 'MODERATE' END"
-_REPORT_CATEGORY = _sql_pick(CATEGORIES, "(o_orderkey * 31) % 4")
+
+
+def _sql_headline(n: str) -> str:
+    return f"lower(replace({_sql_pick(CATEGORIES, f'({n} * 31) % 4')}, '_', ' ')) || ' near block ' || (({n} * 13) % 20) || ' ward ' || (({n} * 7) % 6)"
+
+
+def _sql_spot(n: str, dense: str, factor: int, near: float, wide: float) -> str:
+    return f"CASE WHEN {dense} THEN {near}::DOUBLE + ({n} * {factor} % 300) / 1000.0::DOUBLE ELSE {wide}::DOUBLE + ({n} * {factor} % 5000) / 1000.0::DOUBLE END"
+
 
 VIEWS = {
     "incidents": f"""SELECT o_orderkey AS id, 'TRK-' || o_orderkey AS tracking_id, o_custkey AS user_id, {_sql_pick(SOURCE_TYPES, "o_orderkey")} AS source_type,
@@ -123,16 +167,21 @@ VIEWS = {
  CASE WHEN o_orderkey % 17 = 0 THEN 'REJECTED' WHEN o_orderkey % 19 = 0 THEN 'DUPLICATE' WHEN o_orderstatus = 'P' THEN 'PENDING' WHEN o_orderstatus = 'O' THEN 'UNDER_REVIEW' ELSE 'VERIFIED' END AS status,
  NULLIF({_sql_pick(PLACES, "o_orderkey")}, '') AS location_name, 8 + ((o_orderkey * 7919) % 27000) / 1000.0::DOUBLE AS lat, 69 + ((o_orderkey * 104729) % 26000) / 1000.0::DOUBLE AS lon,
  CAST(o_orderdate AS TIMESTAMP) + to_minutes(CAST(o_orderkey % 1440 AS INTEGER)) AS occurred_at, (300 + (o_orderkey * 37) % 651) / 1000.0::DOUBLE AS credibility, o_orderkey % 23 = 0 AS is_demo FROM orders""",
-    "reports": f"""SELECT o_orderkey AS id, {_REPORT_CATEGORY} AS category_code,
- lower(replace({_REPORT_CATEGORY}, '_', ' ')) || ' near block ' || ((o_orderkey * 13) % 20) || ' ward ' || ((o_orderkey * 7) % 6) AS title,
- {_sql_pick(("Pune", "Nashik"), "(o_orderkey // 8) % 2")} AS city, 18 + ((o_orderkey * 7919) % 500) / 1000.0::DOUBLE AS lat, 73 + ((o_orderkey * 104729) % 500) / 1000.0::DOUBLE AS lon,
- TIMESTAMP '2024-01-08 00:00:00' + to_minutes(CAST((o_orderkey * 7907) % 10080 AS INTEGER)) AS occurred_at, (40 + (o_orderkey * 11) % 56) / 100.0::DOUBLE AS trust,
- {_sql_pick(SOURCE_TYPES, "o_orderkey")} AS source_type, (300 + (o_orderkey * 37) % 651) / 1000.0::DOUBLE AS credibility FROM orders""",
-    "observations": """SELECT event_id AS obs_id, event_type AS source_id, user_id AS station, CAST(ts AS TIMESTAMP) AS observed_at, CASE WHEN event_id % 29 <> 0 THEN value END AS level_m,
- 18 + ((user_id * 379) % 500) / 1000.0::DOUBLE AS lat, 73 + ((user_id * 743) % 500) / 1000.0::DOUBLE AS lon FROM events""",
+    "reports": f"""SELECT id, n, CASE WHEN id % 11 = 0 THEN {_sql_pick(CATEGORIES, "(id * 31) % 13")} ELSE {_sql_pick(CATEGORIES, "(n * 31) % 4")} END AS category_code,
+ {_sql_headline("n")} || CASE WHEN j % 2 = 1 THEN ' roads submerged' ELSE '' END AS title, NULLIF({_sql_pick(DETAILS, "n")}, '') AS description, NULLIF({_sql_pick(LOCATIONS, "n")}, '') AS location_name,
+ NULLIF({_sql_pick(CITIES, "n")}, '') AS city, CASE WHEN n % 7 <> 0 THEN 'Maharashtra' END AS state,
+ {_sql_spot("n", "n % 16 = 0", 7919, 18.5, 16.0)} + (id * 13 % 9) / 1000.0::DOUBLE AS lat, {_sql_spot("n", "n % 16 = 0", 104729, 73.8, 73.0)} + (id * 7 % 9) / 1000.0::DOUBLE AS lon,
+ TIMESTAMP '2024-01-08 00:00:00' + to_minutes(CAST((n * 7907) % 10080 + (j * 17) % 150 AS INTEGER)) AS occurred_at, (40 + (id * 11) % 56) / 100.0::DOUBLE AS trust,
+ {_sql_pick(SOURCE_TYPES, "id")} AS source_type, (300 + (id * 37) % 651) / 1000.0::DOUBLE AS credibility
+ FROM (SELECT o_orderkey AS id, o_orderkey % 8 AS j, (o_orderkey // 8) * 2 + CASE WHEN (o_orderkey // 8) % 3 = 0 AND o_orderkey % 8 >= 4 THEN 1 ELSE 0 END AS n FROM orders)""",
+    "observations": f"""SELECT event_id AS obs_id, {_sql_pick(("CWC", "STATE"), "event_id")} AS source_id, u AS station, CAST(ts AS TIMESTAMP) AS observed_at, CASE WHEN event_id % 29 <> 0 THEN value / 10 END AS level_m,
+ {_sql_spot("u", "u % 4 <> 0", 379, 18.5, 16.0)} AS lat, {_sql_spot("u", "u % 4 <> 0", 743, 73.8, 73.0)} AS lon, {_sql_pick(RIVERS, "u")} AS river, {_sql_pick(BASINS, "u")} AS basin, {_sql_pick(DISTRICTS, "u")} AS district,
+ 'Maharashtra' AS state, CAST(8 + u % 7 AS DOUBLE) AS warning_level_m FROM (SELECT *, user_id // 4 AS u FROM events)""",
     "evidence": f"""SELECT doc_id AS evidence_id, source AS publisher, lang AS language, TIMESTAMP '2024-01-08 00:00:00' + to_minutes(CAST((doc_id * 613) % 10080 AS INTEGER)) AS published_at,
- {_sql_pick(("Pune", "Nashik", "Mumbai"), "doc_id")} AS city, CASE WHEN doc_id % 3 <> 0 THEN 18 + ((doc_id * 271) % 500) / 1000.0::DOUBLE END AS lat,
- CASE WHEN doc_id % 3 <> 0 THEN 73 + ((doc_id * 577) % 500) / 1000.0::DOUBLE END AS lon, sha256(COALESCE(text, '')) AS sha256, substr(text, 1, 200) AS snippet FROM documents""",
+ NULLIF({_sql_pick(("Pune", "Nashik", "Satara", "Mumbai", ""), "doc_id")}, '') AS city, CASE WHEN doc_id % 4 <> 0 THEN 'Maharashtra' END AS state, CASE WHEN doc_id % 5 < 2 THEN 'ward ' || ((doc_id * 21) % 6) END AS locality,
+ CASE WHEN doc_id % 3 <> 0 THEN {_sql_spot("doc_id", "doc_id % 8 = 0", 271, 18.5, 16.0)} END AS lat, CASE WHEN doc_id % 3 <> 0 THEN {_sql_spot("doc_id", "doc_id % 8 = 0", 577, 73.8, 73.0)} END AS lon,
+ sha256(COALESCE(text, '')) AS sha256, CASE WHEN doc_id % 5 = 0 THEN 'https://news.example/' || (doc_id % 50) END AS url, CASE WHEN doc_id % 7 = 0 THEN 'PTI' END AS wire,
+ {_sql_headline("(doc_id * 3)")} || {_sql_pick(TOLD, "doc_id")} AS headline, {_sql_headline("(doc_id * 3)")} || {_sql_pick(TOLD, "doc_id")} || '. ' || COALESCE(text, '') AS text FROM documents""",
 }
 
 
