@@ -16,14 +16,39 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def upsert_reports(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Reports after an ingest: known (source_id, external_id) keep all but payload and updated_at; new ones start QUEUED, PENDING, 0."""
-    fresh = new.join(old.select("source_id", "external_id"), ["source_id", "external_id"], "left_anti")
+    """Reports after an ingest: known (source_id, external_id) keep all but payload and updated_at; new ones start QUEUED, PENDING, 0.
+
+    Of rows of a batch that share a key the latest by updated_at counts (then the largest payload and title), so a batch that repeats
+    itself adds nothing.
+    """
+    key = ["source_id", "external_id"]
+    new = latest(new, key, [F.col("updated_at").desc_nulls_last(), F.col("payload").desc_nulls_last(), F.col("title").desc_nulls_last()])
+    fresh = new.join(old.select(*key), key, "left_anti")
     fresh = fresh.withColumns({"processing_status": F.lit("QUEUED"), "status": F.lit("PENDING"), "credibility": F.lit(0.0), "is_demo": F.coalesce(F.col("title").startswith("[DEMO]") | F.col("external_id").startswith("DEMO-"), F.lit(False))})
-    seen = new.select("source_id", "external_id", F.col("payload").alias("__p"), F.col("updated_at").alias("__u"))
-    kept = old.join(seen, ["source_id", "external_id"], "left").withColumns({"payload": F.coalesce("__p", "payload"), "updated_at": F.coalesce("__u", "updated_at")}).drop("__p", "__u")
+    seen = new.select(*key, F.col("payload").alias("__p"), F.col("updated_at").alias("__u"))
+    kept = old.join(seen, key, "left").withColumns({"payload": F.coalesce("__p", "payload"), "updated_at": F.coalesce("__u", "updated_at")}).drop("__p", "__u")
     return kept.unionByName(fresh.select(*kept.columns))
 
 
+def upsert_observations(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Last write wins for each (source_id, external_id), or (source_id, station, observed_at) where there is no external id."""
+    own = F.when(F.col("external_id").isNotNull(), F.concat(F.lit("x:"), "external_id")).otherwise(F.concat_ws("|", F.lit("s:"), F.col("station").cast("string"), F.col("observed_at").cast("string")))
+    return latest(rows.withColumn("__key", own), ["source_id", "__key"], order).drop("__key")
+
+
+def upsert_evidence(old: DataFrame, new: DataFrame, order: list[Column]) -> DataFrame:
+    """Evidence after an ingest: the batch's last row of each (source_id, external_id) replaces the stored one."""
+    key = ["source_id", "external_id"]
+    last = latest(new, key, order)
+    return old.join(last.select(*key), key, "left_anti").unionByName(last.select(*old.columns))
+
+
+def retained(observations: DataFrame, evidence: DataFrame, cutoff: str) -> dict[str, DataFrame]:
+    """What a retention run keeps: observations from the cutoff on, and evidence by its time of publication, else of capture."""
+    at = F.lit(cutoff).cast("timestamp")
+    return {"observations": observations.where(F.col("observed_at") >= at), "evidence": evidence.where(F.coalesce("published_at", "captured_at") >= at)}
+
+
 def transition_ok(before: Column, after: Column) -> Column:
     """Whether a status may follow another."""
     out = F.lit(False)

@@ -489,15 +489,16 @@ def text_tokens(spark, sf_dir):
     return tx.token_vectors(titles, "key", "title").select(F.col("key").alias("title"), "token", F.round("weight", 6).alias("weight"))
 
 
-_SMALL_KEYWORDS = {"ARTICLE": ("the", "and the", "of"), "LE": ("le", "de la", "des"), "DER": ("der", "und", "die"), "EL": ("el", "los", "de")}
+def _keyword_sql() -> str:
+    """Scores of all classes as rows: a table of keywords against the headlines, so that the SQL is none of one long expression."""
+    rows = ", ".join(f"({n}, '{c}', '{w}', {'true' if ' ' in w else 'false'})" for n, (c, words) in enumerate(tx.KEYWORDS.items()) for w in words)
+    return f"""WITH kw AS (SELECT * FROM (VALUES {rows}) v(n, c, w, phrase)), t AS (SELECT t, regexp_split_to_array(t, '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS ws FROM (SELECT DISTINCT lower(headline) AS t FROM evidence)), s AS (SELECT t, n, c, sum(CASE WHEN phrase THEN 3 ELSE 1 END) AS s FROM t, kw WHERE CASE WHEN phrase THEN contains(t, w) ELSE list_contains(ws, w) END GROUP BY 1, 2, 3),
+ b AS (SELECT t, c FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY s DESC, n) AS r FROM s) WHERE r = 1) SELECT evidence_id, COALESCE(c, 'OTHER') AS class FROM evidence LEFT JOIN b ON b.t = lower(headline)"""
 
 
-@query("""WITH h AS (SELECT doc_id, lower(text) AS t FROM documents), s AS (SELECT doc_id, """ + ", ".join(
-    " + ".join(f"CASE WHEN {('contains(t, ' + repr(w) + ')') if ' ' in w else 'regexp_matches(t, ' + repr('(^|[^0-9A-Za-z_' + chr(0xC0) + '-' + chr(0x24F) + '])' + w + '($|[^0-9A-Za-z_' + chr(0xC0) + '-' + chr(0x24F) + '])') + ')'} THEN {3 if ' ' in w else 1} ELSE 0 END" for w in words) + f" AS s{i}"
-    for i, words in enumerate(_SMALL_KEYWORDS.values())) + """ FROM h)
- SELECT doc_id, CASE WHEN greatest(s0, s1, s2, s3) = 0 THEN 'OTHER' WHEN s0 >= greatest(s1, s2, s3) THEN 'ARTICLE' WHEN s1 >= greatest(s2, s3) THEN 'LE' WHEN s2 >= s3 THEN 'DER' ELSE 'EL' END AS class FROM s""")
+@query(_keyword_sql())
 def keyword_category(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.keyword_class(F.col("text"), _SMALL_KEYWORDS).alias("class"))
+    return dm.evidence(spark, sf_dir).select("evidence_id", tx.keyword_class(F.col("headline")).alias("class"))
 
 
 @query(r"SELECT conv_id, turn, regexp_matches(lower(text), '\b(" + "|".join(tx.CONTEXTUAL) + r")\b') AS contextual, regexp_matches(lower(text), '\b(" + "|".join(tx.DENYING) + r")\b') AS denying FROM conversations")

@@ -146,6 +146,31 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+STATES = ("INTELLIGENCE_READY", "INTELLIGENCE_PARTIAL", "INTELLIGENCE_FAILED", "INTELLIGENCE_PENDING")
+PROCESSED = ("COMPLETED", "PARTIAL_INTELLIGENCE", "FAILED", "QUEUED")
+REPORTED = ("flooding in street", "Heavy_Rainfall", "FOG", "DUST_STORM", "landslide risk", "")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``incidents`` with what the stages wrote: (reported_category, processing_status, payload, explanation, updated_at, created_at)."""
+    k = F.col("id")
+    stages = F.concat(F.lit('{"orchestration":{"overall_readiness":"'), pick(STATES, k), F.lit('","stages":{"LOCATION":{"status":"SUCCESS","attempt":1},"EVIDENCE":{"status":"'), F.when(k % 3 == 0, "FAILED").otherwise("SUCCESS"), F.lit('","attempt":'), (1 + k % 3).cast("string"), F.lit("}}}}"))
+    told = F.concat(
+        F.lit('{"positive_drivers":['), F.when(k % 2 == 0, F.lit('"High trust."')).otherwise(F.lit("")), F.lit('],"negative_drivers":['), F.when(k % 3 == 0, F.lit('"Sensor denies."')).otherwise(F.lit("")),
+        F.lit('],"uncertainty_flags":['), F.when(k % 5 == 0, F.lit('"No coordinates."')).otherwise(F.lit("")), F.lit('],"explanation":"Assessment\\n line '), (k % 9).cast("string"), F.lit('","source_prior":0.'), (40 + k % 50).cast("string"),
+        F.when(k % 7 == 0, F.lit(',"assessed_at":"2001-09-01 00:00:00"')).otherwise(F.lit("")), F.lit("}"),
+    )
+    return incidents(spark, sf_dir).withColumns(
+        {"reported_category": F.nullif(pick(REPORTED, k), F.lit("")), "processing_status": pick(PROCESSED, F.floor(k / 4)), "payload": F.when(k % 5 != 0, stages), "explanation": F.when(k % 4 != 0, told),
+         "created_at": F.col("occurred_at"), "updated_at": F.when(k % 2 == 0, F.timestamp_seconds(F.unix_timestamp("occurred_at") + 3600))}
+    )
+
+
+def evidence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, evidence_id, confidence, relationship): line items as stored links of incidents to articles."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 200).alias("evidence_id"), (F.floor(F.col("l_quantity")) * 19 % 101 / F.lit(100.0)).alias("confidence"), pick(("SUPPORTING", "RELATED", "CONTEXTUAL"), F.col("l_linenumber")).alias("relationship"))
+
+
 def _sql_pick(values: tuple[str, ...], index: str) -> str:
     return f"([{', '.join(repr(v) for v in values)}])[CAST(({index}) % {len(values)} AS INTEGER) + 1]"
 
@@ -167,6 +192,12 @@ VIEWS = {
  CASE WHEN o_orderkey % 17 = 0 THEN 'REJECTED' WHEN o_orderkey % 19 = 0 THEN 'DUPLICATE' WHEN o_orderstatus = 'P' THEN 'PENDING' WHEN o_orderstatus = 'O' THEN 'UNDER_REVIEW' ELSE 'VERIFIED' END AS status,
  NULLIF({_sql_pick(PLACES, "o_orderkey")}, '') AS location_name, 8 + ((o_orderkey * 7919) % 27000) / 1000.0::DOUBLE AS lat, 69 + ((o_orderkey * 104729) % 26000) / 1000.0::DOUBLE AS lon,
  CAST(o_orderdate AS TIMESTAMP) + to_minutes(CAST(o_orderkey % 1440 AS INTEGER)) AS occurred_at, (300 + (o_orderkey * 37) % 651) / 1000.0::DOUBLE AS credibility, o_orderkey % 23 = 0 AS is_demo FROM orders""",
+    "files": f"""SELECT i.*, NULLIF({_sql_pick(REPORTED, "id")}, '') AS reported_category, {_sql_pick(PROCESSED, "id // 4")} AS processing_status,
+ CASE WHEN id % 5 <> 0 THEN '{{"orchestration":{{"overall_readiness":"' || {_sql_pick(STATES, "id")} || '","stages":{{"LOCATION":{{"status":"SUCCESS","attempt":1}},"EVIDENCE":{{"status":"' || CASE WHEN id % 3 = 0 THEN 'FAILED' ELSE 'SUCCESS' END || '","attempt":' || (1 + id % 3) || '}}}}}}}}' END AS payload,
+ CASE WHEN id % 4 <> 0 THEN '{{"positive_drivers":[' || CASE WHEN id % 2 = 0 THEN '"High trust."' ELSE '' END || '],"negative_drivers":[' || CASE WHEN id % 3 = 0 THEN '"Sensor denies."' ELSE '' END || '],"uncertainty_flags":[' || CASE WHEN id % 5 = 0 THEN '"No coordinates."' ELSE '' END
+  || '],"explanation":"Assessment\\n line ' || (id % 9) || '","source_prior":0.' || (40 + id % 50) || CASE WHEN id % 7 = 0 THEN ',"assessed_at":"2001-09-01 00:00:00"' ELSE '' END || '}}' END AS explanation,
+ occurred_at AS created_at, CASE WHEN id % 2 = 0 THEN occurred_at + INTERVAL 1 HOUR END AS updated_at FROM incidents i""",
+    "evidence_links": f"""SELECT l_orderkey AS id, (l_partkey * 7 + l_linenumber) % 200 AS evidence_id, CAST(floor(l_quantity) AS BIGINT) * 19 % 101 / 100.0::DOUBLE AS confidence, {_sql_pick(("SUPPORTING", "RELATED", "CONTEXTUAL"), "l_linenumber")} AS relationship FROM lineitem""",
     "reports": f"""SELECT id, n, CASE WHEN id % 11 = 0 THEN {_sql_pick(CATEGORIES, "(id * 31) % 13")} ELSE {_sql_pick(CATEGORIES, "(n * 31) % 4")} END AS category_code,
  {_sql_headline("n")} || CASE WHEN j % 2 = 1 THEN ' roads submerged' ELSE '' END AS title, NULLIF({_sql_pick(DETAILS, "n")}, '') AS description, NULLIF({_sql_pick(LOCATIONS, "n")}, '') AS location_name,
  NULLIF({_sql_pick(CITIES, "n")}, '') AS city, CASE WHEN n % 7 <> 0 THEN 'Maharashtra' END AS state,
@@ -189,7 +220,7 @@ def sql(body: str) -> str:
     """A query over the views it names."""
     import re
 
-    used = [v for v in VIEWS if re.search(rf"\b{v}\b", body)]
+    used = [v for v in VIEWS if re.search(rf"\b{v}\b", body) or (v == "incidents" and re.search(r"\bfiles\b", body))]
     head = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in used)
     if not head:
         return body
