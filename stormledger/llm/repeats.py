@@ -35,8 +35,8 @@ SCAN = 1 << 18
 CHUNK = 1 << 20
 #: Bytes of super-k-mers whose windows are compared together.
 RESOLVE = 1 << 15
-#: Buckets for each shuffle partition.
-BUCKETS = 2
+#: Buckets for each shuffle partition: so many that partitions get about as many each.
+BUCKETS = 8
 #: Ids from here on stand for null ids, after all others: one for each text (by its hash).
 NULL_IDS = (1 << 63) - 1 - (1 << 40)
 _BASE = 0x9E3779B97F4A7C15

@@ -12,6 +12,18 @@ from pyspark.sql import DataFrame
 from .repeats import run_hashes, without_repeats
 
 
+def grouped(text: list[int]) -> tuple[list[int], list[bool]]:
+    """The places of a text by symbol, and which of them begin a new symbol: a radix sort, 16 bits at a time, so linear."""
+    symbols = np.array(text, "u4")
+    order = np.argsort((symbols & 0xFFFF).astype("u2"), kind="stable")
+    if len(symbols) and symbols.max() > 0xFFFF:
+        order = order[np.argsort((symbols >> 16).astype("u2")[order], kind="stable")]
+    ranked = symbols[order]
+    first = np.ones(len(ranked), bool)
+    first[1:] = ranked[1:] != ranked[:-1]
+    return order.tolist(), first.tolist()
+
+
 def suffix_array(text: list[int]) -> list[int]:
     """Suffix array of a list of ints whose last one is smaller than all others.
 
@@ -24,14 +36,14 @@ def suffix_array(text: list[int]) -> list[int]:
     before that, next in their groups.
     """
     n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
+    order, first = grouped(text)
     place, group, end = [0] * n, [0] * n, [0] * n  # end: the last place of the group that starts there
     start = 0
     for i, s in enumerate(order):
-        if i and text[s] != text[order[i - 1]]:
+        if first[i]:
             start = i
         place[s], group[s], end[start] = i, start, i
-    prev = [-1] * n
+    prev = [-2] * n  # -2: not known yet
     last = n - 1
     while last >= 0:
         start = group[order[last]]
@@ -49,12 +61,19 @@ def suffix_array(text: list[int]) -> list[int]:
             last -= 1
             continue
         counts: dict[int, int] = {}
-        for s in sorted(order[start : last + 1]):
-            p = s - 1
-            while p >= 0 and group[p] >= start:
-                p = prev[p]
-            prev[s] = p
-            if p >= 0:
+        for s in order[start : last + 1]:
+            if prev[s] == -2:  # pointers within the group come first: each is followed once
+                chain = [(s, s - 1)]
+                while chain:
+                    q, p = chain.pop()
+                    while p >= 0 and group[p] >= start:
+                        if (up := prev[p]) == -2:
+                            chain += [(q, p), (p, p - 1)]
+                            break
+                        p = up
+                    else:
+                        prev[q] = p
+            if (p := prev[s]) >= 0:
                 counts[p] = counts.get(p, 0) + 1
         levels: dict[int, list[int]] = {}
         for p, k in counts.items():
