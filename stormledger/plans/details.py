@@ -211,10 +211,10 @@ def signal_families(spark, sf_dir):
 
 @query("""SELECT id, array_to_string(list_filter([CASE WHEN credibility >= 0.8 THEN 'High institutional source trust (' || printf('%.2f', floor(credibility * 100) / 100) || ') from ' || source_type || '.' WHEN credibility >= 0.5 THEN 'Moderate baseline source trust (' || printf('%.2f', floor(credibility * 100) / 100) || ') from ' || source_type || '.' END,
  CASE WHEN crowd > 0.2 THEN 'Crowd volume signal (sub-signal: ' || printf('%.2f', crowd) || ').' END, CASE WHEN ev > 0.2 THEN 'Digital evidence corroboration (score: ' || printf('%.2f', ev) || ').' END], lambda x: x IS NOT NULL), ' ') AS positive,
- CASE WHEN id % 10 > 0 THEN 'Diagnostic negative penalty of -' || printf('%.4f', id % 10 / 16.0) || ' applied due to contradictory physical telemetry or debunking evidence.' ELSE '' END AS negative FROM (SELECT *, id % 4 / 4.0::DOUBLE AS crowd, id % 8 / 8.0::DOUBLE AS ev FROM incidents)""")
+ CASE WHEN id % 10 > 0 THEN 'Diagnostic negative penalty of -' || printf('%.4f', id % 10 / 16.0) || ' applied due to contradictory physical telemetry or debunking evidence.' ELSE '' END AS negative FROM (SELECT *, id % 4 / 4.0::DOUBLE AS crowd, id % 5 / 5.0::DOUBLE AS ev FROM incidents)""")
 def credibility_drivers(spark, sf_dir):
     k = F.col("id")
-    made = de.drivers(F.floor(F.col("credibility") * 100) / 100, k % 4 / F.lit(4.0), k % 8 / F.lit(8.0), F.lit(0.0), k % 10 / F.lit(16.0), F.col("source_type"))
+    made = de.drivers(F.floor(F.col("credibility") * 100) / 100, k % 4 / F.lit(4.0), k % 5 / F.lit(5.0), F.lit(0.0), k % 10 / F.lit(16.0), F.col("source_type"))
     return dm.incidents(spark, sf_dir).select("id", made.alias("x")).select("id", F.array_join("x.positive", " ").alias("positive"), F.array_join("x.negative", " ").alias("negative"))
 
 
