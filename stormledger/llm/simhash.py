@@ -108,7 +108,7 @@ def named_values(points: DataFrame, radius: int) -> DataFrame:
     return points.select("id", F.explode(F.transform(every, lambda x: x.bitwiseXOR(F.col("fp")))).alias("value"))
 
 
-def links_within(points: DataFrame, radius: int, masks: list[int], small: int = 64, middle: int = 4096) -> DataFrame:
+def links_within(points: DataFrame, radius: int, masks: list[int], small: int = 64, middle: int = 1 << 16) -> DataFrame:
     """Links (u, v) among distinct fingerprints (id, fp) such that two fingerprints are connected
     by links if and only if they are connected by steps of at most ``radius`` bits.
 
@@ -116,8 +116,8 @@ def links_within(points: DataFrame, radius: int, masks: list[int], small: int =
     the pairs connect. Buckets of up to ``small`` members are compared pair by pair. Beyond, members name the values near
     them: two fingerprints within r bits share a value within r // 2 bits of the one and r - r // 2 of the other, so all
     that name a value are linked to the smallest that names it from within r // 2. That is linear in the members; as a
-    radius above 2 takes many values for each member, buckets of up to ``middle`` members are compared in blocks
-    instead (see ``_block_links``), at most four copies of a member.
+    radius above 2 takes many values for each member (2,081 for radius 4), buckets of up to ``middle`` members are compared
+    in blocks instead (see ``_block_links``), with at most ``middle`` / 1024 copies of a member, which is far less.
     """
     members = bucketed(points, masks)
     found = bucket_pairs(members.where(F.col("n") <= small), radius).select("u", "v")
