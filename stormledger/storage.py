@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where none is set."""
+    """The session's spark.checkpoint.dir; in local mode a temporary folder where none is set.
+
+    On a cluster a folder of one machine is out of the others' sight, so there the setting is required.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="stormledger-")
         spark.conf.set("spark.checkpoint.dir", found)
