@@ -187,7 +187,7 @@ def read_records(archives: DataFrame, index: DataFrame, with_payload: bool = Tru
     revisit has those of its header and a null payload. An index of some members reads those alone. The index of one
     archive is as long as the archive has records, and archives are closed at a size.
     """
-    lists = index.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("members"))
+    lists = materialize(index.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("members")), "members")
     met = archives.select("archive", "data").join(lists, "archive").select("archive", "data", "members")
     names = ["archive", "offset", "record_type", "page_id", "url", "payload_bytes", "payload_digest", "refers_to", "payload"]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
