@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import materialize
+
 BITS = 64
 
 
@@ -118,8 +120,9 @@ def links_within(points: DataFrame, radius: int, masks: list[int], small: int =
     that name a value are linked to the smallest that names it from within r // 2. That is linear in the members; as a
     radius above 2 takes many values for each member (2,081 for radius 4), buckets of up to ``middle`` members are compared
     in blocks instead (see ``_block_links``), with at most ``middle`` / 1024 copies of a member, which is far less.
+    The members are written out once, as each of the three searches would otherwise shuffle every table anew.
     """
-    members = bucketed(points, masks)
+    members = materialize(bucketed(points, masks), "members")
     found = bucket_pairs(members.where(F.col("n") <= small), radius).select("u", "v")
     many = members.where(F.col("n") > small)
     if radius > 2:
