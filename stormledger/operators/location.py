@@ -53,6 +53,46 @@ def resolve(texts: DataFrame, places: DataFrame, key: str, text: str) -> DataFra
     return entities(texts, places, key, text).groupBy(key).agg(best.alias("x")).select(key, "x.*")
 
 
+def locate(reports: DataFrame, places: DataFrame, key: str = "id", text: str = "body") -> DataFrame:
+    """(key, method, status, city, state, lat, lon, confidence): one row for each row of reports (key, lat, lon, locality, location_name, city, state, text).
+
+    Declared coordinates count first (1.0; out of bounds: unresolved), then a declared locality (0.95), city (0.90) and state (0.0,
+    without a point), then names in the place's name and the text: a foreign name (0.90 with a point, else 0.0), a locality (0.95 beside
+    its own city or state, else 0.90), an ambiguous name alone (0.0), a city (0.95 beside its state, else 0.90), a state (0.0).
+    Candidates of an ambiguous name are not in the gazetteer, so a context doesn't settle it. Keys are distinct.
+    """
+    declared = reports.withColumn("__text", F.concat_ws(" ", "location_name", text))
+    wanted = F.array(*(F.struct(F.lit(k).alias("kind"), F.lower(F.trim(c)).alias("key")) for k, c in (("LOCALITY", F.coalesce("locality", "location_name")), ("CITY", F.col("city")), ("STATE", F.col("state")))))
+    row = ("city", "state", "lat", "lon")
+    asked = declared.select(F.col(key).alias("__id"), F.explode(wanted).alias("w")).select("__id", "w.*").where("key is not null")
+    named = asked.join(places, ["kind", "key"]).groupBy("__id").agg(*(F.first(F.when(F.col("kind") == k, F.struct(*row)), True).alias(f"d_{k}") for k in ("LOCALITY", "CITY", "STATE")))
+    first = lambda k: F.min_by(F.when(F.col("kind") == k, F.struct(*row)), F.when(F.col("kind") == k, F.col("nth"))).alias(f"t_{k}")
+    seen = [F.collect_set(F.when(F.col("kind") == k, F.col(k.lower()))).alias(f"n_{k}") for k in ("CITY", "STATE")]
+    told = entities(declared.select(F.col(key).alias("__id"), "__text"), places, "__id", "__text").groupBy("__id").agg(*map(first, CONFIDENCE), *seen)
+    full = declared.join(named, declared[key] == named["__id"], "left").drop("__id").join(told, declared[key] == told["__id"], "left")
+    beside = lambda k, *of: F.when(F.coalesce(sum((F.array_contains(f"n_{o.upper()}", F.col(f"{k}.{o}")).cast("int") for o in of), F.lit(0)) > 0, F.lit(False)), 0.95).otherwise(0.90)
+    none = F.struct(*(F.lit(None).cast(t).alias(c) for c, t in zip(row, ("string", "string", "double", "double"), strict=True)))
+    result = lambda method, status, place, sure: F.struct(F.lit(method).alias("method"), F.lit(status).alias("status"), *(place.getField(c).alias(c) for c in row), sure.cast("double").alias("confidence"))
+    given = F.struct(*(declared[c].alias(c) for c in row))
+    point = declared["lat"].isNotNull() & declared["lon"].isNotNull()
+    inside = declared["lat"].between(-90, 90) & declared["lon"].between(-180, 180)
+    steps = [
+        (point & inside, result("STRUCTURED_COORDINATES", "RESOLVED", given, F.lit(1.0))),
+        (point, result("STRUCTURED_COORDINATES", "UNRESOLVED", none, F.lit(0.0))),
+        (F.col("d_LOCALITY").isNotNull(), result("PLACE_DICTIONARY", "RESOLVED", F.col("d_LOCALITY"), F.lit(0.95))),
+        (F.col("d_CITY").isNotNull(), result("EXACT_ADMIN_MATCH", "RESOLVED", F.col("d_CITY"), F.lit(0.90))),
+        (F.col("d_STATE").isNotNull(), result("EXACT_ADMIN_MATCH", "RESOLVED", F.col("d_STATE"), F.lit(0.0))),
+        (F.col("t_FOREIGN").isNotNull(), result("NLP_ENTITY_RESOLUTION", "RESOLVED", F.col("t_FOREIGN"), F.when(F.col("t_FOREIGN.lat").isNotNull(), 0.90).otherwise(0.0))),
+        (F.col("t_LOCALITY").isNotNull(), result("NLP_ENTITY_RESOLUTION", "RESOLVED", F.col("t_LOCALITY"), beside("t_LOCALITY", "city", "state"))),
+        (F.col("t_AMBIGUOUS").isNotNull() & F.col("t_CITY").isNull(), result("NLP_ENTITY_RESOLUTION", "AMBIGUOUS", none, F.lit(0.0))),
+        (F.col("t_CITY").isNotNull(), result("NLP_ENTITY_RESOLUTION", "RESOLVED", F.col("t_CITY"), beside("t_CITY", "state"))),
+        (F.col("t_STATE").isNotNull(), result("NLP_ENTITY_RESOLUTION", "RESOLVED", F.col("t_STATE"), F.lit(0.0))),
+    ]
+    unresolved = result("NLP_ENTITY_RESOLUTION", "UNRESOLVED", none, F.lit(0.0))
+    out = F.coalesce(*(F.when(test, value) for test, value in steps), unresolved)
+    return full.select(declared[key].alias(key), out.alias("__x")).select(key, "__x.*")
+
+
 def mismatch(declared: Column, states: Column, foreign: Column, penalty: float = 0.10, cap: float = 0.15) -> Column:
     """{verdict, adjustment} of a declared state against the states that a text names."""
     named = F.size(states) > 0

@@ -227,6 +227,23 @@ def test_places(spark):
     assert (m("Kerala", ["kerala"], False), m("Kerala", ["Assam"], False), m("Kerala", [], True), m("Kerala", [], False)) == ("CONSISTENT", "MISMATCH", "MISMATCH", "NEUTRAL")
 
 
+def test_location_ladder(spark):
+    from stormledger.operators import location as lo
+
+    rows = [
+        (1, 18.5, 73.9, None, None, None, None, "Mumbai"), (2, 95.0, 73.9, None, None, "Pune", None, None), (3, None, None, "Andheri", None, None, None, None),
+        (4, None, None, None, "a bridge", " PUNE ", None, None), (5, None, None, None, None, None, "Kerala", "Kochi"), (6, None, None, None, None, None, None, "Andheri, Mumbai"),
+        (7, None, None, None, None, None, None, "rain in Andheri"), (8, None, None, None, None, None, None, "rain in Rajpur"), (9, None, None, None, None, None, None, "Pune, Maharashtra"),
+        (10, None, None, None, None, None, None, "Nepal and Pune"), (11, None, None, None, None, None, None, None), (12, None, None, None, None, None, None, "Rajpur near Pune"),
+    ]
+    schema = "id long, lat double, lon double, locality string, location_name string, city string, state string, body string"
+    got = {r["id"]: (r["status"], r["city"], r["confidence"]) for r in lo.locate(spark.createDataFrame(rows, schema), lo.gazetteer(spark)).collect()}
+    assert got == {
+        1: ("RESOLVED", None, 1.0), 2: ("UNRESOLVED", None, 0.0), 3: ("RESOLVED", "Mumbai", 0.95), 4: ("RESOLVED", "Pune", 0.90), 5: ("RESOLVED", None, 0.0), 6: ("RESOLVED", "Mumbai", 0.95),
+        7: ("RESOLVED", "Mumbai", 0.90), 8: ("AMBIGUOUS", None, 0.0), 9: ("RESOLVED", "Pune", 0.95), 10: ("RESOLVED", None, 0.0), 11: ("UNRESOLVED", None, 0.0), 12: ("RESOLVED", "Pune", 0.90),
+    }
+
+
 def test_images(spark):
     from stormledger.operators import images as im
 
