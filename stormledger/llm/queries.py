@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, mixing, neardup, pii, quality, substring, suffix, toxicity, warc
+from . import decontaminate, fingerprints, language, mixing, neardup, periodic, pii, quality, substring, suffix, toxicity, trie, warc
 from .common import table
 from .simhash import hex16
 
@@ -68,8 +68,20 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find_runs(table(spark, sf_dir, "documents"), seed=F.crc32(F.col("doc_id").cast("string"))).drop("runs", "collapsed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_warc, op3_mixing, op4_suffix, op5_toxicity, op6_substring, op7_quality, op8_decontamination, op9_simhash, op10_neardup)}
+    return {f.__name__: f for f in (op1_pii, op2_warc, op3_mixing, op4_suffix, op5_toxicity, op6_substring, op7_quality, op8_decontamination, op9_simhash, op10_neardup, op11_trie, op12_language, op13_periodic)}
 
 
 _OP2 = """WITH p AS (SELECT page_id, COALESCE(html, '') AS h FROM pages), d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS x FROM p),
@@ -98,6 +110,24 @@ _OP6 = r"""WITH t AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\
  SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n, 0) AS n_removed, sha256(COALESCE(k, '')) AS kept_sha256 FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id"""
 
 
+# The h of a conversation is crc32 of its decimal id, made bit by bit: each code point is a step, then eight shifts.
+_OP11 = """WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, COALESCE(role, '') AS r, COALESCE(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+ c AS (SELECT conv_id, xor(list_reduce(flatten(list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: list_concat([CAST(ord(substr(CAST(conv_id AS VARCHAR), CAST(i AS INTEGER), 1)) AS BIGINT)], list_transform(range(8), lambda z: -1)))),
+   lambda a, v: CASE WHEN v >= 0 THEN xor(a, v) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, 4294967295), 4294967295) % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+ m AS (SELECT c.conv_id, k, r, x FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND k <= h UNION ALL SELECT c.conv_id, k, r, x FROM c JOIN t ON t.conv_id = c.conv_id AND k > h),
+ s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS d, md5(length(r) || ':' || r || x) AS y, octet_length(encode(x)) AS b FROM m),
+ p AS (SELECT conv_id, d, b, md5(string_agg(y, '') OVER (PARTITION BY conv_id ORDER BY d)) AS id FROM s UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
+ q AS (SELECT *, lag(id) OVER (PARTITION BY conv_id ORDER BY d) AS up, d = max(d) OVER (PARTITION BY conv_id) AS over_ FROM p),
+ n AS (SELECT id, min(conv_id) AS conv_id, max(d) AS depth, max(up) AS up, count(*) AS n_convs, max(b) AS b, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (over_) AS ends FROM q GROUP BY id),
+ k AS (SELECT up, count(*) AS n_children FROM n GROUP BY up),
+ f AS (SELECT n.*, COALESCE(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.up = n.id),
+ sub AS (SELECT q.id, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.b) AS saved FROM f JOIN q ON q.conv_id = f.conv_id AND q.d <= f.depth GROUP BY q.id),
+ o AS (SELECT f.id, row_number() OVER (ORDER BY path) - 1 AS preorder FROM f JOIN (SELECT conv_id, d, COALESCE(string_agg(z, '') OVER (PARTITION BY conv_id ORDER BY d), '') AS path FROM (SELECT conv_id, d, substr(sha256(octet_length(encode(r)) || ':' || r || x), 1, 32) AS z FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS d, r, x FROM m) UNION ALL SELECT conv_id, 0, '' FROM c)) w ON w.conv_id = f.conv_id AND w.d = f.depth),
+ size AS (SELECT q.id, count(*) AS within_ FROM f JOIN q ON q.conv_id = f.conv_id AND q.d <= f.depth GROUP BY q.id)
+ SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(COALESCE(f.ends, '')) AS ends_sha256, preorder, preorder + within_ - 1 AS subtree_end
+ FROM f JOIN sub ON sub.id = f.id JOIN o ON o.id = f.id JOIN size ON size.id = f.id LEFT JOIN f AS parent ON parent.id = f.up"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL with the same rows, where SQL has the operations: XXH64 and fitted models it has not."""
-    return {"op2_warc": _OP2, "op4_suffix": _OP4, "op6_substring": _OP6}
+    return {"op2_warc": _OP2, "op4_suffix": _OP4, "op6_substring": _OP6, "op11_trie": _OP11}
