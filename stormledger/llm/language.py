@@ -14,6 +14,7 @@ import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -26,16 +27,18 @@ from .common import bucket_of, materialize
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: About so many training rows of each language lend their words to the fit (those with the smallest hashes of id and text);
 #: class sizes are counted over all rows.
-MOST_TRAINING_ROWS = 10_000
-ROUNDS = 4
+MOST_TRAINING_ROWS = 4_000
+ROUNDS = 3
 #: Weight of the pieces' distribution over all languages in each language's, in pieces; and of the uniform one in that.
 PRIOR, FLAT = 300.0, 2_000.0
 #: Words of at most so many bytes are worked on side by side.
 SHORT = 40
 #: Words whose likelihoods a task keeps; then it starts over.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 UNKNOWN = "und"
 _FIXED = 1 << 16
+#: More bytes than any piece has.
+_SPAN = 1 << 12
 _RUNS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -75,8 +78,8 @@ class Lattice:
         # A character that no piece has parts the words.
         line = "Ā".join(r.decode("latin-1") for r in raw)
         first = np.concatenate(([0], np.cumsum(self.size + 1)))[:-1]
-        hits = [(end, *piece) for end, piece in finder.iter(line)]
-        end, piece, size = np.array(hits, "i8").reshape(-1, 3).T if hits else np.zeros((3, 0), "i8")
+        end, found = np.fromiter(chain.from_iterable(finder.iter(line)), "i8").reshape(-1, 2).T
+        piece, size = found // _SPAN, found % _SPAN
         self.word = np.searchsorted(first, end, "right") - 1
         self.end = end + 1 - first[self.word]
         self.begin = self.end - size
@@ -133,7 +136,7 @@ def _log_sums(word: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _finder(pieces: tuple[bytes, ...]):
     found = ahocorasick.Automaton()
     for i, p in enumerate(pieces):
-        found.add_word(p.decode("latin-1"), (i, len(p)))
+        found.add_word(p.decode("latin-1"), i * _SPAN + len(p))
     found.make_automaton()
     return found
 
@@ -155,7 +158,8 @@ class Languages:
     names: list[str]
     prior: np.ndarray
     log_share: np.ndarray  # (pieces, languages)
-    seen: dict[str, np.ndarray] = field(default_factory=dict)
+    seen: dict[str, int] = field(default_factory=dict)  # rows of ``known``
+    known: list[np.ndarray] = field(default_factory=list)
 
     def word_likelihoods(self, words: list[str]) -> np.ndarray:
         """Log likelihood of each word under each language."""
@@ -170,14 +174,18 @@ class Languages:
         counted = [words_in(t) if self.names else Counter() for t in texts]
         if len(self.seen) > KEPT_WORDS:
             self.seen.clear()
+            self.known.clear()
         new = list({w for c in counted for w in c if w not in self.seen})
-        self.seen.update(zip(new, self.word_likelihoods(new), strict=True))
+        if new:
+            self.seen.update(zip(new, range(len(self.seen), len(self.seen) + len(new)), strict=True))
+            self.known = [np.concatenate([*self.known, self.word_likelihoods(new)])]
         out = []
         for c in counted:
             if not c:
                 out.append((UNKNOWN, 0.0))
                 continue
-            log = self.prior + np.array(list(c.values()), "f8") @ np.array([self.seen[w] for w in c])
+            rows = np.fromiter(map(self.seen.__getitem__, c), "i8", len(c))
+            log = self.prior + np.fromiter(c.values(), "f8", len(c)) @ self.known[0][rows]
             odds = np.exp(log - log.max())
             best = int(log.argmax())
             out.append((self.names[best], float(odds[best] / odds.sum())))
