@@ -16,11 +16,14 @@ from ..operators import duplicates as du
 from ..operators import evidence as ev
 from ..operators import images as im
 from ..operators import lifecycle as li
+from ..operators import location as lo
 from ..operators import nearby as ne
 from ..operators import observations as ob
 from ..operators import physical as ph
+from ..operators import similarity as sm
 from ..operators import text as tx
 from ..operators.categories import compatibility, compatibility_sql
+from ..storage import materialize
 from . import domain as dm
 from .domain import sql, table
 
@@ -188,33 +191,49 @@ def duplicate_candidates(spark, sf_dir):
 
 
 def _tokens_sql(texts: str) -> str:
-    """CTEs up to vec(k, t, w): token vectors of the texts (k) of a query."""
+    """CTEs up to vec(k, t, v) and norms(k, n): the tokens of texts (k, x), with their weights, and the length of each vector."""
     stop = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
     look = lambda x: f"CASE {x} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in tx.SYNONYMS.items()) + f" ELSE {x} END"
     arms = " ".join(f"WHEN length(w) > {len(e) + 3} AND ends_with(w, '{e}') THEN {look(f'w[1:length(w) - {len(e)}]')}" for e in tx.ENDINGS)
     known = ", ".join(f"'{w}'" for w in tx.SYNONYMS)
-    return rf"""txt AS ({texts}),
- raw AS (SELECT k, list_filter(string_split_regex(regexp_replace(lower(k), '[^\w\s]', ' ', 'g'), '\s+'), lambda w: w <> '' AND w NOT IN ({stop})) AS ws FROM txt),
+    clean = r"regexp_replace(lower(x), '[\x{200B}-\x{200D}\x{FEFF}\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')"
+    for pattern in tx.INJECTIONS:
+        clean = f"regexp_replace({clean}, '{pattern}', ' ', 'g')"
+    return rf"""txt AS MATERIALIZED ({texts}),
+ raw AS (SELECT k, list_filter(string_split_regex(regexp_replace({clean}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda w: w <> '' AND w NOT IN ({stop})) AS ws FROM txt),
  pos AS (SELECT k, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM raw),
  stem AS (SELECT k, i, CASE WHEN w IN ({known}) THEN {look("w")} {arms} ELSE w END AS t FROM pos),
  tok AS (SELECT k, t, CASE WHEN regexp_matches(t, '{"|".join(tx.BOOSTED)}') THEN 8.0::DOUBLE ELSE 4.0::DOUBLE END AS v FROM stem
   UNION ALL SELECT k, t || '_' || nxt, 4.0::DOUBLE FROM (SELECT k, t, lead(t) OVER (PARTITION BY k ORDER BY i) AS nxt FROM stem) WHERE nxt IS NOT NULL
   UNION ALL SELECT k, 'c_' || substr(t, CAST(j AS INTEGER), 4), 0.5::DOUBLE FROM (SELECT k, t, unnest(range(1, length(t) - 2)) AS j FROM stem WHERE length(t) >= 4)),
- tf AS (SELECT k, t, sum(v) AS v FROM tok GROUP BY 1, 2),
- vec AS (SELECT k, t, v / sqrt(sum(v * v) OVER (PARTITION BY k)) AS w FROM tf)"""
+ vec AS (SELECT k, t, sum(v) AS v FROM tok GROUP BY 1, 2), norms AS (SELECT k, sqrt(sum(v * v)) AS n FROM vec GROUP BY 1)"""
 
 
-_SCORES = f"""cand AS ({_CANDIDATES}),
- {_tokens_sql("SELECT DISTINCT title AS k FROM reports")},
- full_ AS (SELECT c.*, ra.title AS title_a, rb.title AS title_b, {compatibility_sql("ra.category_code", "rb.category_code")} AS cat, CASE WHEN ra.city IS NULL OR rb.city IS NULL THEN 0.5::DOUBLE WHEN ra.city = rb.city THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END AS entity FROM cand c JOIN reports ra ON ra.id = c.a JOIN reports rb ON rb.id = c.b),
- dots AS (SELECT p.title_a, p.title_b, sum(x.w * y.w) AS dot FROM (SELECT DISTINCT title_a, title_b FROM full_ WHERE title_a <> title_b) p JOIN vec x ON x.k = p.title_a JOIN vec y ON y.k = p.title_b AND y.t = x.t GROUP BY 1, 2),
- sig AS (SELECT f.*, greatest(1 - distance_m / 2500.0::DOUBLE, 0.0) AS spatial, greatest(1 - abs(delta_s) / 10800.0::DOUBLE, 0.0) AS temporal, CASE WHEN f.title_a = f.title_b THEN 1.0 ELSE greatest(least(COALESCE(dot, 0.0), 1.0), 0.0) END AS similarity FROM full_ f LEFT JOIN dots d ON d.title_a = f.title_a AND d.title_b = f.title_b),
- scored AS (SELECT *, 0.35::DOUBLE * spatial + 0.25::DOUBLE * temporal + 0.25::DOUBLE * similarity + 0.15::DOUBLE * cat AS raw, cat = 0 OR entity = 0 AS gate FROM sig)"""
+def _alike_sql(pairs: str) -> str:
+    """CTE alike(a, b, similarity) of distinct pairs (a, b) of the keys of vec."""
+    return f"""alike AS (SELECT p.a, p.b, least(COALESCE(sum(x.v * y.v) / (any_value(nx.n) * any_value(ny.n)), 0.0), 1.0) AS similarity FROM ({pairs}) p LEFT JOIN vec x ON x.k = p.a LEFT JOIN vec y ON y.k = p.b AND y.t = x.t LEFT JOIN norms nx ON nx.k = p.a LEFT JOIN norms ny ON ny.k = p.b GROUP BY 1, 2)"""
+
+
+_WHOLE = "trim(title || ' ' || COALESCE(description, '') || ' ' || COALESCE(location_name, '') || ' ' || category_code)"
+# Reports have coordinates, so no name of a city counts between them.
+_SCORES = f"""cand AS ({_CANDIDATES}), said AS (SELECT id, category_code, {_WHOLE} AS whole, md5(lower({_WHOLE})) AS k FROM reports),
+ {_tokens_sql("SELECT k, any_value(whole) AS x FROM said GROUP BY k")},
+ full_ AS (SELECT c.*, ra.k AS ka, rb.k AS kb, {compatibility_sql("ra.category_code", "rb.category_code")} AS cat FROM cand c JOIN said ra ON ra.id = c.a JOIN said rb ON rb.id = c.b),
+ {_alike_sql("SELECT DISTINCT least(ka, kb) AS a, greatest(ka, kb) AS b FROM full_ WHERE ka <> kb")},
+ sig AS (SELECT f.*, greatest(1 - distance_m / 2500.0::DOUBLE, 0.0) AS spatial, greatest(1 - abs(delta_s) / 10800.0::DOUBLE, 0.0) AS temporal, CASE WHEN ka = kb THEN 1.0 ELSE d.similarity END AS similarity FROM full_ f LEFT JOIN alike d ON d.a = least(ka, kb) AND d.b = greatest(ka, kb)),
+ scored AS (SELECT *, 0.35::DOUBLE * spatial + 0.25::DOUBLE * temporal + 0.25::DOUBLE * similarity + 0.15::DOUBLE * cat AS raw, cat = 0 AS gate FROM sig)"""
+
+
+def _resolved(spark, sf_dir) -> DataFrame:
+    """Reports with the city and locality that their place resolves to."""
+    reports = dm.reports(spark, sf_dir).drop("city", "state")
+    found = lo.locate(reports.select("id", "lat", "lon", "location_name", du.whole_text(reports).alias("body")), lo.gazetteer(spark)).select("id", "city", "locality")
+    return materialize(reports.join(found, "id"), "reports")
 
 
 @query(f"WITH {_SCORES} SELECT a, b, round(similarity, 4) AS similarity, round(CASE WHEN gate THEN 0.0::DOUBLE ELSE raw END, 4) AS overall, CASE WHEN gate THEN 'DISTINCT' WHEN raw >= 0.75 AND similarity >= 0.4 THEN 'DUPLICATE' WHEN raw >= 0.55 THEN 'POSSIBLE_MATCH' ELSE 'DISTINCT' END AS decision FROM scored")
 def duplicate_scores(spark, sf_dir):
-    reports = dm.reports(spark, sf_dir)
+    reports = _resolved(spark, sf_dir)
     return du.score(du.candidates(reports), reports).select("a", "b", F.round("similarity", 4).alias("similarity"), F.round("overall", 4).alias("overall"), "decision")
 
 
@@ -223,7 +242,7 @@ def duplicate_scores(spark, sf_dir):
  walk AS (SELECT id, parent AS root FROM best UNION SELECT w.id, b.parent FROM walk w JOIN best b ON b.id = w.root)
  SELECT id, root AS primary_id FROM walk WHERE root NOT IN (SELECT id FROM best) UNION SELECT root, root FROM walk WHERE root NOT IN (SELECT id FROM best)""")
 def duplicate_clusters(spark, sf_dir):
-    reports = dm.reports(spark, sf_dir)
+    reports = _resolved(spark, sf_dir)
     return du.clusters(du.best_earlier(du.score(du.candidates(reports), reports), reports))
 
 
@@ -350,14 +369,14 @@ def _relevance_sql(text: str, category: str) -> str:
 
 
 _SAYS = rf"""says AS MATERIALIZED (SELECT evidence_id, c AS category, {_relevance_sql("t", "c")} AS relevance FROM (SELECT evidence_id, lower(text) AS t FROM evidence), (SELECT unnest([{", ".join(repr(c) for c in dm.CATEGORIES)}]) AS c)),
- flags AS (SELECT evidence_id, regexp_matches(lower(text), '\b({"|".join(tx.CONTEXTUAL)})\b') AS contextual, regexp_matches(lower(text), '\b({"|".join(tx.DENYING)})\b') AS denied, regexp_matches(lower(text), '\b({"|".join(ev.FOREIGN)})\b') AND city IS NULL AND state IS NULL AS away FROM evidence)"""
+ flags AS (SELECT evidence_id, regexp_matches(lower(text), '\b({"|".join(tx.CONTEXTUAL)})\b') AS contextual, regexp_matches(lower(text), '\b({"|".join(tx.DENYING)})\b') AS denied, regexp_matches(lower(text), '\b({"|".join(ev.FOREIGN)})\b') AS away FROM evidence)"""
 
 
 @query(f"WITH {_SAYS} SELECT evidence_id, category, relevance, contextual, denied, away FROM says JOIN flags USING (evidence_id)")
 def evidence_relevance(spark, sf_dir):
     """What each article says: its relevance to every category, and whether it reviews, denies or tells of elsewhere."""
     told = ev.read_texts(dm.evidence(spark, sf_dir), dm.CATEGORIES)
-    return told.select("evidence_id", F.explode("relevant").alias("category", "relevance"), "contextual", "denied", F.col("foreign").alias("away"))
+    return told.select("evidence_id", F.explode("relevant").alias("category", "relevance"), "contextual", "denied", F.col("abroad").alias("away"))
 
 
 def _same_city_sql(a: str, b: str) -> str:
@@ -365,30 +384,88 @@ def _same_city_sql(a: str, b: str) -> str:
     return f"(lower({a}) = lower({b}) OR {arms})"
 
 
-_LINKS = f"""{_EV}, {_SAYS}, lk AS (SELECT ev.evidence_id, ev.id, e.publisher, e.sha256, e.url, e.wire, e.headline, r.title, e.city AS evi_city, r.city AS inc_city, e.state AS evi_state, r.state AS inc_state, e.lat IS NOT NULL AS placed, d, f.contextual, f.denied, f.away, COALESCE(s.relevance, 0.2) AS cat,
-  COALESCE(greatest(1 - d / 25000::DOUBLE, 0.0), 0.5) AS spatial, e.city IS NOT NULL AND r.city IS NOT NULL AS cities, COALESCE(contains(lower(concat_ws(' ', r.title, r.description)), lower(e.locality)), false) AS spot,
+def _list_sql(kind: str) -> str:
+    """The names of a kind that no kind before it has."""
+    order = ("LOCALITY", "CITY", "STATE")
+    before = {r[0] for r in lo.gazetteer_rows() if r[1] in order[: order.index(kind)]} if kind in order else set()
+    return ", ".join(repr(k) for k in sorted({r[0] for r in lo.gazetteer_rows() if r[1] == kind} - before))
+
+
+def _literal(v) -> str:
+    return "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+
+_GAZ = "gaz AS MATERIALIZED (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in lo.gazetteer_rows()) + ") g(key, kind, nth, place_name, locality, city, district, state, country, lat, lon))"
+
+
+def _located_sql(texts: str, name: str) -> str:
+    """CTE ``name``(k, kind, place_name, locality, city, district, state, country, lat, lon, confidence) of what texts (k, x) name. Of overlapping names the first, longest counts."""
+    pattern = "|".join(sorted({r[0] for r in lo.gazetteer_rows()}, key=lambda k: (-len(k), k)))
+    pick = lambda kind: f"list_filter(names, lambda n: n IN ({_list_sql(kind)}))"
+    held = lambda c: f"(lower(a.{c}) <> f.amb AND contains(lower(f.x), lower(a.{c})))"
+    return rf"""{name}_read AS MATERIALIZED (SELECT k, x, regexp_extract_all(lower(trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))), '\b({pattern})\b') AS names FROM ({texts})),
+ {name}_first AS (SELECT k, x, {pick("FOREIGN")}[1] AS abroad, {pick("LOCALITY")}[1] AS spot, {pick("AMBIGUOUS")}[1] AS amb, {pick("CITY")} AS cities, {pick("STATE")} AS states FROM {name}_read),
+ {name}_amb AS (SELECT f.k, min(a.nth) AS nth FROM {name}_first f JOIN gaz a ON a.kind = 'AMBIGUOUS' AND a.key = f.amb WHERE COALESCE({held("state")}, false) OR COALESCE({held("district")}, false) OR COALESCE({held("city")}, false) GROUP BY 1),
+ {name}_kind AS (SELECT f.*, m.nth AS m, CASE WHEN abroad IS NOT NULL THEN 'FOREIGN' WHEN spot IS NOT NULL THEN 'LOCALITY' WHEN m.nth IS NOT NULL THEN 'AMBIGUOUS' WHEN amb IS NOT NULL AND len(cities) = 0 THEN 'NONE' WHEN len(cities) > 0 THEN 'CITY' WHEN len(states) > 0 THEN 'STATE' END AS kind FROM {name}_first f LEFT JOIN {name}_amb m ON m.k = f.k),
+ {name} AS (SELECT f.k, f.kind, COALESCE(g.place_name, CASE WHEN f.kind = 'NONE' THEN upper(amb[1]) || amb[2:] END) AS place_name, g.locality, g.city, g.district, g.state, g.country, g.lat, g.lon,
+  CASE f.kind WHEN 'FOREIGN' THEN CASE WHEN g.lat IS NULL THEN 0.0 ELSE 0.9 END WHEN 'LOCALITY' THEN CASE WHEN list_contains(cities, lower(g.city)) OR list_contains(states, lower(g.state)) THEN 0.95 ELSE 0.9 END WHEN 'AMBIGUOUS' THEN 0.85
+  WHEN 'CITY' THEN CASE WHEN list_contains(states, lower(g.state)) THEN 0.95 ELSE 0.9 END ELSE 0.0 END::DOUBLE AS confidence
+  FROM {name}_kind f LEFT JOIN gaz g ON g.kind = f.kind AND g.key = CASE f.kind WHEN 'FOREIGN' THEN abroad WHEN 'LOCALITY' THEN spot WHEN 'AMBIGUOUS' THEN amb WHEN 'CITY' THEN cities[1] WHEN 'STATE' THEN states[1] END AND (f.kind <> 'AMBIGUOUS' OR g.nth = f.m))"""
+
+
+_NAMED = "CASE " + " ".join(f"WHEN contains(lower(location_name), '{c}') THEN '{c.capitalize()}'" for c in lo.NAMED_CITIES) + " END"
+_PLACED = f"""{_GAZ}, told AS MATERIALIZED (SELECT id, {_WHOLE} AS whole, location_name, lat, lon FROM reports), {_located_sql("SELECT id AS k, whole AS x FROM told", "rl")}, {_located_sql("SELECT evidence_id AS k, text AS x FROM evidence", "el")},
+ fc AS (SELECT id, arg_min(c.city, c.nth) AS city, arg_min(c.state, c.nth) AS state FROM told t JOIN gaz c ON c.kind = 'CITY' AND {haversine_sql("t.lat", "t.lon", "c.lat", "c.lon")} <= {lo.CITY_RADIUS_M} GROUP BY 1),
+ ip0 AS (SELECT t.id, whole, COALESCE(rl.city, fc.city, {_NAMED}) AS city, COALESCE(rl.state, fc.state) AS state FROM told t JOIN rl ON rl.k = t.id LEFT JOIN fc ON fc.id = t.id),
+ ip AS (SELECT i.id, whole, i.city, COALESCE(i.state, g.state) AS state FROM ip0 i LEFT JOIN gaz g ON g.kind = 'CITY' AND g.key = lower(i.city)),
+ ep AS (SELECT e.k AS evidence_id, e.city, COALESCE(e.state, g.state) AS state, e.locality, e.place_name, e.country, e.lat, e.lon FROM el e LEFT JOIN gaz g ON g.kind = 'CITY' AND g.key = lower(e.city))"""
+
+
+@query(f"WITH {_PLACED} SELECT k AS id, CASE WHEN kind = 'NONE' THEN 'AMBIGUOUS' WHEN kind IS NULL THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS status, place_name, locality, city, district, state, country, lat, lon, confidence FROM el")
+def article_places(spark, sf_dir):
+    """Where the whole text of each article puts it."""
+    e = dm.evidence(spark, sf_dir).select(F.col("evidence_id").alias("id"), "text")
+    return lo.locate(e, lo.gazetteer(spark), "id", "text").select("id", "status", "place_name", "locality", "city", "district", "state", "country", "lat", "lon", "confidence")
+
+
+@query(f"WITH {_PLACED} SELECT id, city, state FROM ip")
+def report_places(spark, sf_dir):
+    """The city and state of each report: named in its text, near its coordinates, or held by its place's name."""
+    r = dm.reports(spark, sf_dir)
+    return lo.incident_places(r.select("id", "lat", "lon", "location_name", du.whole_text(r).alias("text")), lo.gazetteer(spark), "text").select("id", "city", "state")
+
+
+@query(rf"""WITH {_GAZ}, n AS (SELECT evidence_id AS id, unnest(regexp_extract_all(lower(text), '\b({"|".join(sorted({r[0] for r in lo.gazetteer_rows()}, key=lambda k: (-len(k), k)))})\b')) AS name FROM evidence) SELECT id, name, count(*) AS n FROM n GROUP BY 1, 2""")
+def place_mentions(spark, sf_dir):
+    """How often each article's whole text names each place of the gazetteer."""
+    e = dm.evidence(spark, sf_dir).select(F.col("evidence_id").alias("id"), "text")
+    return lo.mentions(e, lo.gazetteer(spark), "text").select("id", F.explode("found").alias("x")).groupBy("id", F.col("x.name").alias("name")).agg(F.count("*").alias("n"))
+
+
+_LINKS = f"""{_EV}, {_SAYS}, {_PLACED}, lk AS (SELECT ev.evidence_id, ev.id, e.publisher, e.sha256, e.url, e.wire, md5(lower(trim(e.text))) AS kb, md5(lower(i.whole)) AS ka, p.city AS evi_city, i.city AS inc_city, p.state AS evi_state, i.state AS inc_state, p.lat IS NOT NULL AS placed, d, f.contextual, f.denied, f.away OR COALESCE(lower(p.country) <> 'india', false) AS away,
+  COALESCE(s.relevance, 0.2) AS cat, CASE WHEN d IS NULL THEN 0.0 ELSE greatest(1 - d / 25000::DOUBLE, 0.0) END AS spatial, p.city IS NOT NULL AND i.city IS NOT NULL AS cities, COALESCE(contains(lower(i.whole), lower(p.locality)), false) AS spot, COALESCE(contains(lower(i.whole), lower(p.place_name)), false) AS named,
   CASE WHEN h <= 2 THEN 1.0::DOUBLE WHEN h <= 24 THEN 1.0::DOUBLE - 0.3::DOUBLE * (h - 2) / 22 WHEN h <= 48 THEN 0.7::DOUBLE - 0.4::DOUBLE * (h - 24) / 24 ELSE 0.0::DOUBLE END AS temporal
-  FROM ev JOIN evidence e ON e.evidence_id = ev.evidence_id JOIN reports r ON r.id = ev.id JOIN flags f ON f.evidence_id = ev.evidence_id LEFT JOIN says s ON s.evidence_id = ev.evidence_id AND s.category = r.category_code,
-  LATERAL (SELECT {haversine_sql("r.lat", "r.lon", "e.lat", "e.lon")} AS d, abs(epoch_us(e.published_at) - epoch_us(r.occurred_at)) / 3600e6::DOUBLE AS h)),
- {_tokens_sql("SELECT DISTINCT headline AS k FROM lk UNION SELECT DISTINCT title FROM lk")},
- dot AS (SELECT p.headline, p.title, sum(x.w * y.w) AS dot FROM (SELECT DISTINCT headline, title FROM lk WHERE headline <> title) p JOIN vec x ON x.k = p.headline JOIN vec y ON y.k = p.title AND y.t = x.t GROUP BY 1, 2),
- en AS (SELECT lk.*, CASE WHEN lk.headline = lk.title THEN 1.0 ELSE greatest(least(COALESCE(dot, 0.0), 1.0), 0.0) END AS semantic,
-  CASE WHEN cities THEN CASE WHEN {_same_city_sql("evi_city", "inc_city")} THEN CASE WHEN spot THEN 1.0 ELSE 0.8 END ELSE 0.0 END WHEN COALESCE(lower(evi_state) = lower(inc_state), false) THEN 0.6 WHEN inc_city IS NOT NULL AND spot THEN 0.85 ELSE 0.0 END::DOUBLE AS entity,
+  FROM ev JOIN evidence e ON e.evidence_id = ev.evidence_id JOIN reports r ON r.id = ev.id JOIN ip i ON i.id = ev.id JOIN ep p ON p.evidence_id = ev.evidence_id JOIN flags f ON f.evidence_id = ev.evidence_id LEFT JOIN says s ON s.evidence_id = ev.evidence_id AND s.category = r.category_code,
+  LATERAL (SELECT {haversine_sql("r.lat", "r.lon", "p.lat", "p.lon")} AS d, abs(epoch_us(e.published_at) - epoch_us(r.occurred_at)) / 3600e6::DOUBLE AS h)),
+ {_tokens_sql("SELECT md5(lower(trim(text))) AS k, any_value(text) AS x FROM evidence GROUP BY 1 UNION ALL SELECT md5(lower(whole)), any_value(whole) FROM told GROUP BY 1")},
+ {_alike_sql("SELECT DISTINCT ka AS a, kb AS b FROM lk")},
+ en AS (SELECT lk.*, CASE WHEN ka = kb THEN 1.0 ELSE similarity END AS semantic,
+  CASE WHEN cities THEN CASE WHEN {_same_city_sql("evi_city", "inc_city")} THEN CASE WHEN spot THEN 1.0 ELSE 0.8 END ELSE 0.0 END WHEN COALESCE(lower(evi_state) = lower(inc_state), false) THEN 0.6 WHEN named THEN 0.85 ELSE 0.5 END::DOUBLE AS entity,
   away OR cat = 0 OR COALESCE(d > 25000, false) OR COALESCE(NOT {_same_city_sql("evi_city", "inc_city")}, false) OR COALESCE(lower(evi_state) <> lower(inc_state), false) AS gone,
-  contextual OR (COALESCE(lower(evi_state) = lower(inc_state), false) AND evi_city IS NULL) AS ctx, NOT placed AND (inc_city IS NULL OR evi_city IS NULL) AS side FROM lk LEFT JOIN dot ON dot.headline = lk.headline AND dot.title = lk.title),
+  contextual OR (COALESCE(lower(evi_state) = lower(inc_state), false) AND evi_city IS NULL) AS ctx, NOT placed AND (inc_city IS NULL OR evi_city IS NULL) AS side FROM lk LEFT JOIN alike ON alike.a = lk.ka AND alike.b = lk.kb),
  sw AS (SELECT *, 0.30::DOUBLE * semantic + 0.25::DOUBLE * entity + 0.20::DOUBLE * temporal + 0.15::DOUBLE * cat + 0.10::DOUBLE * spatial AS w0 FROM en),
  sc AS (SELECT *, CASE WHEN side AND NOT ctx THEN greatest(w0 - 0.10::DOUBLE, 0.0) ELSE w0 END AS s FROM sw),
- links AS (SELECT id, evidence_id, publisher, sha256, url, wire, CASE WHEN gone THEN 0.0::DOUBLE WHEN denied AND entity >= 0.7 THEN 0.85 ELSE {r4_sql("s")} END AS overall, CASE WHEN gone THEN 'IRRELEVANT' WHEN denied AND entity >= 0.7 THEN 'CONTRADICTORY' WHEN ctx AND s >= 0.35 THEN 'CONTEXTUAL'
+ links AS (SELECT id, evidence_id, publisher, sha256, url, wire, semantic, entity, CASE WHEN gone THEN 0.0::DOUBLE WHEN denied AND entity >= 0.7 THEN 0.85 ELSE {r4_sql("s")} END AS overall, CASE WHEN gone THEN 'IRRELEVANT' WHEN denied AND entity >= 0.7 THEN 'CONTRADICTORY' WHEN ctx AND s >= 0.35 THEN 'CONTEXTUAL'
   WHEN s >= 0.65 AND semantic >= 0.35 AND entity >= 0.7 AND temporal >= 0.5 THEN 'SUPPORTING' WHEN s >= 0.5 AND (entity >= 0.5 OR semantic >= 0.4) THEN 'RELATED' ELSE 'IRRELEVANT' END AS relationship FROM sc)"""
 
 
 def _links(spark, sf_dir) -> DataFrame:
-    return ev.link_candidates(dm.reports(spark, sf_dir), dm.evidence(spark, sf_dir), dm.CATEGORIES)
+    return ev.link_candidates(dm.reports(spark, sf_dir), dm.evidence(spark, sf_dir), lo.gazetteer(spark), dm.CATEGORIES)
 
 
-@query(f"WITH {_LINKS} SELECT id, evidence_id, overall, relationship FROM links")
+@query(f"WITH {_LINKS} SELECT id, evidence_id, round(semantic, 6) AS semantic, entity, overall, relationship FROM links")
 def evidence_links(spark, sf_dir):
-    return _links(spark, sf_dir).select("id", "evidence_id", "overall", "relationship")
+    return _links(spark, sf_dir).select("id", "evidence_id", F.round("semantic", 6).alias("semantic"), "entity", "overall", "relationship")
 
 
 _TOP = "top10 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overall DESC, evidence_id) AS r FROM links WHERE relationship <> 'IRRELEVANT') WHERE r <= 10)"
@@ -483,10 +560,17 @@ def url_canonical(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.canonical_url(F.col("url")).alias("url"))
 
 
-@query(f"WITH {_tokens_sql('SELECT DISTINCT title AS k FROM reports')} SELECT k AS title, t AS token, round(w, 6) AS weight FROM vec")
+@query(f"WITH {_tokens_sql('SELECT DISTINCT title AS k, title AS x FROM reports')} SELECT k AS title, t AS token, round(v / n, 6) AS weight FROM vec JOIN norms USING (k)")
 def text_tokens(spark, sf_dir):
-    titles = dm.reports(spark, sf_dir).select("title").distinct().withColumn("key", F.col("title"))
-    return tx.token_vectors(titles, "key", "title").select(F.col("key").alias("title"), "token", F.round("weight", 6).alias("weight"))
+    titles = dm.reports(spark, sf_dir).select(F.col("title").alias("key"), F.col("title").alias("text")).distinct()
+    return sm.tokens(titles).select(F.col("key").alias("title"), "token", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {_tokens_sql('SELECT evidence_id AS k, text AS x FROM evidence')} SELECT k AS evidence_id, count(*) AS tokens, round(any_value(n), 6) AS norm FROM vec JOIN norms USING (k) GROUP BY 1")
+def article_vectors(spark, sf_dir):
+    """The vector of each article's whole text: how many tokens it has, and how long it is."""
+    found = sm.vectors(dm.evidence(spark, sf_dir).select(F.col("evidence_id").cast("string").cast("binary").alias("t"), "text"))
+    return found.select(F.col("t").cast("string").cast("long").alias("evidence_id"), (F.length("ids") / 8).cast("long").alias("tokens"), F.round(F.sqrt("norm"), 6).alias("norm"))
 
 
 def _keyword_sql() -> str:

@@ -67,6 +67,8 @@ LOCATIONS = ("Mula River bank, Pune", "Krishna basin, Satara", "Pune district",
 CITIES = ("Pune", "Satara", "Pune", "Nashik", "Nashik", "Nashik", "Satara", "", "")
 DETAILS = ("water enters houses along the Mula river bank", "street drain blocked at the underpass", "river overflowing, danger level breached at Pavana bridge", "trees down and traffic stopped", "")
 RIVERS, BASINS, DISTRICTS = ("Mula", "Krishna", "Godavari", "Pavana"), ("Krishna", "Godavari", "Bhima"), ("Pune", "Satara", "Nashik")
+# What articles say about the place; an empty text stands for none.
+WHERE = ("in Pune", "at Kurla, Mumbai", "in Nashik, Maharashtra", "near Andheri station, Mumbai", "across Maharashtra", "in Rajpur, Chhattisgarh", "in Bilaspur", "in Dhaka", "near Pune district", "in Delhi", "", "around Poona")
 TOLD = (" after heavy rain", " as flood and rain go on", ", rumour debunked by police", " while government reviews monsoon preparedness", "", " before a cricket match")
 
 
@@ -142,7 +144,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, F.concat(F.lit("https://news.example/"), (k % 50).cast("string"))).alias("url"),
         F.when(k % 7 == 0, "PTI").alias("wire"),
         F.concat(_headline(n), pick(TOLD, k)).alias("headline"),
-        F.concat(_headline(n), pick(TOLD, k), F.lit(". "), F.coalesce("text", F.lit(""))).alias("text"),
+        F.concat(_headline(n), pick(TOLD, k), F.lit(". "), pick(WHERE, k), F.lit(". "), F.coalesce("text", F.lit(""))).alias("text"),
     )
 
 
@@ -212,7 +214,7 @@ VIEWS = {
  NULLIF({_sql_pick(("Pune", "Nashik", "Satara", "Mumbai", ""), "doc_id")}, '') AS city, CASE WHEN doc_id % 4 <> 0 THEN 'Maharashtra' END AS state, CASE WHEN doc_id % 5 < 2 THEN 'ward ' || ((doc_id * 21) % 6) END AS locality,
  CASE WHEN doc_id % 3 <> 0 THEN {_sql_spot("doc_id", "doc_id % 8 = 0", 271, 18.5, 16.0)} END AS lat, CASE WHEN doc_id % 3 <> 0 THEN {_sql_spot("doc_id", "doc_id % 8 = 0", 577, 73.8, 73.0)} END AS lon,
  sha256(COALESCE(text, '')) AS sha256, CASE WHEN doc_id % 5 = 0 THEN 'https://news.example/' || (doc_id % 50) END AS url, CASE WHEN doc_id % 7 = 0 THEN 'PTI' END AS wire,
- {_sql_headline("(doc_id * 3)")} || {_sql_pick(TOLD, "doc_id")} AS headline, {_sql_headline("(doc_id * 3)")} || {_sql_pick(TOLD, "doc_id")} || '. ' || COALESCE(text, '') AS text FROM documents""",
+ {_sql_headline("(doc_id * 3)")} || {_sql_pick(TOLD, "doc_id")} AS headline, {_sql_headline("(doc_id * 3)")} || {_sql_pick(TOLD, "doc_id")} || '. ' || {_sql_pick(WHERE, "doc_id")} || '. ' || COALESCE(text, '') AS text FROM documents""",
 }
 
 

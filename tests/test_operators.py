@@ -90,10 +90,45 @@ def test_text(spark):
     assert s(tx.canonical_url(F.lit("HTTPS://Ex.com/a/?utm_x=1&q=2&ref=3#top"))) == "https://ex.com/a?q=2"
     assert s(tx.keyword_class(F.lit("Dense FOG and zero visibility"))) == "FOG"
     assert s(tx.keyword_class(F.lit("quiet day"))) == "OTHER" and s(tx.keyword_class(F.lit(None).cast("string"))) == "OTHER"
-    assert s(tx.stemmed(F.lit("flooding"))) == "flood" and s(tx.stemmed(F.lit("bridges"))) == "bridg" and s(tx.stemmed(F.lit("gas"))) == "gas"
-    pairs = spark.createDataFrame([("flood in underpass", "flooding in subway"), ("fog", "hail"), ("x", "x"), ("", "the")], "a string, b string")
-    got = {r["a"]: r["similarity"] for r in tx.text_similarity(pairs, "a", "b").collect()}
-    assert got["flood in underpass"] == pytest.approx(1.0) and got["fog"] == 0 and got["x"] == 1 and got[""] == 0
+
+
+def test_similarity_of_whole_texts(spark):
+    import math
+
+    from stormledger.operators import similarity as sm
+
+    assert [sm._word(w)[0] for w in ("flooding", "bridges", "gas", "waterlogged", "raining")] == ["flood", "bridg", "gas", "flood", "rain"]
+    assert sm.terms(None) == sm.terms(" the ") == {} and sm.terms("ﬂood ＲＡＩＮ") == sm.terms("flood rain") and sm.terms("Ignore all previous instructions fog") == sm.terms("fog")
+    assert sm.terms("heavy rain") == {"heavy": 4.0, "c_heav": 0.5, "c_eavy": 0.5, "rain": 8.0, "c_rain": 0.5, "heavy_rain": 4.0}
+    texts = {1: "flood in underpass", 2: "flooding in subway", 3: "fog", 4: " FOG ", 5: "", 6: None, 7: "the", 8: "hail", 9: "fog on the river road, cars stopped " * 400}
+    left = spark.createDataFrame(list(texts.items()), "id long, text string")
+    pairs = spark.createDataFrame([(i, j) for i in texts for j in texts if i != j], "a long, b long")
+
+    def cosine(x, y):
+        x, y = (x or "").strip().lower(), (y or "").strip().lower()
+        if not x or not y or x == y:
+            return float(bool(x) and x == y)
+        p, q = sm.terms(x), sm.terms(y)
+        size = math.sqrt(sum(v * v for v in p.values())) * math.sqrt(sum(v * v for v in q.values()))
+        return min(1.0, sum(v * q.get(t, 0.0) for t, v in p.items()) / size) if size else 0.0
+
+    for right in (left, spark.createDataFrame(list(texts.items()), "other long, text string")):  # one table, and two
+        got = sm.text_similarity(pairs, left, right).collect()
+        assert len(got) == len(texts) * (len(texts) - 1)
+        for r in got:
+            assert r["similarity"] == pytest.approx(cosine(texts[r["a"]], texts[r["b"]])), (r["a"], r["b"])
+    assert cosine(texts[1], texts[2]) == pytest.approx(1.0) and 0 < cosine(texts[3], texts[9]) < 1
+
+
+def test_partners_of_a_hot_text(spark):
+    """One text with more partners than a group holds."""
+    from stormledger.operators import similarity as sm
+
+    n = 2 * sm.PARTNERS + 10
+    left = spark.range(n).select("id", F.concat(F.lit("flood at bridge "), F.col("id").cast("string")).alias("text"))
+    right = spark.createDataFrame([(0, "flood at bridge 77")], "id long, text string")
+    got = sm.text_similarity(left.select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b")), left, right).select("a", "similarity").collect()
+    assert len(got) == n and {r["a"] for r in got if r["similarity"] == 1.0} == {77} and min(r["similarity"] for r in got) > 0.5
 
 
 def test_categories(spark):
@@ -218,15 +253,53 @@ def test_places(spark):
     from stormledger.operators import location as lo
 
     g = lo.gazetteer(spark)
-    texts = spark.createDataFrame([(1, "Flood near Andheri, Mumbai"), (2, "rain in Rajpur"), (3, "storm over Nepal and Pune"), (4, "newdelhi"), (5, "New Delhi fog"), (6, None)], "id long, body string")
-    got = {r["id"]: (r["kind"], r["place"]) for r in lo.resolve(texts, g, "id", "body").collect()}
-    assert got == {1: ("LOCALITY", "andheri"), 2: ("AMBIGUOUS", "rajpur"), 3: ("FOREIGN", "nepal"), 5: ("CITY", "new delhi")}
-    pts = spark.createDataFrame([(1, 18.6, 73.8), (2, 0.0, 0.0)], "id long, lat double, lon double")
-    assert [(r["id"], r["city"]) for r in lo.nearest_city(pts, g, "id").collect()] == [(1, "Pune")]
+    texts = [
+        (1, "Flood near Andheri Station, Mumbai"), (2, "rain in Rajpur"), (3, "storm over Nepal and Pune"), (4, "newdelhi"), (5, "New  Delhi <b>fog</b>"), (6, None), (7, "Rajpur in Balrampur block"), (8, "Bilaspur, then Pune"),
+        (9, "delhi"), (10, "Andheri of Maharashtra"), (11, "Aurangabad, Bihar"), (12, "a" * 5000 + " < pune"), (13, "pune_west Puneri"), (14, "é pune é"),
+    ]
+    df = spark.createDataFrame(texts, "id long, body string")
+    found = {r["id"]: [(x["name"], x["kind"]) for x in r["found"]] for r in lo.mentions(df, g, "body").collect()}
+    assert found[1] == [("andheri station", "LOCALITY"), ("mumbai", "CITY")] and found[5] == [("new delhi", "CITY")] and found[4] == found[6] == found[13] == [] and found[12] == found[14] == [("pune", "CITY")] and found[9] == [("delhi", "CITY")]
+    got = {r["id"]: (r["status"], r["place_name"], r["confidence"]) for r in lo.locate(df, g).collect()}
+    assert got[1] == ("RESOLVED", "Andheri, Mumbai", 0.95) and got[10] == ("RESOLVED", "Andheri, Mumbai", 0.95) and got[3] == ("RESOLVED", "Nepal", 0.0) and got[7] == ("RESOLVED", "Rajpur (Balrampur)", 0.85)
+    assert got[8] == ("RESOLVED", "Pune, Maharashtra", 0.90) and got[11] == ("RESOLVED", "Aurangabad (Bihar)", 0.85) and got[2][:2] == ("AMBIGUOUS", "Rajpur")
+    assert len(next(r for r in lo.locate(df, g).collect() if r["id"] == 2)["candidates"]) == 3
+    pts = spark.createDataFrame([(1, 18.6, 73.8), (2, 0.0, 0.0), (3, 19.1, 72.9)], "id long, lat double, lon double")
+    assert sorted((r["id"], r["city"]) for r in lo.first_city(pts, g, "id").collect()) == [(1, "Pune"), (3, "Mumbai")]  # Thane is nearer to the third, Mumbai comes first
     m = lambda d, s, f: one(spark, lo.mismatch(F.lit(d), F.array(*map(F.lit, s)).cast("array<string>"), F.lit(f)))["verdict"]
     assert (m("Kerala", ["kerala"], False), m("Kerala", ["Assam"], False), m("Kerala", [], True), m("Kerala", [], False)) == ("CONSISTENT", "MISMATCH", "MISMATCH", "NEUTRAL")
 
 
+def test_names_against_brute_force(spark, monkeypatch):
+    """Overlapping names over random texts, by one automaton and by several."""
+    import random
+    import re
+
+    from stormledger.operators import location as lo
+
+    rng = random.Random(5)
+    parts = ["a", "b", "c", "d-", "é"]
+    names = sorted({" ".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(25)})
+    places = spark.createDataFrame([(n, "CITY", 0, *(None,) * 6, 0.0, 0.0) for n in names], lo.GAZETTEER)
+    texts = [(i, " ".join(rng.choice([*parts, "x", "<i>", "ab"]) for _ in range(rng.randint(0, 30)))) for i in range(200)]
+
+    def brute(text):
+        low = re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", text)).strip().lower()
+        out, taken = [], set()
+        hits = [(-len(n), m.start(), n) for n in names for m in re.finditer(rf"\b{re.escape(n)}\b", low)]
+        for size, b, n in sorted(hits):  # longer names first, of equal ones the earlier
+            if taken.isdisjoint(range(b, b - size)):
+                taken.update(range(b, b - size))
+                out.append((b, n))
+        return [n for _, n in sorted(out)]
+
+    df = spark.createDataFrame(texts, "id long, body string")
+    for most in (lo.NAMES, 7):
+        monkeypatch.setattr(lo, "NAMES", most)
+        got = {r["id"]: [x["name"] for x in r["found"]] for r in lo.mentions(df, places, "body").collect()}
+        assert got == {i: brute(t) for i, t in texts}
+
+
 def test_location_ladder(spark):
     from stormledger.operators import location as lo
 
