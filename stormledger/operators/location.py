@@ -157,12 +157,12 @@ def mentions(rows: DataFrame, places: DataFrame, text: str) -> DataFrame:
     for i in range(sets):
         part = names if sets == 1 else names.where(F.pmod(F.xxhash64("key"), F.lit(sets)) == i)
         listed = spark.sparkContext.broadcast([(r["key"], next(k for k in order if k in r["kinds"]), "FOREIGN" in r["kinds"], "AMBIGUOUS" in r["kinds"]) for r in part.collect()])
-        out = out.mapInArrow(_reader(listed, out.columns.index(text), out.columns.index("found") if i else None), T.StructType([*rows.schema.fields, T.StructField("found", T._parse_datatype_string(_FOUND))]))
+        out = out.mapInArrow(_reader(listed, out.columns.index(text), out.columns.index("found") if i else None, i == sets - 1), T.StructType([*rows.schema.fields, T.StructField("found", T._parse_datatype_string(_FOUND))]))
     return out
 
 
-def _reader(listed, at: int, before: int | None):
-    """A pass over batches that finds the names of one automaton and settles them with those found before."""
+def _reader(listed, at: int, before: int | None, last: bool):
+    """A pass over batches that adds the names of one automaton to those found before, and settles them if it is the last."""
 
     def read(batches):
         finder = ahocorasick.Automaton()
@@ -182,7 +182,7 @@ def _reader(listed, at: int, before: int | None):
                         continue
                     done[name] = end
                     hits.append((begin, end, name, {"name": name, "begin": begin, "end": end, "kind": kind, "foreign": foreign, "ambiguous": ambiguous}))
-                column.append([x for *_, x in settle(hits)])
+                column.append([x for *_, x in (settle(hits) if last else hits)])
             kind = pa.list_(pa.struct([("name", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("foreign", pa.bool_()), ("ambiguous", pa.bool_())]))
             kept = [c for i, c in enumerate(b.columns) if i != before]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(column, kind)], [*(n for i, n in enumerate(b.schema.names) if i != before), "found"])
