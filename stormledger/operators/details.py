@@ -172,16 +172,3 @@ def guarded(stored: DataFrame, computed: DataFrame) -> DataFrame:
     met = stored.join(computed.select("id", F.col("score").alias("__new"), "seen"), "id", "left")
     fresh = F.coalesce(F.col("now") == F.col("seen"), F.lit(False))
     return met.select("id", F.when(fresh, F.col("__new")).otherwise(F.col("score")).alias("score"), fresh.alias("written"))
-
-
-def drivers(row_prior: Column, crowd: Column, evidence: Column, observation: Column, penalty: Column, source: Column) -> Column:
-    """The sentences for and against a credibility, as {positive, negative} arrays."""
-    two = lambda c: F.format_string("%.2f", c)
-    for_ = [
-        F.when(row_prior >= 0.80, F.concat(F.lit("High institutional source trust ("), two(row_prior), F.lit(") from "), source, F.lit("."))).when(row_prior >= 0.50, F.concat(F.lit("Moderate baseline source trust ("), two(row_prior), F.lit(") from "), source, F.lit("."))),
-        F.when(crowd > 0.20, F.concat(F.lit("Crowd volume signal (sub-signal: "), two(crowd), F.lit(")."))),
-        F.when(evidence > 0.20, F.concat(F.lit("Digital evidence corroboration (score: "), two(evidence), F.lit(")."))),
-        F.when(observation > 0.20, F.concat(F.lit("Physical sensor telemetry confirmation (score: "), two(observation), F.lit(")."))),
-    ]
-    against = F.when(penalty > 0.01, F.concat(F.lit("Diagnostic negative penalty of -"), F.format_string("%.4f", penalty), F.lit(" applied due to contradictory physical telemetry or debunking evidence.")))
-    return F.struct(F.array_compact(F.array(*for_)).alias("positive"), F.array_compact(F.array(against)).alias("negative"))

@@ -277,6 +277,28 @@ def incident_places(reports: DataFrame, places: DataFrame, text: str) -> DataFra
     return full.join(known, F.lower("city") == F.col("__k"), "left").select("id", "city", F.coalesce("state", "k_state").alias("state"), "locality", "place_name", "placed")
 
 
+def conflicts(reports: DataFrame, places: DataFrame, text: str = "body", penalty: float = 0.10, cap: float = 0.10) -> DataFrame:
+    """(id, verdict, adjustment) of reports (id, city, state, text): whether a text tells of another place than the declared one.
+
+    The state of every name in the text counts. CONSISTENT: the declared state (or, if the gazetteer doesn't know it, that of the declared city) is
+    among them. MISMATCH: else the text names a place abroad, or the first state that it names is another. NEUTRAL: no declared state, or nothing to judge by.
+    """
+    found = mentions(reports.select("id", text), places, text).select("id", F.explode("found").alias("x")).select("id", "x.*")
+    known = places.where(F.col("kind").isin("LOCALITY", "CITY", "STATE")).select(F.col("kind").alias("__kind"), F.col("key").alias("__key"), F.lower("state").alias("__state"))
+    named = found.join(known, (F.col("kind") == F.col("__kind")) & (F.col("name") == F.col("__key")), "left")
+    home = F.when(~F.col("foreign"), F.col("__state"))
+    told = named.groupBy("id").agg(F.collect_set(home).alias("states"), F.min_by(home, F.when(home.isNotNull(), F.col("begin"))).alias("first_"), F.bool_or("foreign").alias("abroad"))
+    states = places.where("kind = 'STATE'").select(F.col("key").alias("s_key"), F.lower("state").alias("s_state"))
+    cities = places.where("kind = 'CITY'").select(F.col("key").alias("c_key"), F.lower("state").alias("c_state"))
+    rows = reports.select("id", F.lower(F.trim("state")).alias("d_state"), F.lower(F.trim("city")).alias("d_city"))
+    rows = rows.join(states, F.col("d_state") == F.col("s_key"), "left").join(cities, F.col("d_city") == F.col("c_key"), "left").join(told, "id", "left")
+    canon = F.coalesce("s_state", "c_state")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    blank = F.coalesce(F.col("d_state") == "", F.lit(True))
+    verdict = F.when(blank | F.col("states").isNull(), "NEUTRAL").when(yes(F.array_contains("states", canon)), "CONSISTENT").when(yes(F.col("abroad")) | yes(F.col("first_") != canon), "MISMATCH").otherwise("NEUTRAL")
+    return rows.select("id", verdict.alias("verdict"), F.when(verdict == "MISMATCH", -min(penalty, cap)).otherwise(0.0).alias("adjustment"))
+
+
 def mismatch(declared: Column, states: Column, foreign: Column, penalty: float = 0.10, cap: float = 0.15) -> Column:
     """{verdict, adjustment} of a declared state against the states that a text names."""
     named = F.size(states) > 0

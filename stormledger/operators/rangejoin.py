@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import haversine_m
+from ..storage import materialize
 
 METRES_PER_DEGREE = 111_190.0
 
@@ -17,6 +18,42 @@ def _seconds(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)
 
 
+class Grid:
+    """Cells as high as a reach; each band of latitude is cut into cells at least as wide as the reach is at its end nearer to
+    the pole, around the whole globe, so neighbours across the 180th meridian and at any latitude meet."""
+
+    keys = ("__x", "__y")
+
+    def __init__(self, radius_m: float):
+        self.dlat = radius_m / METRES_PER_DEGREE
+
+    def _band(self, lat: Column) -> Column:
+        return F.floor(lat / F.lit(self.dlat))
+
+    def _around(self) -> Column:
+        """How many cells the row's band (__y) has."""
+        edge = F.greatest(F.abs(F.col("__y") * self.dlat), F.abs((F.col("__y") + 1) * self.dlat)) + self.dlat
+        wide = 1.01 * self.dlat / F.greatest(F.cos(F.radians(F.least(edge, F.lit(90.0)))), F.lit(1e-9))
+        return F.greatest(F.floor(360.0 / wide), F.lit(1))
+
+    @staticmethod
+    def _column(lon: Column) -> Column:
+        return F.floor((lon + 180.0) * F.col("__n") / 360.0)
+
+    def single(self, rows: DataFrame, lat: str, lon: str) -> DataFrame:
+        """Placed rows with the cell they lie in."""
+        out = rows.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("__y", self._band(F.col(lat))).withColumn("__n", self._around())
+        return out.withColumn("__x", F.pmod(self._column(F.col(lon)), F.col("__n"))).drop("__n")
+
+    def copied(self, rows: DataFrame, lat: str, lon: str) -> DataFrame:
+        """Placed rows, once for each cell that their reach touches."""
+        out = rows.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+        out = out.withColumn("__y", F.explode(F.sequence(self._band(F.col(lat) - self.dlat), self._band(F.col(lat) + self.dlat)))).withColumn("__n", self._around())
+        width = 360.0 / F.col("__n")
+        spread = F.sequence(self._column(F.col(lon) - width), self._column(F.col(lon) + width))
+        return out.withColumn("__x", F.explode(F.array_distinct(F.transform(spread, lambda x: F.pmod(x, F.col("__n")))))).drop("__n")
+
+
 def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, window_s: int | None = None, condition: Column | None = None) -> DataFrame:
     """Pairs of rows within a radius and, if there is one, a time window.
 
@@ -24,25 +61,11 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, window_s: int
     adds ``distance_m`` and ``delta_s`` (right minus left). Without a window lt and rt aren't read. Rows without place or time have no pairs.
 
     Both sides get the cell of their place and time; each right row is copied to the cells that its own
-    reach touches, so the join is an equi-join that AQE can split where a cell is hot. The
-    exact tests stay. Cells are as high as the reach; each band of latitude is cut into cells at least as wide as the reach
-    is at its end nearer to the pole, around the whole globe, so neighbours across the 180th meridian and at any latitude meet.
+    reach touches, so the join is an equi-join that AQE can split where a cell is hot. The exact tests stay.
     """
-    dlat = radius_m / METRES_PER_DEGREE
-    band = lambda lat: F.floor(lat / F.lit(dlat))
-    edge = F.greatest(F.abs(F.col("__y") * dlat), F.abs((F.col("__y") + 1) * dlat)) + dlat
-    wide = 1.01 * dlat / F.greatest(F.cos(F.radians(F.least(edge, F.lit(90.0)))), F.lit(1e-9))
-    around = F.greatest(F.floor(360.0 / wide), F.lit(1))  # cells of a band
-    column = lambda lon: F.floor((lon + 180.0) * F.col("__n") / 360.0)
-    wrapped = lambda x: F.pmod(x, F.col("__n"))
-    width = 360.0 / F.col("__n")
-    a = left.where("llat is not null and llon is not null").withColumn("__y", band(F.col("llat"))).withColumn("__n", around)
-    a = a.withColumn("__x", wrapped(column(F.col("llon")))).drop("__n")
-    b = right.where("rlat is not null and rlon is not null")
-    b = b.withColumn("__y", F.explode(F.sequence(band(F.col("rlat") - dlat), band(F.col("rlat") + dlat)))).withColumn("__n", around)
-    spread = F.sequence(column(F.col("rlon") - width), column(F.col("rlon") + width))
-    b = b.withColumn("__x", F.explode(F.array_distinct(F.transform(spread, wrapped)))).drop("__n")
-    keys = ["__x", "__y"]
+    grid = Grid(radius_m)
+    a, b = grid.single(left, "llat", "llon"), grid.copied(right, "rlat", "rlon")
+    keys = list(grid.keys)
     keep = F.col("distance_m") <= radius_m
     if window_s is not None:
         cell = lambda v: F.floor(v / F.lit(float(window_s)))
@@ -57,6 +80,49 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, window_s: int
     return pairs.where(keep).drop(*keys, "__ls", "__rs")
 
 
+def newest_near(left: DataFrame, right: DataFrame, radius_m: float, window_s: int, k: int, slot_s: int = 3600) -> DataFrame:
+    """For each left row (lid, llat, llon, lt) the newest k right rows (rid, rlat, rlon, rt) within a radius and a time window: (lid, rid, rt).
+
+    Right rows are lists by cell, newest first (see ``newest_within`` for how they are counted). A left row knows which part of the list of
+    each cell in its reach lies in its window, and reads k rows of each. A cell is done when its part is read, or when what it gave last is older than the
+    k-th row found so far; only left rows with other cells read on, twice as many rows in each round. So a metropolis costs a
+    left row a few times k rows, and not all that happened there. Of rows at one moment the largest rid counts.
+    """
+    grid = Grid(radius_m)
+    cell = list(grid.keys)
+    moment = lambda c: F.floor(c / F.lit(float(slot_s)))
+    none = lambda name, of: F.lit(None).cast(of.schema[name].dataType).alias(name)
+    r = grid.single(right.where("rt is not null"), "rlat", "rlon").select(*cell, F.lit(1).alias("__is"), "rid", "rlat", "rlon", "rt", none("lid", left), none("llat", left), none("llon", left), _seconds("rt").alias("__s"))
+    ask = grid.copied(left.where("lt is not null"), "llat", "llon")
+    at = lambda kind, s: ask.select(*cell, F.lit(kind).alias("__is"), none("rid", right), none("rlat", right), none("rlon", right), F.lit(None).cast("timestamp").alias("rt"), "lid", "llat", "llon", s.alias("__s"))
+    # In the order of the list the end of a window (0) stands before the rows of its moment (1), its begin (2) behind them.
+    both = r.unionByName(at(0, _seconds("lt") + window_s)).unionByName(at(2, _seconds("lt") - window_s)).withColumn("__z", moment(F.col("__s")))
+    one = F.when(F.col("__is") == 1, 1).otherwise(0)
+    inside = Window.partitionBy(*cell, "__z").orderBy(F.col("__s").desc(), "__is", F.col("rid").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*cell).orderBy(F.col("__z").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    slots = both.groupBy(*cell, "__z").agg(F.sum(one).alias("__n")).withColumn("__later", F.coalesce(F.sum("__n").over(later), F.lit(0))).drop("__n")
+    placed = materialize(both.withColumn("__in", F.sum(one).over(inside)).join(slots, [*cell, "__z"]).withColumn("__p", F.col("__later") + F.col("__in")).drop("__in", "__later", "__z"), "lists")
+    lists = placed.where("__is = 1").select(*cell, "__p", "rid", "rlat", "rlon", "rt")
+    when = lambda kind: F.max(F.when(F.col("__is") == kind, F.col("__p")))
+    asks = placed.where("__is != 1").groupBy(*cell, "lid", "llat", "llon").agg(when(0).alias("__from"), when(2).alias("__to")).where("__from < __to")
+    newest = Window.partitionBy("lid").orderBy(F.col("rt").desc(), F.col("rid").desc())
+    best, step = None, k
+    while True:
+        asks = materialize(asks, "asks")
+        rows = asks.withColumn("__p", F.explode(F.sequence(F.col("__from") + 1, F.least(F.col("__to"), F.col("__from") + step)))).join(lists, [*cell, "__p"])
+        rows = materialize(rows.select(*cell, "lid", "rid", "rt", (haversine_m("llat", "llon", "rlat", "rlon") <= radius_m).alias("__near")), "read")
+        near = rows.where("__near").select("lid", "rid", "rt")
+        every = near if best is None else best.unionByName(near)
+        best = materialize(every.withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= k), "newest").drop("__r")
+        kth = best.groupBy("lid").agg(F.count("*").alias("__n"), F.min("rt").alias("__kth")).where(F.col("__n") >= k).select(F.col("lid").alias("__l"), "__kth")
+        last = rows.groupBy(*cell, "lid").agg(F.min("rt").alias("__last"))
+        rest = asks.where(F.col("__from") + step < F.col("__to")).join(last, [*cell, "lid"])
+        asks = rest.join(kth, F.col("lid") == F.col("__l"), "left").where(F.col("__kth").isNull() | (F.col("__last") >= F.col("__kth"))).select(*cell, "lid", "llat", "llon", (F.col("__from") + step).alias("__from"), "__to")
+        if asks.isEmpty():
+            return best
+        step *= 2
+
+
 def newest_within(left: DataFrame, right: DataFrame, keys: list[str], window_s: int, k: int, slot_s: int = 3600) -> DataFrame:
     """For each left row (lid, keys, lt) the newest k right rows (rid, keys, rt) at most ``window_s`` away in time: (lid, rid, rt).
 

@@ -190,8 +190,8 @@ def duplicate_candidates(spark, sf_dir):
     return du.candidates(dm.reports(spark, sf_dir)).select("a", "b", F.round("distance_m", 3).alias("distance_m"), F.floor("delta_s").alias("delta_s"), "rank", "truncated")
 
 
-def _tokens_sql(texts: str) -> str:
-    """CTEs up to vec(k, t, v) and norms(k, n): the tokens of texts (k, x), with their weights, and the length of each vector."""
+def _tokens_sql(texts: str, p: str = "") -> str:
+    """CTEs up to vec(k, t, v) and norms(k, n), their names after a prefix: the tokens of texts (k, x), with their weights, and the length of each vector."""
     stop = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
     look = lambda x: f"CASE {x} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in tx.SYNONYMS.items()) + f" ELSE {x} END"
     arms = " ".join(f"WHEN length(w) > {len(e) + 3} AND ends_with(w, '{e}') THEN {look(f'w[1:length(w) - {len(e)}]')}" for e in tx.ENDINGS)
@@ -199,29 +199,29 @@ def _tokens_sql(texts: str) -> str:
     clean = r"regexp_replace(lower(x), '[\x{200B}-\x{200D}\x{FEFF}\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')"
     for pattern in tx.INJECTIONS:
         clean = f"regexp_replace({clean}, '{pattern}', ' ', 'g')"
-    return rf"""txt AS MATERIALIZED ({texts}),
- raw AS (SELECT k, list_filter(string_split_regex(regexp_replace({clean}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda w: w <> '' AND w NOT IN ({stop})) AS ws FROM txt),
- pos AS (SELECT k, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM raw),
- stem AS (SELECT k, i, CASE WHEN w IN ({known}) THEN {look("w")} {arms} ELSE w END AS t FROM pos),
- tok AS (SELECT k, t, CASE WHEN regexp_matches(t, '{"|".join(tx.BOOSTED)}') THEN 8.0::DOUBLE ELSE 4.0::DOUBLE END AS v FROM stem
-  UNION ALL SELECT k, t || '_' || nxt, 4.0::DOUBLE FROM (SELECT k, t, lead(t) OVER (PARTITION BY k ORDER BY i) AS nxt FROM stem) WHERE nxt IS NOT NULL
-  UNION ALL SELECT k, 'c_' || substr(t, CAST(j AS INTEGER), 4), 0.5::DOUBLE FROM (SELECT k, t, unnest(range(1, length(t) - 2)) AS j FROM stem WHERE length(t) >= 4)),
- vec AS (SELECT k, t, sum(v) AS v FROM tok GROUP BY 1, 2), norms AS (SELECT k, sqrt(sum(v * v)) AS n FROM vec GROUP BY 1)"""
+    return rf"""{p}txt AS MATERIALIZED ({texts}),
+ {p}raw AS (SELECT k, list_filter(string_split_regex(regexp_replace({clean}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda w: w <> '' AND w NOT IN ({stop})) AS ws FROM {p}txt),
+ {p}pos AS (SELECT k, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM {p}raw),
+ {p}stem AS (SELECT k, i, CASE WHEN w IN ({known}) THEN {look("w")} {arms} ELSE w END AS t FROM {p}pos),
+ {p}tok AS (SELECT k, t, CASE WHEN regexp_matches(t, '{"|".join(tx.BOOSTED)}') THEN 8.0::DOUBLE ELSE 4.0::DOUBLE END AS v FROM {p}stem
+  UNION ALL SELECT k, t || '_' || nxt, 4.0::DOUBLE FROM (SELECT k, t, lead(t) OVER (PARTITION BY k ORDER BY i) AS nxt FROM {p}stem) WHERE nxt IS NOT NULL
+  UNION ALL SELECT k, 'c_' || substr(t, CAST(j AS INTEGER), 4), 0.5::DOUBLE FROM (SELECT k, t, unnest(range(1, length(t) - 2)) AS j FROM {p}stem WHERE length(t) >= 4)),
+ {p}vec AS (SELECT k, t, sum(v) AS v FROM {p}tok GROUP BY 1, 2), {p}norms AS (SELECT k, sqrt(sum(v * v)) AS n FROM {p}vec GROUP BY 1)"""
 
 
-def _alike_sql(pairs: str) -> str:
+def _alike_sql(pairs: str, p: str = "") -> str:
     """CTE alike(a, b, similarity) of distinct pairs (a, b) of the keys of vec."""
-    return f"""alike AS (SELECT p.a, p.b, least(COALESCE(sum(x.v * y.v) / (any_value(nx.n) * any_value(ny.n)), 0.0), 1.0) AS similarity FROM ({pairs}) p LEFT JOIN vec x ON x.k = p.a LEFT JOIN vec y ON y.k = p.b AND y.t = x.t LEFT JOIN norms nx ON nx.k = p.a LEFT JOIN norms ny ON ny.k = p.b GROUP BY 1, 2)"""
+    return f"""{p}alike AS (SELECT pr.a, pr.b, least(COALESCE(sum(x.v * y.v) / (any_value(nx.n) * any_value(ny.n)), 0.0), 1.0) AS similarity FROM ({pairs}) pr LEFT JOIN {p}vec x ON x.k = pr.a LEFT JOIN {p}vec y ON y.k = pr.b AND y.t = x.t LEFT JOIN {p}norms nx ON nx.k = pr.a LEFT JOIN {p}norms ny ON ny.k = pr.b GROUP BY 1, 2)"""
 
 
 _WHOLE = "trim(title || ' ' || COALESCE(description, '') || ' ' || COALESCE(location_name, '') || ' ' || category_code)"
 # Reports have coordinates, so no name of a city counts between them.
-_SCORES = f"""cand AS ({_CANDIDATES}), said AS (SELECT id, category_code, {_WHOLE} AS whole, md5(lower({_WHOLE})) AS k FROM reports),
- {_tokens_sql("SELECT k, any_value(whole) AS x FROM said GROUP BY k")},
- full_ AS (SELECT c.*, ra.k AS ka, rb.k AS kb, {compatibility_sql("ra.category_code", "rb.category_code")} AS cat FROM cand c JOIN said ra ON ra.id = c.a JOIN said rb ON rb.id = c.b),
+_SCORES = f"""cand AS ({_CANDIDATES}), dsaid AS (SELECT id, category_code, {_WHOLE} AS whole, md5(lower({_WHOLE})) AS k FROM reports),
+ {_tokens_sql("SELECT k, any_value(whole) AS x FROM dsaid GROUP BY k")},
+ full_ AS (SELECT c.*, ra.k AS ka, rb.k AS kb, {compatibility_sql("ra.category_code", "rb.category_code")} AS cat FROM cand c JOIN dsaid ra ON ra.id = c.a JOIN dsaid rb ON rb.id = c.b),
  {_alike_sql("SELECT DISTINCT least(ka, kb) AS a, greatest(ka, kb) AS b FROM full_ WHERE ka <> kb")},
- sig AS (SELECT f.*, greatest(1 - distance_m / 2500.0::DOUBLE, 0.0) AS spatial, greatest(1 - abs(delta_s) / 10800.0::DOUBLE, 0.0) AS temporal, CASE WHEN ka = kb THEN 1.0 ELSE d.similarity END AS similarity FROM full_ f LEFT JOIN alike d ON d.a = least(ka, kb) AND d.b = greatest(ka, kb)),
- scored AS (SELECT *, 0.35::DOUBLE * spatial + 0.25::DOUBLE * temporal + 0.25::DOUBLE * similarity + 0.15::DOUBLE * cat AS raw, cat = 0 AS gate FROM sig)"""
+ dsig AS (SELECT f.*, greatest(1 - distance_m / 2500.0::DOUBLE, 0.0) AS spatial, greatest(1 - abs(delta_s) / 10800.0::DOUBLE, 0.0) AS temporal, CASE WHEN ka = kb THEN 1.0 ELSE d.similarity END AS similarity FROM full_ f LEFT JOIN alike d ON d.a = least(ka, kb) AND d.b = greatest(ka, kb)),
+ scored AS (SELECT *, 0.35::DOUBLE * spatial + 0.25::DOUBLE * temporal + 0.25::DOUBLE * similarity + 0.15::DOUBLE * cat AS raw, cat = 0 AS gate FROM dsig)"""
 
 
 def _resolved(spark, sf_dir) -> DataFrame:
@@ -237,10 +237,13 @@ def duplicate_scores(spark, sf_dir):
     return du.score(du.candidates(reports), reports).select("a", "b", F.round("similarity", 4).alias("similarity"), F.round("overall", 4).alias("overall"), "decision")
 
 
-@query(f"""WITH RECURSIVE {_SCORES}, best AS (SELECT id, parent FROM (SELECT s.a AS id, s.b AS parent, row_number() OVER (PARTITION BY s.a ORDER BY s.raw DESC, s.distance_m, s.b) AS r FROM scored s JOIN reports ra ON ra.id = s.a JOIN reports rb ON rb.id = s.b
+_CLUSTERS = f"""{_SCORES}, best AS (SELECT id, parent FROM (SELECT s.a AS id, s.b AS parent, row_number() OVER (PARTITION BY s.a ORDER BY s.raw DESC, s.distance_m, s.b) AS r FROM scored s JOIN reports ra ON ra.id = s.a JOIN reports rb ON rb.id = s.b
  WHERE NOT gate AND raw >= 0.75 AND similarity >= 0.4 AND (rb.occurred_at < ra.occurred_at OR (rb.occurred_at = ra.occurred_at AND s.b < s.a))) WHERE r = 1),
- walk AS (SELECT id, parent AS root FROM best UNION SELECT w.id, b.parent FROM walk w JOIN best b ON b.id = w.root)
- SELECT id, root AS primary_id FROM walk WHERE root NOT IN (SELECT id FROM best) UNION SELECT root, root FROM walk WHERE root NOT IN (SELECT id FROM best)""")
+ walk AS (SELECT id, parent AS root FROM best UNION SELECT w.id, b.parent FROM walk w JOIN best b ON b.id = w.root),
+ clustered AS (SELECT id, root AS primary_id FROM walk WHERE root NOT IN (SELECT id FROM best) UNION SELECT root, root FROM walk WHERE root NOT IN (SELECT id FROM best))"""
+
+
+@query(f"WITH RECURSIVE {_CLUSTERS} SELECT * FROM clustered")
 def duplicate_clusters(spark, sf_dir):
     reports = _resolved(spark, sf_dir)
     return du.clusters(du.best_earlier(du.score(du.candidates(reports), reports), reports))
@@ -278,7 +281,7 @@ def latest_by_station(spark, sf_dir):
     return li.latest(dm.observations(spark, sf_dir), ["station", "source_id"], [F.col("observed_at").desc(), F.col("obs_id").desc()]).select("station", "source_id", "obs_id", "level_m")
 
 
-_OBS_PAIRS = f"""SELECT r.id, o.obs_id, o.source_id, o.station, o.level_m, o.observed_at, o.river, o.basin, o.district, o.state, o.warning_level_m, r.category_code, r.title, r.description, r.location_name,
+_OBS_PAIRS = f"""SELECT r.id, o.obs_id, o.source_id, o.station, o.level_m, o.observed_at, o.river, o.basin, o.district, o.state, o.warning_level_m, r.category_code, r.title, r.description, r.location_name, r.occurred_at,
  {haversine_sql("r.lat", "r.lon", "o.lat", "o.lon")} AS distance_m, (epoch_us(o.observed_at) - epoch_us(r.occurred_at)) / 1e6 AS delta_s
  FROM reports r JOIN observations o ON o.level_m IS NOT NULL AND abs(o.lat - r.lat) < 0.32 AND o.observed_at BETWEEN r.occurred_at - INTERVAL 24 HOUR AND r.occurred_at + INTERVAL 24 HOUR"""
 _OBS = f"""near_obs AS (SELECT * FROM ({_OBS_PAIRS}) WHERE distance_m <= 35000), one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, source_id, station ORDER BY observed_at DESC, obs_id DESC) AS r FROM near_obs) WHERE r = 1),
@@ -442,20 +445,20 @@ def place_mentions(spark, sf_dir):
     return lo.mentions(e, lo.gazetteer(spark), "text").select("id", F.explode("found").alias("x")).groupBy("id", F.col("x.name").alias("name")).agg(F.count("*").alias("n"))
 
 
-_LINKS = f"""{_EV}, {_SAYS}, {_PLACED}, lk AS (SELECT ev.evidence_id, ev.id, e.publisher, e.sha256, e.url, e.wire, md5(lower(trim(e.text))) AS kb, md5(lower(i.whole)) AS ka, p.city AS evi_city, i.city AS inc_city, p.state AS evi_state, i.state AS inc_state, p.lat IS NOT NULL AS placed, d, f.contextual, f.denied, f.away OR COALESCE(lower(p.country) <> 'india', false) AS away,
+_LINKS = f"""{_EV}, {_SAYS}, {_PLACED}, lk AS (SELECT ev.evidence_id, ev.id, e.publisher, e.sha256, e.url, e.wire, e.derived, md5(lower(trim(e.text))) AS kb, md5(lower(i.whole)) AS ka, p.city AS evi_city, i.city AS inc_city, p.state AS evi_state, i.state AS inc_state, p.lat IS NOT NULL AS placed, d, f.contextual, f.denied, f.away OR COALESCE(lower(p.country) <> 'india', false) AS away,
   COALESCE(s.relevance, 0.2) AS cat, CASE WHEN d IS NULL THEN 0.0 ELSE greatest(1 - d / 25000::DOUBLE, 0.0) END AS spatial, p.city IS NOT NULL AND i.city IS NOT NULL AS cities, COALESCE(contains(lower(i.whole), lower(p.locality)), false) AS spot, COALESCE(contains(lower(i.whole), lower(p.place_name)), false) AS named,
   CASE WHEN h <= 2 THEN 1.0::DOUBLE WHEN h <= 24 THEN 1.0::DOUBLE - 0.3::DOUBLE * (h - 2) / 22 WHEN h <= 48 THEN 0.7::DOUBLE - 0.4::DOUBLE * (h - 24) / 24 ELSE 0.0::DOUBLE END AS temporal
   FROM ev JOIN evidence e ON e.evidence_id = ev.evidence_id JOIN reports r ON r.id = ev.id JOIN ip i ON i.id = ev.id JOIN ep p ON p.evidence_id = ev.evidence_id JOIN flags f ON f.evidence_id = ev.evidence_id LEFT JOIN says s ON s.evidence_id = ev.evidence_id AND s.category = r.category_code,
   LATERAL (SELECT {haversine_sql("r.lat", "r.lon", "p.lat", "p.lon")} AS d, abs(epoch_us(e.published_at) - epoch_us(r.occurred_at)) / 3600e6::DOUBLE AS h)),
- {_tokens_sql("SELECT md5(lower(trim(text))) AS k, any_value(text) AS x FROM evidence GROUP BY 1 UNION ALL SELECT md5(lower(whole)), any_value(whole) FROM told GROUP BY 1")},
- {_alike_sql("SELECT DISTINCT ka AS a, kb AS b FROM lk")},
+ {_tokens_sql("SELECT md5(lower(trim(text))) AS k, any_value(text) AS x FROM evidence GROUP BY 1 UNION ALL SELECT md5(lower(whole)), any_value(whole) FROM told GROUP BY 1", "l_")},
+ {_alike_sql("SELECT DISTINCT ka AS a, kb AS b FROM lk", "l_")},
  en AS (SELECT lk.*, CASE WHEN ka = kb THEN 1.0 ELSE similarity END AS semantic,
   CASE WHEN cities THEN CASE WHEN {_same_city_sql("evi_city", "inc_city")} THEN CASE WHEN spot THEN 1.0 ELSE 0.8 END ELSE 0.0 END WHEN COALESCE(lower(evi_state) = lower(inc_state), false) THEN 0.6 WHEN named THEN 0.85 ELSE 0.5 END::DOUBLE AS entity,
   away OR cat = 0 OR COALESCE(d > 25000, false) OR COALESCE(NOT {_same_city_sql("evi_city", "inc_city")}, false) OR COALESCE(lower(evi_state) <> lower(inc_state), false) AS gone,
-  contextual OR (COALESCE(lower(evi_state) = lower(inc_state), false) AND evi_city IS NULL) AS ctx, NOT placed AND (inc_city IS NULL OR evi_city IS NULL) AS side FROM lk LEFT JOIN alike ON alike.a = lk.ka AND alike.b = lk.kb),
+  contextual OR (COALESCE(lower(evi_state) = lower(inc_state), false) AND evi_city IS NULL) AS ctx, NOT placed AND (inc_city IS NULL OR evi_city IS NULL) AS side FROM lk LEFT JOIN l_alike al ON al.a = lk.ka AND al.b = lk.kb),
  sw AS (SELECT *, 0.30::DOUBLE * semantic + 0.25::DOUBLE * entity + 0.20::DOUBLE * temporal + 0.15::DOUBLE * cat + 0.10::DOUBLE * spatial AS w0 FROM en),
  sc AS (SELECT *, CASE WHEN side AND NOT ctx THEN greatest(w0 - 0.10::DOUBLE, 0.0) ELSE w0 END AS s FROM sw),
- links AS (SELECT id, evidence_id, publisher, sha256, url, wire, semantic, entity, CASE WHEN gone THEN 0.0::DOUBLE WHEN denied AND entity >= 0.7 THEN 0.85 ELSE {r4_sql("s")} END AS overall, CASE WHEN gone THEN 'IRRELEVANT' WHEN denied AND entity >= 0.7 THEN 'CONTRADICTORY' WHEN ctx AND s >= 0.35 THEN 'CONTEXTUAL'
+ links AS (SELECT id, evidence_id, publisher, sha256, url, wire, derived, semantic, entity, CASE WHEN gone THEN 0.0::DOUBLE WHEN denied AND entity >= 0.7 THEN 0.85 ELSE {r4_sql("s")} END AS overall, CASE WHEN gone THEN 'IRRELEVANT' WHEN denied AND entity >= 0.7 THEN 'CONTRADICTORY' WHEN ctx AND s >= 0.35 THEN 'CONTEXTUAL'
   WHEN s >= 0.65 AND semantic >= 0.35 AND entity >= 0.7 AND temporal >= 0.5 THEN 'SUPPORTING' WHEN s >= 0.5 AND (entity >= 0.5 OR semantic >= 0.4) THEN 'RELATED' ELSE 'IRRELEVANT' END AS relationship FROM sc)"""
 
 
@@ -469,15 +472,12 @@ def evidence_links(spark, sf_dir):
 
 
 _TOP = "top10 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overall DESC, evidence_id) AS r FROM links WHERE relationship <> 'IRRELEVANT') WHERE r <= 10)"
-_ORIGIN = "COALESCE('hash:' || CASE WHEN evidence_id % 3 = 0 THEN sha256 END, 'url:' || url, 'wire:' || wire, 'domain:' || CASE WHEN evidence_id % 2 = 0 THEN publisher END, 'id:' || evidence_id)"
-_GROUPS = f"grp AS (SELECT id, {_ORIGIN} AS origin, max(overall) AS confidence, max(CASE relationship WHEN 'SUPPORTING' THEN 1.0 WHEN 'RELATED' THEN 0.35 WHEN 'CONTEXTUAL' THEN 0.20 ELSE 0.0 END::DOUBLE) AS role_weight, count(*) AS members, arg_max(relationship, {{'o': overall, 'e': -evidence_id}}) AS relationship FROM top10 GROUP BY 1, 2)"
+_ORIGIN = "COALESCE('hash:' || sha256, 'url:' || url, 'wire:' || wire, 'domain:' || publisher, 'id:' || evidence_id)"
+_GROUPS = f"grp AS (SELECT id, {_ORIGIN} AS origin, max(overall) AS confidence, max(CASE relationship WHEN 'SUPPORTING' THEN 1.0 WHEN 'RELATED' THEN 0.35 WHEN 'CONTEXTUAL' THEN 0.20 ELSE 0.0 END::DOUBLE) AS role_weight, count(*) AS members, bool_or(derived) AS derived, arg_max(relationship, {{'o': overall, 'e': -evidence_id}}) AS relationship FROM top10 GROUP BY 1, 2)"
 
 
 def _grouped(spark, sf_dir) -> DataFrame:
-    """Some articles lack a hash, some a publisher, so that every level of origin decides for some."""
-    k = F.col("evidence_id")
-    some = _links(spark, sf_dir).withColumns({"sha256": F.when(k % 3 == 0, F.col("sha256")), "publisher": F.when(k % 2 == 0, F.col("publisher"))})
-    return ev.provenance_groups(ev.strongest(some))
+    return ev.provenance_groups(ev.strongest(_links(spark, sf_dir)))
 
 
 @query(f"WITH {_LINKS}, {_TOP}, {_GROUPS} SELECT * FROM grp")
@@ -485,44 +485,108 @@ def evidence_provenance_groups(spark, sf_dir):
     return _grouped(spark, sf_dir)
 
 
-def _raw_sql(evidence: str, joins: str) -> str:
+def _signals_sql(rows: str, evidence: str, joins: str, name: str) -> str:
+    """CTE ``name``: the rows with the signals of a score for a given strength of evidence."""
     full = " + ".join(f"CASE WHEN {c} THEN {w}::DOUBLE ELSE 0.0::DOUBLE END" for c, w in (("true", 0.30), ("true", 0.25), ("has_place", 0.20), ("has_text", 0.15), ("has_category", 0.10)))
-    base = f"(least(greatest(trust, 0.10::DOUBLE), 0.95::DOUBLE) * (0.70::DOUBLE + 0.30::DOUBLE * ({full})))"
-    families = f"(1 + CASE WHEN {joins} AND family <> 'NEWS' THEN 1 ELSE 0 END + CASE WHEN stations > 0 AND family <> 'SENSOR' THEN 1 ELSE 0 END)"
-    crowd = "(CASE WHEN members > 1 THEN 1 - exp(-(members - 1) / 3.0::DOUBLE) ELSE 0.0::DOUBLE END)"
-    heard = f"({crowd} > 0.01 OR {evidence} > 0.01 OR observation > 0.01)"
-    cap = f"(CASE WHEN NOT {heard} THEN CASE family WHEN 'CITIZEN' THEN 0.65 WHEN 'OFFICIAL' THEN 0.88 ELSE 0.75 END WHEN {families} = 1 THEN 0.82 WHEN NOT {evidence} > 0.01 AND NOT {crowd} > 0.01 AND {families} = 2 THEN 0.85 ELSE 0.98 END::DOUBLE)"
-    support = f"least(0.30::DOUBLE * {crowd} + 0.50::DOUBLE * {evidence} + 0.50::DOUBLE * observation, 1.0)"
-    lift = f"((1 - {base}) * least({support} * (1 + 0.06::DOUBLE * ({families} - 1)), 1.0))"
-    penalty = "least((1 - (1 - denial) * (1 - obs_denial)) * 0.5::DOUBLE, 0.5::DOUBLE)"
-    return r4_sql(f"greatest(least({base} + {lift} - {penalty}, {cap}), 0.0)")
+    return f"""{name}_a AS (SELECT *, least(greatest(trust, 0.10::DOUBLE), 0.95::DOUBLE) AS prior, {full} AS quality, {evidence} AS ev, CASE WHEN members > 1 THEN 1 - exp(-(members - 1) / 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS crowd,
+  1 + CASE WHEN {joins} AND family <> 'NEWS' THEN 1 ELSE 0 END + CASE WHEN stations_heard > 0 AND family <> 'SENSOR' THEN 1 ELSE 0 END AS n_families FROM {rows}),
+ {name}_b AS (SELECT *, prior * (0.70::DOUBLE + 0.30::DOUBLE * quality) AS base, least(0.30::DOUBLE * crowd + 0.50::DOUBLE * ev + 0.50::DOUBLE * observation, 1.0) AS support, 1 + 0.06::DOUBLE * (n_families - 1) AS diversity, least((1 - (1 - denial) * (1 - obs_denial)) * 0.5::DOUBLE, 0.5::DOUBLE) AS penalty,
+  CASE WHEN NOT (crowd > 0.01 OR ev > 0.01 OR observation > 0.01) THEN CASE family WHEN 'CITIZEN' THEN 0.65 WHEN 'OFFICIAL' THEN 0.88 ELSE 0.75 END WHEN n_families = 1 THEN 0.82 WHEN NOT ev > 0.01 AND NOT crowd > 0.01 AND n_families = 2 THEN 0.85 ELSE 0.98 END::DOUBLE AS cap FROM {name}_a),
+ {name}_c AS (SELECT *, (1 - base) * least(support * diversity, 1.0) AS delta FROM {name}_b), {name}_d AS (SELECT *, base + delta - penalty AS penalized FROM {name}_c), {name}_e AS (SELECT *, {r4_sql("greatest(least(penalized, cap), 0.0)")} AS final0 FROM {name}_d),
+ {name} AS (SELECT *, CASE WHEN place_adjustment = 0 THEN final0 ELSE {r4_sql("greatest(least(final0 + place_adjustment, 0.98::DOUBLE), 0.0)")} END AS final_ FROM {name}_e)"""
 
 
 _VALUE = "0.5::DOUBLE * least(confidence * role_weight * (1 + 0.20::DOUBLE * ln(members)), 1.0)"
 _NOISY = lambda v: f"CASE WHEN max(CASE WHEN greatest(1 - ({v}), 0.0) = 0 THEN 1 ELSE 0 END) = 1 THEN 1.0 ELSE 1 - exp(sum(CASE WHEN greatest(1 - ({v}), 0.0) > 0 THEN ln(greatest(1 - ({v}), 0.0)) ELSE 0.0 END)) END"
 _COUNTS, _WEAK = "relationship <> 'CONTRADICTORY' AND role_weight > 0", "relationship IN ('RELATED', 'CONTEXTUAL')"
-_CRED = f"""st AS (SELECT id, {_NOISY(f"CASE WHEN {_COUNTS} THEN {_VALUE} ELSE 0.0 END")} AS evidence_, {_NOISY(f"CASE WHEN {_COUNTS} AND NOT {_WEAK} THEN {_VALUE} ELSE 0.0 END")} AS strong_,
-  count(*) FILTER ({_COUNTS} AND {_WEAK}) AS weak_groups, count(*) FILTER ({_COUNTS} AND confidence * role_weight > 0.1 AND NOT {_WEAK}) AS strong_heard, count(*) FILTER ({_COUNTS} AND confidence * role_weight > 0.1) AS heard,
-  {_NOISY("CASE WHEN relationship = 'CONTRADICTORY' THEN 0.6::DOUBLE * confidence ELSE 0.0 END")} AS denial FROM grp GROUP BY 1),
- so AS (SELECT id, source_id, station, max(score) AS score, max(CASE relationship WHEN 'CORROBORATING' THEN 1.0 WHEN 'CONSISTENT' THEN 0.5 WHEN 'WEAK' THEN 0.2 ELSE 0.0 END::DOUBLE) AS rel, max(CASE WHEN relationship = 'CONTRADICTORY' THEN score END) AS against FROM corr GROUP BY 1, 2, 3),
- sn AS (SELECT id, {_NOISY("CASE WHEN rel > 0 THEN 0.6::DOUBLE * least(score * rel, 1.0) ELSE 0.0 END")} AS observation, {_NOISY("0.4::DOUBLE * COALESCE(against, 0.0)")} AS obs_denial, count(*) FILTER (score * rel > 0.1) AS stations FROM so GROUP BY 1),
- inp AS (SELECT r.id, r.trust, CASE WHEN source_type LIKE '%CITIZEN%' THEN 'CITIZEN' WHEN source_type LIKE '%OFFICIAL%' THEN 'OFFICIAL' WHEN source_type LIKE '%NEWS%' THEN 'NEWS' WHEN source_type LIKE '%SOCIAL%' THEN 'SOCIAL' ELSE 'SENSOR' END AS family,
-  CAST(1 + r.id % 5 AS BIGINT) AS members, location_name IS NOT NULL AS has_place, COALESCE(length(description) >= 5, false) AS has_text, category_code <> 'OTHER' AS has_category, COALESCE(evidence_, 0.0) AS evidence_, COALESCE(strong_, 0.0) AS strong_, COALESCE(weak_groups, 0) AS weak_groups,
-  COALESCE(strong_heard, 0) AS strong_heard, COALESCE(heard, 0) AS heard, COALESCE(denial, 0.0) AS denial, COALESCE(observation, 0.0) AS observation, COALESCE(obs_denial, 0.0) AS obs_denial, COALESCE(stations, 0) AS stations FROM reports r LEFT JOIN st ON st.id = r.id LEFT JOIN sn ON sn.id = r.id),
- two AS (SELECT id, weak_groups, {_raw_sql("strong_", "strong_heard > 0")} AS strong_score, {_raw_sql("evidence_", "heard > 0")} AS full_score FROM inp)"""
-
-
-@query(f"WITH {_LINKS}, {_TOP}, {_GROUPS}, {_OBS}, {_HISTORY}, {_CORR}, {_CRED} SELECT id, strong_score, full_score, {cr.weak_capped_sql('strong_score', 'full_score', 'weak_groups > 0')} AS credibility FROM two")
-def credibility_scores(spark, sf_dir):
-    """Every report from its source, its completeness, its evidence and the stations around it."""
-    reports = dm.reports(spark, sf_dir)
+_FAMILY = "CASE WHEN source_type LIKE '%CITIZEN%' THEN 'CITIZEN' WHEN source_type LIKE '%OFFICIAL%' THEN 'OFFICIAL' WHEN source_type LIKE '%NEWS%' THEN 'NEWS' WHEN source_type LIKE '%SOCIAL%' THEN 'SOCIAL' ELSE 'SENSOR' END"
+_STRENGTH = f"""st AS (SELECT id, {_NOISY(f"CASE WHEN {_COUNTS} THEN {_VALUE} ELSE 0.0 END")} AS evidence_, {_NOISY(f"CASE WHEN {_COUNTS} AND NOT {_WEAK} THEN {_VALUE} ELSE 0.0 END")} AS strong_,
+  count(*) FILTER ({_COUNTS} AND {_WEAK}) AS weak_groups, count(*) FILTER ({_COUNTS}) AS n_groups, bool_or({_COUNTS} AND derived) AS derived, count(*) FILTER ({_COUNTS} AND confidence * role_weight > 0.1 AND NOT derived AND NOT {_WEAK}) AS strong_heard, count(*) FILTER ({_COUNTS} AND confidence * role_weight > 0.1 AND NOT derived) AS heard,
+  {_NOISY("CASE WHEN relationship = 'CONTRADICTORY' THEN 0.6::DOUBLE * confidence ELSE 0.0 END")} AS denial FROM grp GROUP BY 1)"""
+_SEEN = f"""so AS (SELECT id, source_id, station, max(score) AS score, max(CASE relationship WHEN 'CORROBORATING' THEN 1.0 WHEN 'CONSISTENT' THEN 0.5 WHEN 'WEAK' THEN 0.2 ELSE 0.0 END::DOUBLE) AS rel, max(CASE WHEN relationship = 'CONTRADICTORY' THEN score END) AS against FROM corr GROUP BY 1, 2, 3),
+ sn AS (SELECT id, {_NOISY("CASE WHEN rel > 0 THEN 0.6::DOUBLE * least(score * rel, 1.0) ELSE 0.0 END")} AS observation, {_NOISY("0.4::DOUBLE * COALESCE(against, 0.0)")} AS obs_denial, count(*) FILTER (rel > 0) AS stations, count(*) FILTER (score * rel > 0.1) AS stations_heard FROM so GROUP BY 1)"""
+_NO_GROUPS = "st AS (SELECT NULL::BIGINT AS id, NULL::DOUBLE AS evidence_, NULL::DOUBLE AS strong_, NULL::BIGINT AS weak_groups, NULL::BIGINT AS n_groups, NULL::BOOLEAN AS derived, NULL::BIGINT AS strong_heard, NULL::BIGINT AS heard, NULL::DOUBLE AS denial)"
+_NOT_SEEN = "sn AS (SELECT NULL::BIGINT AS id, NULL::DOUBLE AS observation, NULL::DOUBLE AS obs_denial, NULL::BIGINT AS stations, NULL::BIGINT AS stations_heard)"
+_ALONE = "crowds AS (SELECT NULL::BIGINT AS id, NULL::BIGINT AS members)"
+_CROWDS = "crowds AS (SELECT id, count(*) OVER (PARTITION BY primary_id) AS members FROM clustered)"
+_CONFLICT = """cn AS (SELECT r.k AS id, u.name, u.i FROM rl_read r, LATERAL (SELECT unnest(r.names) AS name, generate_subscripts(r.names, 1) AS i) u),
+ cs AS (SELECT cn.id, list(lower(g.state)) FILTER (g.state IS NOT NULL AND f.key IS NULL) AS states, arg_min(lower(g.state), cn.i) FILTER (g.state IS NOT NULL AND f.key IS NULL) AS first_, bool_or(f.key IS NOT NULL) AS abroad
+  FROM cn LEFT JOIN gaz g ON g.key = cn.name AND g.kind = (SELECT CASE WHEN bool_or(kind = 'LOCALITY') THEN 'LOCALITY' WHEN bool_or(kind = 'CITY') THEN 'CITY' WHEN bool_or(kind = 'STATE') THEN 'STATE' END FROM gaz k WHERE k.key = cn.name) LEFT JOIN gaz f ON f.kind = 'FOREIGN' AND f.key = cn.name GROUP BY 1),
+ pc AS (SELECT id, verdict, CASE WHEN verdict = 'MISMATCH' THEN -0.10 ELSE 0.0 END::DOUBLE AS adjustment FROM (SELECT r.id, CASE WHEN r.state IS NULL OR cs.id IS NULL THEN 'NEUTRAL' WHEN COALESCE(list_contains(states, lower(r.state)), false) THEN 'CONSISTENT' WHEN abroad OR COALESCE(first_ <> lower(r.state), false) THEN 'MISMATCH' ELSE 'NEUTRAL' END AS verdict FROM reports r LEFT JOIN cs ON cs.id = r.id))"""
+_CRED = f"""inp AS (SELECT r.id, r.trust, r.source_type, {_FAMILY} AS family, COALESCE(w.members, 1) AS members, location_name IS NOT NULL AS has_place, COALESCE(length(description) >= 5, false) AS has_text, category_code <> 'OTHER' AS has_category, COALESCE(evidence_, 0.0) AS evidence_, COALESCE(strong_, 0.0) AS strong_, COALESCE(weak_groups, 0) AS weak_groups,
+  COALESCE(n_groups, 0) AS n_groups, COALESCE(derived, false) AS derived, COALESCE(strong_heard, 0) AS strong_heard, COALESCE(heard, 0) AS heard, COALESCE(denial, 0.0) AS denial, COALESCE(observation, 0.0) AS observation, COALESCE(obs_denial, 0.0) AS obs_denial, COALESCE(stations, 0) AS stations, COALESCE(stations_heard, 0) AS stations_heard, pc.adjustment AS place_adjustment
+  FROM reports r LEFT JOIN st ON st.id = r.id LEFT JOIN sn ON sn.id = r.id LEFT JOIN crowds w ON w.id = r.id JOIN pc ON pc.id = r.id),
+ {_signals_sql("inp", "strong_", "strong_heard > 0", "sa")}, {_signals_sql("inp", "evidence_", "heard > 0", "sb")},
+ two AS (SELECT sb.id, sb.weak_groups, sa.final_ AS strong_score, sb.final_ AS full_score FROM sa JOIN sb ON sb.id = sa.id)"""
+_FINAL = f"{cr.weak_capped_sql('strong_score', 'full_score', 'weak_groups > 0')} AS credibility"
+
+
+def _inputs(reports: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """What a score takes of the reports themselves: completeness, source, crowd (id, primary_id), and the place that their text tells of."""
     stated = {"has_coords": F.col("lat").isNotNull(), "has_time": F.col("occurred_at").isNotNull(), "has_place": F.col("location_name").isNotNull(), "has_text": F.coalesce(F.length("description") >= 5, F.lit(False)), "has_category": F.col("category_code") != "OTHER"}
-    inputs = reports.withColumns(stated).select("id", "trust", *stated, cr.family(F.col("source_type")).alias("family"), (1 + F.col("id") % 5).alias("members"))
+    rows = reports.withColumns(stated).select("id", "trust", "source_type", *stated, cr.family(F.col("source_type")).alias("family"))
+    told = lo.conflicts(reports.select("id", "city", "state", du.whole_text(reports).alias("body")), lo.gazetteer(reports.sparkSession)).select("id", F.col("adjustment").alias("place_adjustment"))
+    rows = rows.join(told, "id")
+    if members is None:
+        return rows.withColumn("members", F.lit(1).cast("long"))
+    crowds = members.join(members.groupBy("primary_id").agg(F.count("*").alias("members")), "primary_id").select("id", "members")
+    return rows.join(crowds, "id", "left")
+
+
+@query(f"WITH {_PLACED}, {_CONFLICT} SELECT * FROM pc")
+def place_conflicts(spark, sf_dir):
+    """Whether the whole text of each report tells of another state than the declared one."""
+    r = dm.reports(spark, sf_dir)
+    return lo.conflicts(r.select("id", "city", "state", du.whole_text(r).alias("body")), lo.gazetteer(spark))
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    """Every report from its source, its completeness, its duplicates, its evidence, the stations around it and the place that it tells of."""
+    reports = dm.reports(spark, sf_dir)
+    inputs = _inputs(reports, duplicate_clusters(spark, sf_dir))
     heard = cr.evidence_strength(_grouped(spark, sf_dir))
     seen = cr.observation_strength(ob.matches(reports, dm.observations(spark, sf_dir)))
     return cr.score(inputs.join(heard, "id", "left").join(seen, "id", "left"))
 
 
+_EVERYTHING = f"WITH RECURSIVE {_LINKS}, {_TOP}, {_GROUPS}, {_OBS}, {_HISTORY}, {_CORR}, {_STRENGTH}, {_SEEN}, {_CLUSTERS}, {_CROWDS}, {_CONFLICT}, {_CRED}"
+
+
+@query(f"{_EVERYTHING} SELECT id, strong_score, full_score, {_FINAL} FROM two")
+def credibility_scores(spark, sf_dir):
+    return _scored(spark, sf_dir).select("id", "strong_score", "full_score", "credibility")
+
+
+def _sentence_sql(form: str, *values: str) -> str:
+    """A sentence with its values filled in; numbers are rounded to four decimals first, as they are stored."""
+    import re
+
+    parts = re.split(r"(%\.\df|%d|%s)", form)
+    filled = [f"printf('{p}', {v})" if p.startswith("%.") else f"CAST({v} AS VARCHAR)" for p, v in zip([p for p in parts if p.startswith("%")], values, strict=True)]
+    out = iter(filled)
+    return " || ".join(next(out) if p.startswith("%") else "'" + p.replace("'", "''") + "'" for p in parts if p)
+
+
+_FAMILIES_SQL = "list_sort(list_distinct(list_filter([family, CASE WHEN heard > 0 THEN 'NEWS' END, CASE WHEN stations_heard > 0 THEN 'SENSOR' END], lambda f: f IS NOT NULL)))"
+_ROUNDED = "ex AS (SELECT id, source_type, family, members, n_groups, stations, heard, stations_heard, has_place, has_text, derived, n_families, final_, " + ", ".join(f"{r4_sql(c)} AS {c}" for c in ("prior", "quality", "base", "crowd", "ev", "observation", "support", "diversity", "delta", "penalty", "penalized", "cap")) + f", {_FAMILIES_SQL} AS fams FROM sb)"
+_SAID = lambda *parts: "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
+_ISOLATED = "crowd = 0 AND ev = 0 AND observation = 0"
+_POSITIVE = _SAID(
+    f"CASE WHEN prior >= 0.8 THEN {_sentence_sql(cr.HIGH_TRUST, 'prior', 'source_type')} WHEN prior >= 0.5 THEN {_sentence_sql(cr.SOME_TRUST, 'prior', 'source_type')} END", f"CASE WHEN crowd > 0.2 THEN {_sentence_sql(cr.CROWD, 'members', 'crowd')} END", f"CASE WHEN ev > 0.2 THEN {_sentence_sql(cr.DIGITAL, 'n_groups', 'ev')} END",
+    f"CASE WHEN observation > 0.2 THEN {_sentence_sql(cr.SENSORS, 'stations', 'observation')} END", f"CASE WHEN len(fams) >= 2 THEN {_sentence_sql(cr.DIVERSE, 'diversity', 'len(fams)', "array_to_string(fams, ', ')")} END",
+)
+_NEGATIVE = _SAID(f"CASE WHEN penalty > 0.01 THEN {_sentence_sql(cr.PENALTY, 'penalty')} END", f"CASE WHEN cap < 0.98 AND penalized > cap THEN {_sentence_sql(cr.CAPPED, 'cap')} END")
+_FLAGGED = _SAID(*(f"CASE WHEN {test} THEN '{text}' END" for test, (_, text) in zip(("false", "false", "NOT has_text", "NOT has_place", _ISOLATED, "derived", "false", "false"), cr.FLAGS, strict=True)))
+_TEXT = _SAID(_sentence_sql(cr.LINES[0], "final_"), _sentence_sql(cr.LINES[1], "base", "prior", "quality"), f"CASE WHEN delta > 0 THEN {_sentence_sql(cr.LINES[2], 'delta', 'support', 'diversity')} END", f"CASE WHEN penalty > 0 THEN {_sentence_sql(cr.LINES[3], 'penalty')} END", f"CASE WHEN cap < 0.98 THEN {_sentence_sql(cr.LINES[4], 'cap')} END")
+
+
+@query(f"{_EVERYTHING}, {_ROUNDED} SELECT id, array_to_string({_POSITIVE}, ' ') AS positive, array_to_string({_NEGATIVE}, ' ') AS negative, array_to_string({_FLAGGED}, ' ') AS flags, array_to_string(fams, ',') AS families, array_to_string({_TEXT}, chr(10)) AS explanation FROM ex")
+def credibility_explanations(spark, sf_dir):
+    """The whole explanation of each report's score: what speaks for it, against it, what is uncertain, and how the score comes about."""
+    told = cr.explained(_scored(spark, sf_dir))
+    return told.select("id", *(F.array_join(c, " ").alias(c) for c in ("positive", "negative", "flags")), F.array_join("families", ",").alias("families"), "explanation")
+
+
 @query(f"WITH x AS (SELECT id, credibility AS strong, least(round(credibility + (id % 90) / 1000.0::DOUBLE, 4), 0.98) AS full_ FROM incidents) SELECT id, {cr.weak_capped_sql('strong', 'full_', 'id % 3 <> 0')} AS capped FROM x")
 def weak_link_cap(spark, sf_dir):
     x = dm.incidents(spark, sf_dir).select("id", F.col("credibility").alias("strong"), F.least(F.round(F.col("credibility") + (F.col("id") % 90) / F.lit(1000.0), 4), F.lit(0.98)).alias("full"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analytics as an
+from ..operators import credibility as cr
 from ..operators import details as de
 from ..operators import lifecycle as li
 from ..operators import text as tx
+from . import catalogue as ca
 from . import domain as dm
 from .catalogue import query
 from .domain import table
@@ -104,10 +106,10 @@ def cluster_details(spark, sf_dir):
     return de.cluster_detail(dm.incidents(spark, sf_dir), _members(spark, sf_dir)).withColumn("cluster_id", F.coalesce("cluster_id", -F.col("id")))
 
 
-@query(f"SELECT DISTINCT id FROM (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 31 = 0 UNION SELECT m.id FROM {_CLUSTERS} m WHERE cluster_id IN (SELECT cluster_id FROM {_CLUSTERS} WHERE id % 31 = 0))")
+@query(f"SELECT DISTINCT id FROM (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 20 = 0 UNION SELECT m.id FROM {_CLUSTERS} m WHERE cluster_id IN (SELECT cluster_id FROM {_CLUSTERS} WHERE id % 20 = 0))")
 def recompute_fan_out(spark, sf_dir):
     """A changed report and all of its cluster are computed anew."""
-    touched = table(spark, sf_dir, "orders").where("o_orderkey % 31 = 0").select(F.col("o_orderkey").alias("id"))
+    touched = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("id"))
     return de.to_recompute(touched, _members(spark, sf_dir))
 
 
@@ -209,13 +211,10 @@ def signal_families(spark, sf_dir):
     return dm.incidents(spark, sf_dir).select("id", F.array_join(F.array_sort(F.array_union(own, F.array(F.when(F.col("id") % 2 == 0, "NEWS").otherwise("SENSOR")))), ",").alias("families"))
 
 
-@query("""SELECT id, array_to_string(list_filter([CASE WHEN credibility >= 0.8 THEN 'High institutional source trust (' || printf('%.2f', floor(credibility * 100) / 100) || ') from ' || source_type || '.' WHEN credibility >= 0.5 THEN 'Moderate baseline source trust (' || printf('%.2f', floor(credibility * 100) / 100) || ') from ' || source_type || '.' END,
- CASE WHEN crowd > 0.2 THEN 'Crowd volume signal (sub-signal: ' || printf('%.2f', crowd) || ').' END, CASE WHEN ev > 0.2 THEN 'Digital evidence corroboration (score: ' || printf('%.2f', ev) || ').' END], lambda x: x IS NOT NULL), ' ') AS positive,
- CASE WHEN id % 10 > 0 THEN 'Diagnostic negative penalty of -' || printf('%.4f', id % 10 / 16.0) || ' applied due to contradictory physical telemetry or debunking evidence.' ELSE '' END AS negative FROM (SELECT *, id % 4 / 4.0::DOUBLE AS crowd, id % 5 / 5.0::DOUBLE AS ev FROM incidents)""")
+@query(f"{ca._EVERYTHING}, {ca._ROUNDED} SELECT id, array_to_string({ca._POSITIVE}, ' ') AS positive, array_to_string({ca._NEGATIVE}, ' ') AS negative FROM ex")
 def credibility_drivers(spark, sf_dir):
-    k = F.col("id")
-    made = de.drivers(F.floor(F.col("credibility") * 100) / 100, k % 4 / F.lit(4.0), k % 5 / F.lit(5.0), F.lit(0.0), k % 10 / F.lit(16.0), F.col("source_type"))
-    return dm.incidents(spark, sf_dir).select("id", made.alias("x")).select("id", F.array_join("x.positive", " ").alias("positive"), F.array_join("x.negative", " ").alias("negative"))
+    told = cr.explained(ca._scored(spark, sf_dir))
+    return told.select("id", F.array_join("positive", " ").alias("positive"), F.array_join("negative", " ").alias("negative"))
 
 
 @query("SELECT 'observations' AS kept, count(*) AS n FROM observations WHERE observed_at >= TIMESTAMP '2024-01-15' UNION ALL SELECT 'evidence', count(*) FROM evidence WHERE COALESCE(CASE WHEN evidence_id % 2 = 0 THEN published_at END, TIMESTAMP '2024-01-12') >= TIMESTAMP '2024-01-11'")

@@ -63,8 +63,8 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # What reports say about their place, by incident; an empty text stands for none.
-LOCATIONS = ("Mula River bank, Pune", "Krishna basin, Satara", "Pune district", "Krishna Nagar, Nashik", "Nashik, Maharashtra", "Godavari nadi ghat, Nashik", "Satara market street", "Maharashtra coast", "")
-CITIES = ("Pune", "Satara", "Pune", "Nashik", "Nashik", "Nashik", "Satara", "", "")
+LOCATIONS = ("Mula River bank, Pune", "Krishna basin, Satara", "Pune district", "Krishna Nagar, Nashik", "Nashik, Maharashtra", "Godavari nadi ghat, Nashik", "Satara market street", "Maharashtra coast", "", "Adyar river road, Chennai")
+CITIES = ("Pune", "Satara", "Pune", "Nashik", "Nashik", "Nashik", "Satara", "", "", "Chennai")
 DETAILS = ("water enters houses along the Mula river bank", "street drain blocked at the underpass", "river overflowing, danger level breached at Pavana bridge", "trees down and traffic stopped", "")
 RIVERS, BASINS, DISTRICTS = ("Mula", "Krishna", "Godavari", "Pavana"), ("Krishna", "Godavari", "Bhima"), ("Pune", "Satara", "Nashik")
 # What articles say about the place; an empty text stands for none.
@@ -126,13 +126,13 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles about the week's incidents: a headline of their own, and the whole text of a document."""
+    """Articles about the week's incidents: a headline of their own, and the whole text of a document. Some feeds bring no hash, some no publisher."""
     d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
     n = k * 3
     dense = k % 8 == 0
     return d.select(
         k.alias("evidence_id"),
-        F.col("source").alias("publisher"),
+        F.when(k % 2 == 0, F.col("source")).alias("publisher"),
         F.col("lang").alias("language"),
         minutes_after("2024-01-08 00:00:00", (k * 613) % 10080).alias("published_at"),
         F.nullif(pick(("Pune", "Nashik", "Satara", "Mumbai", ""), k), F.lit("")).alias("city"),
@@ -140,9 +140,10 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 < 2, F.concat(F.lit("ward "), ((n * 7) % 6).cast("string"))).alias("locality"),
         F.when(k % 3 != 0, _spot(k, dense, 271, 18.5, 16.0)).alias("lat"),
         F.when(k % 3 != 0, _spot(k, dense, 577, 73.8, 73.0)).alias("lon"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"),
+        F.when(k % 3 == 0, F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha256"),
         F.when(k % 5 == 0, F.concat(F.lit("https://news.example/"), (k % 50).cast("string"))).alias("url"),
         F.when(k % 7 == 0, "PTI").alias("wire"),
+        (k % 11 == 0).alias("derived"),
         F.concat(_headline(n), pick(TOLD, k)).alias("headline"),
         F.concat(_headline(n), pick(TOLD, k), F.lit(". "), pick(WHERE, k), F.lit(". "), F.coalesce("text", F.lit(""))).alias("text"),
     )
@@ -210,10 +211,10 @@ VIEWS = {
     "observations": f"""SELECT event_id AS obs_id, {_sql_pick(("CWC", "STATE"), "event_id")} AS source_id, u AS station, CAST(ts AS TIMESTAMP) AS observed_at, CASE WHEN event_id % 29 <> 0 THEN value / 10 END AS level_m,
  {_sql_spot("u", "u % 4 <> 0", 379, 18.5, 16.0)} AS lat, {_sql_spot("u", "u % 4 <> 0", 743, 73.8, 73.0)} AS lon, {_sql_pick(RIVERS, "u")} AS river, {_sql_pick(BASINS, "u")} AS basin, {_sql_pick(DISTRICTS, "u")} AS district,
  'Maharashtra' AS state, CAST(8 + u % 7 AS DOUBLE) AS warning_level_m FROM (SELECT *, user_id // 4 AS u FROM events)""",
-    "evidence": f"""SELECT doc_id AS evidence_id, source AS publisher, lang AS language, TIMESTAMP '2024-01-08 00:00:00' + to_minutes(CAST((doc_id * 613) % 10080 AS INTEGER)) AS published_at,
+    "evidence": f"""SELECT doc_id AS evidence_id, CASE WHEN doc_id % 2 = 0 THEN source END AS publisher, lang AS language, TIMESTAMP '2024-01-08 00:00:00' + to_minutes(CAST((doc_id * 613) % 10080 AS INTEGER)) AS published_at,
  NULLIF({_sql_pick(("Pune", "Nashik", "Satara", "Mumbai", ""), "doc_id")}, '') AS city, CASE WHEN doc_id % 4 <> 0 THEN 'Maharashtra' END AS state, CASE WHEN doc_id % 5 < 2 THEN 'ward ' || ((doc_id * 21) % 6) END AS locality,
  CASE WHEN doc_id % 3 <> 0 THEN {_sql_spot("doc_id", "doc_id % 8 = 0", 271, 18.5, 16.0)} END AS lat, CASE WHEN doc_id % 3 <> 0 THEN {_sql_spot("doc_id", "doc_id % 8 = 0", 577, 73.8, 73.0)} END AS lon,
- sha256(COALESCE(text, '')) AS sha256, CASE WHEN doc_id % 5 = 0 THEN 'https://news.example/' || (doc_id % 50) END AS url, CASE WHEN doc_id % 7 = 0 THEN 'PTI' END AS wire,
+ CASE WHEN doc_id % 3 = 0 THEN sha256(COALESCE(text, '')) END AS sha256, CASE WHEN doc_id % 5 = 0 THEN 'https://news.example/' || (doc_id % 50) END AS url, CASE WHEN doc_id % 7 = 0 THEN 'PTI' END AS wire, doc_id % 11 = 0 AS derived,
  {_sql_headline("(doc_id * 3)")} || {_sql_pick(TOLD, "doc_id")} AS headline, {_sql_headline("(doc_id * 3)")} || {_sql_pick(TOLD, "doc_id")} || '. ' || {_sql_pick(WHERE, "doc_id")} || '. ' || COALESCE(text, '') AS text FROM documents""",
 }
 
