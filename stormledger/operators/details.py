@@ -116,10 +116,13 @@ def to_recompute(touched: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def advisories(alerts: DataFrame) -> DataFrame:
-    """Advisories from alerts (id, source_code, title, hazard, end_text): those with an end that can be read (also in Indian time); of
-    alerts of one source, title and end the first id."""
-    ist = F.to_utc_timestamp(F.try_to_timestamp(F.regexp_extract("end_text", r"^\w{3} (\w{3} \d{2} \d{2}:\d{2}:\d{2} IST \d{4})$", 1), F.lit("MMM dd HH:mm:ss 'IST' yyyy")), "Asia/Kolkata")
-    end = F.coalesce(F.when(F.col("end_text").contains("IST"), ist), F.when(~F.col("end_text").contains("IST"), F.try_to_timestamp("end_text")))
+    """Advisories from alerts (id, source_code, title, hazard, end_text): those with an end in one of the feeds' three formats (Indian time
+    with the day's name, or a time with Z or an offset); of alerts of one source, title and end the first id. Without a hazard it is OTHER."""
+    text = F.trim("end_text")
+    ist = F.to_utc_timestamp(F.try_to_timestamp(F.regexp_extract(text, r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) (\w{3} \d{1,2} \d{1,2}:\d{1,2}:\d{1,2} IST \d{4})$", 1), F.lit("MMM d H:m:s 'IST' yyyy")), "Asia/Kolkata")
+    zoned = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}(Z|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")))
+    end = F.coalesce(ist, zoned)
+    alerts = alerts.withColumn("hazard", F.coalesce("hazard", F.lit("OTHER")))
     rows = alerts.withColumn("valid_until", end).where("valid_until is not null")
     return rows.groupBy("source_code", "title", "valid_until").agg(F.min_by(F.struct("id", "hazard"), "id").alias("x")).select("x.*", "source_code", "title", "valid_until")
 
@@ -159,9 +162,11 @@ def backfill(reports: DataFrame, categories: DataFrame) -> DataFrame:
     return met.withColumn("category_id", F.coalesce("category_id", "__id", "__other")).drop("__id", "__code", "__other")
 
 
-def fingerprint(*inputs: Column) -> Column:
-    """SHA-256 of a row's inputs, numbers rounded to four decimals, in the order of their names' JSON."""
-    return F.sha2(F.to_json(F.struct(*inputs)), 256)
+def fingerprint(rows: DataFrame, names: list[str]) -> Column:
+    """SHA-256 of some inputs of a row as JSON, in the order of their names, fractions rounded to four decimals; nulls are kept as such."""
+    kinds = dict(rows.dtypes)
+    rounded = lambda c: F.round(F.col(c), 4) + F.lit(0.0) if kinds[c] in ("double", "float") or kinds[c].startswith("decimal") else F.col(c)
+    return F.sha2(F.to_json(F.struct(*(rounded(c).alias(c) for c in sorted(names))), {"ignoreNullFields": "false"}), 256)
 
 
 def guarded(stored: DataFrame, computed: DataFrame) -> DataFrame:

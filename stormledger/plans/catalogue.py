@@ -19,9 +19,11 @@ from ..operators import lifecycle as li
 from ..operators import location as lo
 from ..operators import nearby as ne
 from ..operators import observations as ob
+from ..operators import percentiles as pe
 from ..operators import physical as ph
 from ..operators import similarity as sm
 from ..operators import text as tx
+from ..operators import vectors as ve
 from ..operators.categories import compatibility, compatibility_sql
 from ..storage import materialize
 from . import domain as dm
@@ -660,19 +662,14 @@ def contextual_flags(spark, sf_dir):
 @query("""WITH q AS (SELECT vec_id AS a, embedding AS ea FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT a, e.vec_id AS b, list_cosine_similarity(ea, e.embedding)::DOUBLE AS c FROM q JOIN embeddings e ON e.vec_id <> q.a)
  SELECT a, b, round(c, 3) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 3) DESC, b) AS r FROM s) WHERE r <= 5""")
 def embedding_cosine_topk(spark, sf_dir):
-    """The stated query set (every twentieth vector) against all rows, in blocks of queries."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    unit = rows.select("vec_id", F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)).alias("n"), "e")
-    queries = unit.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("n").alias("na"), F.col("e").alias("ea"))
-    dot = F.aggregate(F.zip_with("ea", "e", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = unit.crossJoin(queries).where("a != vec_id").select("a", F.col("vec_id").alias("b"), F.round(dot / (F.col("na") * F.col("n")), 3).alias("similarity"))
-    w = Window.partitionBy("a").orderBy(F.col("similarity").desc(), F.col("b"))
-    return pairs.withColumn("r", F.row_number().over(w)).where("r <= 5").drop("r")
+    """The stated query set (every twentieth vector) against all rows, in blocks."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return ve.nearest(rows.where("id % 20 = 0"), rows, 5)
 
 
-@query("SELECT sha256, count(*) AS n, min(evidence_id) AS first_id FROM evidence GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT sha256, count(*) AS n, min(evidence_id) AS first_id FROM evidence WHERE sha256 IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def exact_duplicates(spark, sf_dir):
-    return dm.evidence(spark, sf_dir).groupBy("sha256").agg(F.count("*").alias("n"), F.min("evidence_id").alias("first_id")).where("n > 1")
+    return dm.evidence(spark, sf_dir).where("sha256 is not null").groupBy("sha256").agg(F.count("*").alias("n"), F.min("evidence_id").alias("first_id")).where("n > 1")
 
 
 @query("""WITH i AS (SELECT doc_id AS id, lower(sha256(COALESCE(text, ''))) AS s FROM documents), h AS (SELECT id, s, substr(s, 1, 16) AS p FROM i) SELECT a.id AS a, b.id AS b, CAST(CASE WHEN a.s = b.s THEN 0 ELSE bit_count(xor(('0x' || a.p)::UBIGINT, ('0x' || b.p)::UBIGINT)) END AS INTEGER) AS distance FROM h a JOIN h b ON a.id > b.id AND (a.s = b.s OR substr(a.p, 1, 3) = substr(b.p, 1, 3))
@@ -762,5 +759,6 @@ def outbox_gauges(spark, sf_dir):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95 FROM events GROUP BY 1")
 def value_percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.expr("percentile(value, 0.5)"), 4).alias("p50"), F.round(F.expr("percentile(value, 0.95)"), 4).alias("p95"))
+    found = pe.percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    return found.select("event_type", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"))
 

@@ -134,15 +134,16 @@ def audit_log(spark, sf_dir):
 
 
 def _alerts(spark, sf_dir):
-    """Alerts that end at a time in one of two formats, or in none that can be read."""
+    """Alerts that end at a time in one of three formats, or in none that the feeds use; some name no hazard."""
     k, at = F.col("id"), F.timestamp_seconds(F.unix_timestamp("occurred_at"))
     ist = F.date_format(F.from_utc_timestamp(at, "Asia/Kolkata"), "EEE MMM dd HH:mm:ss 'IST' yyyy")
-    text = F.when(k % 3 == 0, ist).when(k % 3 == 1, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("soon")
+    offset = F.concat(F.date_format(F.from_utc_timestamp(at, "Asia/Kolkata"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0530"))
+    text = F.when(k % 3 == 0, ist).when(k % 6 == 1, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k % 6 == 4, offset).otherwise(F.when(k % 2 == 0, F.date_format(at, "yyyy-MM-dd")).otherwise("soon"))
     title = F.concat(F.lit("Warning "), (k % 40).cast("string"))
-    return dm.incidents(spark, sf_dir).select("id", F.lit("NDMA").alias("source_code"), title.alias("title"), F.col("category_code").alias("hazard"), text.alias("end_text"))
+    return dm.incidents(spark, sf_dir).select("id", F.lit("NDMA").alias("source_code"), title.alias("title"), F.when(k % 7 != 0, F.col("category_code")).alias("hazard"), text.alias("end_text"))
 
 
-_ADV = "adv AS (SELECT min(id) AS id, arg_min(category_code, id) AS hazard, 'NDMA' AS source_code, title, valid_until FROM (SELECT id, category_code, 'Warning ' || (id % 40) AS title, occurred_at AS valid_until FROM incidents WHERE id % 3 < 2) GROUP BY 3, 4, 5)"
+_ADV = "adv AS (SELECT min(id) AS id, arg_min(CASE WHEN id % 7 <> 0 THEN category_code ELSE 'OTHER' END, id) AS hazard, 'NDMA' AS source_code, title, valid_until FROM (SELECT id, category_code, 'Warning ' || (id % 40) AS title, occurred_at AS valid_until FROM incidents WHERE id % 3 < 2) GROUP BY 3, 4, 5)"
 
 
 @query(f"WITH {_ADV} SELECT id, hazard, source_code, title, strftime(valid_until, '%Y-%m-%d %H:%M') AS valid_until FROM adv")
@@ -191,9 +192,12 @@ def category_backfill(spark, sf_dir):
 def stale_writes(spark, sf_dir):
     """A third of the incidents changed while they were scored: their new scores are dropped."""
     rows = dm.incidents(spark, sf_dir)
-    inputs = lambda status: de.fingerprint(F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), status.alias("status"))
-    seen = rows.select("id", F.round(F.col("credibility") / 2, 6).alias("score"), inputs(F.col("status")).alias("seen"))
-    now = rows.select("id", F.col("credibility").alias("score"), inputs(F.when(F.col("id") % 3 == 0, F.lit("CHANGED")).otherwise(F.col("status"))).alias("now"))
+    names = ["status", "lon", "lat"]
+    seen = rows.select("id", F.round(F.col("credibility") / 2, 6).alias("score"), de.fingerprint(rows, names).alias("seen"))
+    changed = rows.withColumn("status", F.when(F.col("id") % 3 == 0, F.lit("CHANGED")).otherwise(F.col("status")))
+    # What changes beyond the fourth decimal is no change.
+    changed = changed.withColumn("lat", F.col("lat") + 0.00001)
+    now = changed.select("id", F.col("credibility").alias("score"), de.fingerprint(changed, names).alias("now"))
     return de.guarded(now, seen)
 
 

@@ -406,3 +406,64 @@ def test_exports(spark, tmp_path):
         exports.csv_rows(df, 0)
     f = json.loads(exports.geojson_features(df).first()["feature"])
     assert f["geometry"]["type"] == "Point" and len(f["geometry"]["coordinates"]) == 2
+
+
+# --- percentiles, vectors, advisories, fingerprints
+
+
+def test_percentiles_against_numpy(spark):
+    import random
+
+    import numpy as np
+
+    from stormledger.operators.percentiles import percentiles
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1.0, 2.5, rng.random() * 100])) for _ in range(500)] + [("one", 7.0), ("none", None)] + [("hot", float(i % 3)) for i in range(3000)]
+    got = {r["k"]: (r["lo"], r["p"], r["hi"]) for r in percentiles(spark.createDataFrame(rows, "k string, v double").repartition(3), ["k"], "v", {"lo": 0.0, "p": 0.37, "hi": 1.0}).collect()}
+    for key in {k for k, _ in rows}:
+        values = [v for k, v in rows if k == key and v is not None]
+        assert (key in got) == bool(values)
+        if values:
+            assert got[key] == pytest.approx(tuple(np.percentile(values, [0, 37, 100])))
+
+
+def test_nearest_vectors_against_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from stormledger.operators import vectors as ve
+
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(ve, "BLOCK", 16)
+    data = {i: rng.integers(-2, 3, 4).astype(float).tolist() for i in range(150)} | {900: [0.0] * 4, 901: None, 902: [1.0, 2.0]}
+    rows = spark.createDataFrame(list(data.items()), "id long, vector array<double>").repartition(4)
+    got = {}
+    for r in ve.nearest(rows.where("id % 20 = 0"), rows, 5).collect():
+        got.setdefault(r["a"], []).append((-r["similarity"], r["b"]))
+    flat = {i: np.array(v) for i, v in data.items() if v is not None}
+    for a in (i for i in flat if i % 20 == 0):
+        want = []
+        for b, y in flat.items():
+            n = np.linalg.norm(flat[a]) * np.linalg.norm(y) if len(y) == len(flat[a]) else 0
+            if b != a and n:
+                c = float(flat[a] @ y / n)
+                want.append((-np.sign(c) * np.floor(abs(c) * 1000 + 0.5) / 1000, b))
+        assert sorted(got.get(a, [])) == sorted(want)[:5]
+
+
+def test_advisories_take_three_formats(spark):
+    from stormledger.operators import details as de
+
+    ends = ["Tue Jan 02 05:30:00 IST 2024", "2024-01-02T05:30:00+0530", "2024-01-02T00:00:00Z", "2024-01-02T05:30:00+05:30", "2024", "2024-01-02", "2024-01-02 00:00:00", "Xyz Jan 02 05:30:00 IST 2024", None, ""]
+    rows = spark.createDataFrame([(i, "S", f"t{i}", None, e) for i, e in enumerate(ends)], "id long, source_code string, title string, hazard string, end_text string")
+    got = {r["id"]: (r["hazard"], str(r["valid_until"])) for r in de.advisories(rows).withColumn("valid_until", F.date_format("valid_until", "yyyy-MM-dd HH:mm")).collect()}
+    assert got == {i: ("OTHER", "2024-01-02 00:00") for i in range(4)}
+
+
+def test_fingerprint_rounds_and_sorts(spark):
+    from stormledger.operators import details as de
+
+    rows = spark.createDataFrame([(1, 1.00001, "x"), (2, 1.00002, "x"), (3, 1.001, "x"), (4, None, "x")], "id long, lat double, status string")
+    f = {r["id"]: r["f"] for r in rows.select("id", de.fingerprint(rows, ["status", "lat"]).alias("f")).collect()}
+    g = {r["id"]: r["f"] for r in rows.select("id", de.fingerprint(rows, ["lat", "status"]).alias("f")).collect()}
+    assert f == g and f[1] == f[2] != f[3] and len(set(f.values())) == 3
