@@ -105,3 +105,36 @@ def test_two_places(spark):
     xs = [i / 1000 for i in range(2001)] + [i / 8 for i in range(20)]
     for r in spark.createDataFrame([(x,) for x in xs], "x double").select("x", two_places(F.col("x")).alias("s")).collect():
         assert r["s"] == f"{r['x']:.2f}"
+
+
+def test_retention_rewrites_only_what_expired(spark, tmp_path):
+    import os
+
+    from stormledger.operators import retention as rt
+
+    day = lambda d: f"2024-01-{d:02d} 05:00:00"
+    reports = spark.createDataFrame([(i, day(1 + i % 5)) for i in range(40)] + [(99, None)], "id long, at string").select("id", F.col("at").cast("timestamp").alias("occurred_at"))
+    rt.store(reports, f"{tmp_path}/reports", "occurred_at")
+    for name, column in rt.CHILDREN.items():  # child rows are of other days than their reports
+        rt.store(spark.createDataFrame([(i, day(10 + i % 7)) for i in (*range(0, 40, 3), 200)], f"{column} long, at string"), f"{tmp_path}/{name}", "at")
+    files = lambda name: {d: sorted(f for f in os.listdir(f"{tmp_path}/{name}/{d}") if f.endswith("parquet")) for d in os.listdir(f"{tmp_path}/{name}") if d.startswith("day=")}
+    before = {name: files(name) for name in (*rt.CHILDREN, "reports")}
+    gone = {i for i in range(40) if i % 5 < 2}
+    did = {r["name"]: (r["days"], r["removed"]) for r in rt.cascade(spark, str(tmp_path), "2024-01-03").collect()}
+    assert did["reports"] == (2, len(gone))
+    for name, column in rt.CHILDREN.items():
+        kept = sorted(r[0] for r in rt.read(spark, f"{tmp_path}/{name}", column).select(column).collect())
+        assert kept == sorted(i for i in (*range(0, 40, 3), 200) if i not in gone)
+        touched = {f"day=2024-01-{10 + i % 7:02d}" for i in range(0, 40, 3) if i in gone}
+        after = files(name)
+        assert did[name] == (len(touched), sum(i in gone for i in range(0, 40, 3))) and all((after[d] == before[name][d]) == (d not in touched) for d in before[name])
+    assert {r["id"] for r in rt.read(spark, f"{tmp_path}/reports", "id").collect()} == set(range(40)) - gone | {99}
+    assert all(r["removed"] == 0 for r in rt.cascade(spark, str(tmp_path), "2024-01-03").collect())  # nothing is left to do
+
+
+def test_verification_steps():
+    from stormledger.streaming.verification import step
+
+    assert step("PENDING", " under_review ") == ("UNDER_REVIEW", "UNDER_REVIEW", None) and step("UNDER_REVIEW", "VERIFIED")[0] == "VERIFIED"
+    assert step("VERIFIED", "REJECTED") == ("VERIFIED", "REJECTED", "Cannot transition report from terminal state 'VERIFIED' to 'REJECTED'. Terminal verification states (VERIFIED, REJECTED, DUPLICATE) cannot be modified.")
+    assert step("UNDER_REVIEW", None)[2] == "Cannot transition report from 'UNDER_REVIEW' to ''. Allowed transitions from 'UNDER_REVIEW' are: DUPLICATE, REJECTED, VERIFIED."
