@@ -667,16 +667,17 @@ def embedding_cosine_topk(spark, sf_dir):
     return ve.nearest(rows.where("id % 20 = 0"), rows, 5)
 
 
-@query("SELECT sha256, count(*) AS n, min(evidence_id) AS first_id FROM evidence WHERE sha256 IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT sha256(COALESCE(text, '')) AS sha256, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def exact_duplicates(spark, sf_dir):
-    return dm.evidence(spark, sf_dir).where("sha256 is not null").groupBy("sha256").agg(F.count("*").alias("n"), F.min("evidence_id").alias("first_id")).where("n > 1")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("evidence_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    return docs.groupBy("sha256").agg(F.count("*").alias("n"), F.min("evidence_id").alias("first_id")).where("n > 1")
 
 
 @query("""WITH i AS (SELECT doc_id AS id, lower(sha256(COALESCE(text, ''))) AS s FROM documents), h AS (SELECT id, s, substr(s, 1, 16) AS p FROM i) SELECT a.id AS a, b.id AS b, CAST(CASE WHEN a.s = b.s THEN 0 ELSE bit_count(xor(('0x' || a.p)::UBIGINT, ('0x' || b.p)::UBIGINT)) END AS INTEGER) AS distance FROM h a JOIN h b ON a.id > b.id AND (a.s = b.s OR substr(a.p, 1, 3) = substr(b.p, 1, 3))
  WHERE a.s = b.s OR bit_count(xor(('0x' || a.p)::UBIGINT, ('0x' || b.p)::UBIGINT)) <= 10""")
 def image_lookalikes(spark, sf_dir):
     """Content hashes stand for pictures: the first 64 bits for the perceptual hash."""
-    sha = dm.evidence(spark, sf_dir).select(F.col("evidence_id").alias("image_id"), "sha256", F.substring("sha256", 1, 16).alias("phash"))
+    sha = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")).withColumn("phash", F.substring("sha256", 1, 16))
     return im.lookalikes(sha).select("a", "b", F.col("distance").cast("int").alias("distance"))
 
 
