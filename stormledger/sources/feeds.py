@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.text import canonical_url, clean_html, let
-from .normalise import category, coordinate, first_filled, met_severity, timestamp
+from ..storage import materialize
+from .normalise import category, coordinate, events, first_filled, met_severity, timestamp
+from .reader import read_documents
 
 
 def _slug(c: Column) -> Column:
@@ -66,23 +68,38 @@ def social_posts(raw: DataFrame) -> DataFrame:
     return _evidence(r, "SOCIAL_POST", title, F.col("url"), host, F.col("language"), timestamp(F.col("created_at")), text)
 
 
-def syndicated(raw: DataFrame, most: int = 50) -> DataFrame:
-    """Evidence from whole RSS or Atom documents (feed, xml): each item once by its link, the newest ``most`` of a feed.
+def _record(raw: DataFrame) -> DataFrame:
+    """Records of the feed reader with their fields as a map."""
+    return raw.withColumn("__f", F.from_json("record", "map<string,string>"))
 
-    Items are cut out with a pattern and their first filled link, guid and date taken, whatever the dialect.
+
+def _field(*names: str) -> Column:
+    return first_filled(*(F.try_element_at("__f", F.lit(n)) for n in names))
+
+
+def syndicated(raw: DataFrame, most: int = 50, rejected: bool = False) -> DataFrame:
+    """Evidence from the records of RSS or Atom documents (see ``reader``), or from whole documents (feed, xml): the first ``most`` items of
+    each document, and of items with one link the first by feed and position.
+
+    Items need a title, and a link or an identity that is one. ``rejected`` gives the records that are no evidence, each with its reason.
     """
-    from pyspark.sql.window import Window
-
-    items = raw.select("feed", F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<(?:item|entry)\b.*?</(?:item|entry)>"), F.lit(0))).alias("x"))
-    bare = lambda tag: clean_html(F.regexp_replace(F.regexp_extract("x", rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>", 1), r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"))
-    link = first_filled(bare("link"), F.regexp_extract("x", r"<link\b[^>]*href=[\"']([^\"']+)", 1), bare("guid"), bare("id"))
-    at = F.coalesce(*(timestamp(F.nullif(bare(t), F.lit(""))) for t in ("pubDate", "published", "updated")))
-    rows = items.select("feed", link.alias("link"), bare("title").alias("title"), first_filled(bare("description"), bare("summary")).alias("body"), at.alias("at")).where("link is not null")
-    rows = rows.withColumn("key", F.sha2(canonical_url(F.col("link")), 256)).dropDuplicates(["feed", "key"])
-    w = Window.partitionBy("feed").orderBy(F.col("at").desc_nulls_last(), F.col("key"))
-    rows = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    items = _record(raw if "record" in raw.columns else read_documents(raw))
+    identity = _field("guid", "id")
+    link = F.coalesce(_field("link"), F.when(identity.startswith("http"), identity))
+    url = canonical_url(link)
+    rows = items.select(
+        "feed", "position", "record", "reason", F.nullif(clean_html(_field("title")), F.lit("")).alias("title"), F.coalesce(F.nullif(url, F.lit("://")), link).alias("link"),
+        clean_html(_field("description", "summary", "content")).alias("body"), timestamp(_field("pubDate", "published", "updated")).alias("at"),
+    ).withColumn("key", F.sha2("link", 256))
+    sound = F.coalesce("reason", F.when(F.col("title").isNull(), "title").when(F.col("link").isNull(), "link").when(F.col("position") >= most, "beyond the limit"))
+    # Read twice below, parsed once.
+    rows = materialize(rows.withColumn("reason", sound), "feed-items")
+    first = rows.where("reason is null").groupBy("key").agg(F.min(F.struct("feed", "position")).alias("first"))
+    told = rows.join(first, "key", "left").withColumn("reason", F.coalesce("reason", F.when(F.struct("feed", "position") != F.col("first"), "duplicate")))
+    if rejected:
+        return told.where("reason is not null").select(F.lit("RSS").alias("source_code"), "feed", "position", F.col("record").alias("payload"), "reason")
     host = F.regexp_extract(F.lower("link"), r"^[a-z]+://([^/?#]+)", 1)
-    return _evidence(rows, "RSS_ITEM", F.col("title"), F.col("link"), host, F.lit(None).cast("string"), F.col("at"), F.col("body"))
+    return _evidence(told.where("reason is null"), "RSS_ITEM", F.col("title"), F.col("link"), host, F.lit(None).cast("string"), F.col("at"), F.nullif(F.substring("body", 1, 500), F.lit("")))
 
 
 def polygon_centre(polygon: Column) -> Column:
@@ -92,16 +109,21 @@ def polygon_centre(polygon: Column) -> Column:
     return let(corners, lambda c: F.when(F.size(c) > 0, F.struct(mean(c, 0).alias("lat"), mean(c, 1).alias("lon"))))
 
 
+def _pair(c: Column) -> Column:
+    """Numbers between commas or blanks."""
+    return F.transform(F.split(F.trim(c), r"\s*[,\s]\s*"), lambda x: F.trim(x).try_cast("double"))
+
+
 def cap_alerts(raw: DataFrame) -> DataFrame:
     """Events from alert records: the place is the first there is of centroid, point, polygon and circle.
 
     A centroid whose first number exceeds 40 has its longitude first.
     """
     r = _with(raw, "identifier", "event", "areaDesc", "severity", "severity_color", "centroid", "point", "polygon", "circle", "effective_start_time", "effective_end_time")
-    pair = lambda c: F.transform(F.split(F.regexp_replace(F.col(c), r"\s+\d+(\.\d+)?$", "") if c == "circle" else F.col(c), r"\s*,\s*"), lambda x: F.trim(x).try_cast("double"))
+    pair = _pair
     latlon = lambda p: F.when(F.size(p) >= 2, F.when(p[0] > 40, F.struct(p[1].alias("lat"), p[0].alias("lon"))).otherwise(F.struct(p[0].alias("lat"), p[1].alias("lon"))))
     place = lambda p: let(p, latlon)
-    at = F.coalesce(place(pair("centroid")), place(pair("point")), polygon_centre(F.col("polygon")), place(pair("circle")))
+    at = F.coalesce(place(pair(F.col("centroid"))), place(pair(F.col("point"))), polygon_centre(F.col("polygon")), place(pair(F.regexp_replace("circle", r"\s+\d+(\.\d+)?$", ""))))
     out = r.withColumn("__at", at).select(
         F.col("identifier").alias("external_id"), F.col("event").alias("title"), F.col("areaDesc").alias("location_name"), met_severity(first_filled(F.col("severity_color"), F.col("severity"))).alias("severity"),
         category(F.col("event"), F.col("event")).alias("category_code"), F.col("__at.lat").alias("lat"), F.col("__at.lon").alias("lon"), timestamp(F.col("effective_start_time")).alias("occurred_at"), timestamp(F.col("effective_end_time")).alias("valid_until"),
@@ -109,6 +131,43 @@ def cap_alerts(raw: DataFrame) -> DataFrame:
     return out.where("lat between -90 and 90 and lon between -180 and 180")
 
 
+def alerts(raw: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(events, rejected) from the records of RSS, Atom, CAP or JSON documents of alerts (see ``reader``).
+
+    Each record is brought to the payload of an event and goes through the common normaliser, which rejects one without a place or with an
+    implausible time; what the reader could not read is rejected with its reason. A record without an identity is named by area, time and hazard.
+    """
+    code = "NDMA"
+    rows = _record(raw)
+    hazard = F.coalesce(_field("disaster_type", "event", "category", "hazard"), F.lit("Disaster Alert"))
+    area = _field("area_description", "areaDesc", "area", "district")
+    location = F.try_element_at("__f", F.lit("location"))
+    shape = F.from_json(F.get_json_object(location, "$.coordinates"), "array<double>")
+    area = F.coalesce(area, F.when(~location.startswith("{"), first_filled(location)))
+    start = _field("effective_start_time", "sent", "effective", "onset", "pubDate", "published", "updated")
+    two = lambda p, i, j: F.when(F.size(p) >= 2, F.struct(p[i].alias("lat"), p[j].alias("lon")))
+    centroid = let(_pair(F.regexp_replace(_field("centroid"), r"[\[\]]", "")), lambda p: F.when(F.size(p) == 2, F.when(p[0] > 40, two(p, 1, 0)).otherwise(two(p, 0, 1))))
+    named = lambda lat, lon: F.when(_field(lat).isNotNull() & _field(lon).isNotNull(), F.struct(_field(lat).try_cast("double").alias("lat"), _field(lon).try_cast("double").alias("lon")))
+    at = F.coalesce(centroid, two(shape, 1, 0), let(_pair(_field("point")), lambda p: two(p, 0, 1)), named("lat", "long"), named("latitude", "longitude"), polygon_centre(_field("polygon")), let(_pair(F.regexp_replace(_field("circle"), r"\s.*$", "")), lambda p: two(p, 0, 1)))
+    told = F.coalesce(_field("warning_message", "description", "summary", "instruction"), F.concat(F.lit("NDMA SACHET alert for "), F.coalesce(area, F.lit("affected area"))))
+    advice = _field("instruction")
+    told = F.when(advice.isNotNull() & ~F.contains(told, advice), F.concat(told, F.lit("\n\nInstructions: "), advice)).otherwise(told)
+    title = F.coalesce(_field("headline", "title"), F.concat(F.lit("NDMA SACHET: "), hazard, F.lit(" in "), F.coalesce(area, F.lit("Affected Area"))))
+    spelled = lambda c: F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9]", "_"), "^_+|_+$", "")
+    own = F.regexp_replace(F.regexp_replace(_field("identifier", "guid", "id", "alert_id", "link"), r"[^a-zA-Z0-9_\-.]", "_"), "^_+|_+$", "")
+    made = F.concat_ws("-", spelled(F.upper(F.coalesce(area, F.lit("NATIONAL")))), spelled(start), spelled(F.upper(F.coalesce(_field("disaster_type", "event", "headline"), F.lit("ALERT")))))
+    level = _field("severity_color", "severity", "severity_level", "urgency", "color_code", "alert_level")
+    payload = F.to_json(F.struct(
+        title.alias("title"), told.alias("description"), at["lat"].alias("latitude"), at["lon"].alias("longitude"), area.alias("location_name"), met_severity(level).alias("severity"),
+        category(hazard, told).alias("category_code"), start.alias("occurred_at"), F.concat(F.lit("NDMA-"), F.coalesce(F.nullif(own, F.lit("")), made)).alias("external_id"),
+    ))
+    # Written once: the normaliser reads some thirty fields of a payload, and would build it for each.
+    rows = materialize(rows.select("feed", "position", "reason", F.when(F.col("reason").isNull(), payload).otherwise(F.col("record")).alias("payload")), "alerts")
+    unread = rows.where("reason is not null").select("feed", "position", "payload", F.lit(code).alias("source_code"), "reason")
+    good, bad = events(rows.where("reason is null").drop("reason"), code, now)
+    return good, unread.unionByName(bad, allowMissingColumns=True)
+
+
 # Event types and alert levels of the global alert feed.
 GLOBAL_TYPES = {"FL": "FLOOD_WATERLOGGING", "TC": "CYCLONE_STORM", "DR": "DROUGHT"}
 GLOBAL_LEVELS = {"red": "SEVERE", "orange": "HIGH", "green": "LOW", "3": "SEVERE", "2": "HIGH", "1": "LOW"}

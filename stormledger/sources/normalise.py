@@ -95,7 +95,7 @@ def plausible(c: Column, now: Column) -> Column:
 def events(raw: DataFrame, source_code: str, now: Column) -> tuple[DataFrame, DataFrame]:
     """(events, rejected) from rows (payload: JSON text): aliases of fields are tried in order.
 
-    Rejected rows keep their payload and say why.
+    Rejected rows keep their payload, and their feed and position if they have them, and say why.
     """
     get = lambda *paths: first_filled(*(F.get_json_object("payload", f"$.{p}") for p in paths))
     title = F.coalesce(get("title", "headline", "event_name", "summary"), F.lit(f"Weather event from {source_code}"))
@@ -109,4 +109,4 @@ def events(raw: DataFrame, source_code: str, now: Column) -> tuple[DataFrame, Da
     )
     why = F.when(F.col("lat").isNull() | F.col("lon").isNull(), "coordinates").when(F.col("occurred_at").isNull(), "occurred_at")
     rows = rows.withColumn("reason", why).drop("__when")
-    return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select("payload", "source_code", "reason")
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select(*(c for c in ("feed", "position") if c in raw.columns), "payload", "source_code", "reason")

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from stormledger.plans import catalogue, details  # noqa: F401
+from stormledger.plans import catalogue, details, feeds  # noqa: F401
 from stormledger.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
