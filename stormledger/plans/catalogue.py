@@ -681,6 +681,44 @@ def image_lookalikes(spark, sf_dir):
     return im.lookalikes(sha).select("a", "b", F.col("distance").cast("int").alias("distance"))
 
 
+_PICTURES = f"""p AS (SELECT vec_id AS k, vec_id * 7 % 1500 + 1 AS id, substr(sha256('scene ' || (vec_id // 5)), 1, 16) AS s FROM embeddings),
+ ph AS (SELECT k, p.id, CASE k % 5 WHEN 2 THEN substr(s, 1, 2) || '00' || substr(s, 5) WHEN 3 THEN substr(s, 1, 14) || '0f' WHEN 4 THEN '7' || substr(s, 2, 4) || '7' || substr(s, 7, 4) || '7' || substr(s, 12) ELSE s END AS h, lat, lon, occurred_at FROM p JOIN reports r ON r.id = p.id),
+ met AS (SELECT a.k, bool_or(abs(epoch(a.occurred_at) - epoch(b.occurred_at)) > 172800 OR {haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} > 50000) AS far FROM ph a JOIN ph b ON bit_count(xor(('0x' || a.h)::UBIGINT, ('0x' || b.h)::UBIGINT)) <= 10 GROUP BY 1),
+ chk AS (SELECT k, id, CASE WHEN k % 4 = 0 THEN 'NEUTRAL' WHEN abs(k * 13 % 60 - 30) <= 3 THEN 'SUPPORTS' WHEN abs(k * 13 % 60 - 30) > 24 THEN 'CONTRADICTS' ELSE 'NEUTRAL' END AS taken, CASE WHEN k % 6 = 0 THEN 'NEUTRAL' WHEN k * 11 % 70 <= 15 THEN 'SUPPORTS' WHEN k * 11 % 70 > 50 THEN 'CONTRADICTS' ELSE 'NEUTRAL' END AS place,
+  CASE WHEN far THEN 'CONTRADICTS' ELSE 'NEUTRAL' END AS reuse FROM ph JOIN met USING (k)),
+ n AS (SELECT *, (taken = 'CONTRADICTS')::INT + (place = 'CONTRADICTS')::INT + (reuse = 'CONTRADICTS')::INT AS c, (taken = 'SUPPORTS')::INT + (place = 'SUPPORTS')::INT AS u FROM chk),
+ fi AS (SELECT k AS image_id, id, reuse, CASE WHEN c > 0 THEN 'CONTRADICTS' WHEN u >= 2 THEN 'SUPPORTS' ELSE 'NEUTRAL' END AS verdict, CASE WHEN c > 0 THEN greatest(-0.03::DOUBLE * c, -0.05::DOUBLE) WHEN u >= 2 THEN least(0.015::DOUBLE * u, 0.05::DOUBLE) ELSE 0 END AS adjustment FROM n)"""
+
+
+def _pictures(spark, sf_dir):
+    """Pictures of reports: five of a scene, two of them with one content, one of these with a hash that could not be read, three edited ones."""
+    k, s = F.col("vec_id"), F.substring(F.sha2(F.concat(F.lit("scene "), F.floor(F.col("vec_id") / 5).cast("string")), 256), 1, 16)
+    cut = lambda a, n=16: F.substring(s, a, n)
+    edited = F.when(k % 5 == 2, F.concat(cut(1, 2), F.lit("00"), cut(5))).when(k % 5 == 3, F.concat(cut(1, 14), F.lit("0f"))).when(k % 5 == 4, F.concat(F.lit("7"), cut(2, 4), F.lit("7"), cut(7, 4), F.lit("7"), cut(12))).otherwise(s)
+    return table(spark, sf_dir, "embeddings").select(k.alias("image_id"), (k * 7 % 1500 + 1).alias("id"), F.sha2(edited, 256).alias("sha256"), F.when(k % 5 == 1, im.NO_HASH).otherwise(edited).alias("phash"))
+
+
+def _findings(spark, sf_dir):
+    k = F.col("image_id")
+    images = im.classes(_pictures(spark, sf_dir))
+    reports = dm.reports(spark, sf_dir)
+    reuse = im.reused(images, reports).withColumnRenamed("verdict", "reuse").join(reports.select("id", "occurred_at"), "id")
+    taken = F.when(k % 4 != 0, F.timestamp_seconds(F.unix_timestamp("occurred_at") + (k * 13 % 60 - 30) * 3600))
+    checks = F.array(im.time_check(taken, F.col("occurred_at")), im.place_check(F.when(k % 6 != 0, (k * 11 % 70).cast("double"))), F.col("reuse"))
+    return reuse.withColumn("v", im.verdict(checks)).select("image_id", "id", "reuse", "v.verdict", "v.adjustment")
+
+
+@query(f"WITH {_PICTURES} SELECT * FROM fi")
+def image_findings(spark, sf_dir):
+    """Reuse across reports over exact and near copies, the time and place of the picture's own data, and what they add up to."""
+    return _findings(spark, sf_dir)
+
+
+@query(f"WITH {_PICTURES} SELECT id, CASE WHEN bool_or(verdict = 'CONTRADICTS') THEN -0.05::DOUBLE WHEN bool_and(verdict = 'SUPPORTS') THEN 0.05::DOUBLE ELSE 0 END AS adjustment FROM fi GROUP BY 1")
+def image_adjustments(spark, sf_dir):
+    return im.report_adjustment(_findings(spark, sf_dir))
+
+
 @query("""WITH r AS (SELECT l.quality AS truth, CASE WHEN length(d.text) > 0 THEN length(regexp_replace(d.text, '[^A-Za-z]', '', 'g')) / CAST(length(d.text) AS DOUBLE) ELSE 0 END AS score FROM labels l JOIN documents d USING (doc_id) WHERE l.quality IS NOT NULL),
  c AS (SELECT th AS threshold, count(*) FILTER (score >= th AND truth = 1) AS tp, count(*) FILTER (score >= th AND truth <> 1) AS fp, count(*) FILTER (score < th AND truth = 1) AS fn, count(*) FILTER (score < th AND truth <> 1) AS tn FROM r, (SELECT unnest([0.5, 0.6, 0.7, 0.75, 0.8]::DOUBLE[]) AS th) GROUP BY 1)
  SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / CAST(tp + fp AS DOUBLE), 4) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / CAST(tp + fn AS DOUBLE), 4) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN round(2 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 4) ELSE 0 END AS f1 FROM c""")
