@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import duplicates as du
+from ..operators import evidence as ev
+from ..sources import exports as ex
 from ..sources import feeds as fe
 from ..sources.reader import register
 from ..storage import shared_dir
@@ -114,3 +117,97 @@ def feed_stream(spark, sf_dir):
     path = _alerts(spark, sf_dir)
     run_batches(spark.readStream.format("hazard_feed").load(path), lambda b, i: b.write.mode("overwrite").parquet(f"{path}-out/batch={i}"), f"{path}-checkpoint")
     return spark.read.parquet(f"{path}-out").groupBy(F.regexp_extract("feed", r"feed=0*(\d+)/", 1).cast("long").alias("feed"), "root").agg(F.count("*").alias("n"))
+
+
+# --- feeds whose records are rows already
+
+_STATIONS = ("Kol-1", " Sangam Bridge ", "-", "Ghat No. 4", "")
+_TIMES = ("08-01-2024 05:30", "2024-01-08T00:00:00Z", "soon")
+
+
+
+
+@query(f"""WITH r AS (SELECT event_id, trim({dm._sql_pick(_STATIONS, "event_id")}) AS s, event_id % 3 AS t, value FROM events)
+ SELECT event_id % 97 AS slot, CASE WHEN s IN ('', '-') THEN 'station' WHEN event_id % 13 = 0 THEN 'coordinates' WHEN t = 2 THEN 'observed_at' ELSE 'accepted' END AS reason, count(*) AS n,
+ max(CASE WHEN s NOT IN ('', '-') AND event_id % 13 <> 0 AND t <> 2 THEN 'CWC-' || CASE WHEN event_id % 4 = 0 THEN 'GEN' ELSE 'KRISHNAR' END || '-' || regexp_replace(upper(s), '[^A-Z0-9]', '', 'g') || '-202401080000' END) AS last_id,
+ round(sum(CASE WHEN s NOT IN ('', '-') AND event_id % 13 <> 0 AND t <> 2 AND event_id % 5 <> 0 THEN floor(value) END), 3) AS metres FROM r GROUP BY 1, 2""")
+def river_feed(spark, sf_dir):
+    """River telemetry: events as its records, accepted and rejected ones by reason, in slots of their ids."""
+    k = F.col("event_id")
+    raw = table(spark, sf_dir, "events").select(
+        k.alias("slot_of"), dm.pick(_STATIONS, k).alias("Station"), F.when(k % 4 == 0, " ").otherwise("Krishna R").alias("Basin"), F.when(k % 13 == 0, "95.0").otherwise("18.5").alias("Latitude"), F.lit("73.8").alias("Longitude"),
+        dm.pick(_TIMES, k).alias("Data Acquisition Time"), F.when(k % 5 == 0, "-").otherwise(F.floor("value").cast("string")).alias("River Water Level (meter)"), k.cast("string").alias("State"),
+    )
+    good = fe.river_levels(raw).select((F.col("raw_metrics.state").cast("long") % 97).alias("slot"), F.lit("accepted").alias("reason"), "external_id", "water_level_m")
+    bad = fe.river_levels(raw, rejected=True).select((F.get_json_object("payload", "$.slot_of").cast("long") % 97).alias("slot"), "reason", F.lit(None).cast("string").alias("external_id"), F.lit(None).cast("double").alias("water_level_m"))
+    return good.unionByName(bad).groupBy("slot", "reason").agg(F.count("*").alias("n"), F.max("external_id").alias("last_id"), F.round(F.sum("water_level_m"), 3).alias("metres"))
+
+
+@query(f"""SELECT 'http://news.example.com/a/' || doc_id AS url, sha256('http://news.example.com/a/' || doc_id) AS external_id, 'Doc & ' || doc_id AS title, 'news.example.com' AS publisher_domain, TIMESTAMP '{_AT}' + to_minutes(CAST(doc_id AS INTEGER)) AS published_at,
+ CAST(NULL AS VARCHAR) AS reason FROM documents WHERE doc_id % 6 <> 5 UNION ALL SELECT NULL, NULL, 'Doc &amp; <b>' || doc_id || '</b>', NULL, NULL, 'link' FROM documents WHERE doc_id % 6 = 5""")
+def news_feed(spark, sf_dir):
+    """News records of documents, accepted and rejected."""
+    k = F.col("doc_id")
+    raw = table(spark, sf_dir, "documents").select(
+        F.when(k % 6 == 5, F.lit("  ")).otherwise(_text("HTTP://News.Example.com/a/", k.cast("string"), "/?utm_source=x#top")).alias("url"), _text("Doc &amp; <b>", k.cast("string"), "</b>").alias("title"), F.lit("News.Example.com").alias("domain"),
+        F.date_format(dm.minutes_after(_AT, k), "yyyyMMdd'T'HHmmss'Z'").alias("seendate"), F.col("text").alias("excerpt"),
+    )
+    columns = ("url", "external_id", "title", "publisher_domain", "published_at")
+    bad = fe.news_articles(raw, rejected=True).select(*(F.lit(None).cast("string").alias(c) for c in columns[:2]), F.get_json_object("payload", "$.title").alias("title"), F.lit(None).cast("string").alias("publisher_domain"), F.lit(None).cast("timestamp").alias("published_at"), "reason")
+    return fe.news_articles(raw).select(*columns, F.lit(None).cast("string").alias("reason")).unionByName(bad)
+
+
+@query("""SELECT 'https://posts.example.org/@u/' || doc_id AS url, CASE WHEN doc_id % 3 = 0 THEN 'Short & clear ' || doc_id ELSE repeat('long ', 15) || 'lo...' END AS title, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'English' END AS language,
+ CASE WHEN doc_id % 4 = 0 THEN 'flood,ward' || doc_id % 6 ELSE '' END AS tags, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS media FROM documents WHERE doc_id % 7 <> 3""")
+def social_feed(spark, sf_dir):
+    """Public posts of documents with their tags and media."""
+    k = F.col("doc_id")
+    named = lambda c: F.struct(c.alias("name"))
+    raw = table(spark, sf_dir, "documents").select(
+        _text("https://Posts.Example.org/@u/", k.cast("string")).alias("url"), F.when(k % 3 == 0, _text("<p>Short &amp; clear ", k.cast("string"), "</p>")).otherwise(F.lit("<p>" + "long " * 40 + "</p>")).alias("content"),
+        F.when(k % 7 == 3, "private").otherwise("public").alias("visibility"), F.lit("2024-01-08T00:00:00Z").alias("created_at"), F.when(k % 2 == 0, F.col("lang")).otherwise(" ").alias("language"),
+        F.when(k % 4 == 0, F.array(named(F.lit("flood")), named(F.lit("")), named(_text("ward", (k % 6).cast("string"))))).alias("tags"),
+        F.when(k % 5 == 0, F.array(F.struct(F.lit("image").alias("type"), F.lit("p").alias("preview_url"), F.lit("u").alias("url"), F.lit(None).cast("string").alias("description"), F.lit(1).alias("size")))).alias("media_attachments"),
+    )
+    return fe.social_posts(raw).select("url", "title", "language", F.array_join("tags", ",").alias("tags"), F.size("media").alias("media"))
+
+
+# --- rules that had no query of their own
+
+
+@query("""WITH r AS (SELECT n AS cluster_id, id, occurred_at, credibility FROM reports), k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY occurred_at, credibility DESC, id) AS k, count(*) OVER (PARTITION BY cluster_id) AS members FROM r) SELECT cluster_id, id AS primary_id, members FROM k WHERE k = 1""")
+def cluster_primaries(spark, sf_dir):
+    reports = dm.reports(spark, sf_dir)
+    return du.primary(reports.select("id", F.col("n").alias("cluster_id")), reports)
+
+
+_KINDS = ("SUPPORTING", "RELATED", "IRRELEVANT")
+
+
+@query(f"""WITH l AS (SELECT DISTINCT l_orderkey AS id, l_linenumber AS evidence_id FROM lineitem), o AS (SELECT *, {dm._sql_pick(_KINDS, "id")} AS r0, (id % 10) / 10.0::DOUBLE AS s0, id % 7 = 0 AS h0 FROM l WHERE evidence_id <= 3), n AS (SELECT *, {dm._sql_pick(_KINDS, "id + evidence_id")} AS r1, (id % 9) / 9.0::DOUBLE AS s1 FROM l WHERE evidence_id >= 2)
+ SELECT id, evidence_id, CASE WHEN r1 IS NULL OR COALESCE(h0, false) THEN r0 ELSE r1 END AS relationship, round(CASE WHEN r1 IS NULL OR COALESCE(h0, false) THEN s0 ELSE s1 END, 4) AS overall, COALESCE(h0, false) AS override FROM o FULL JOIN n USING (id, evidence_id) WHERE r0 IS NOT NULL OR r1 <> 'IRRELEVANT'""")
+def link_upserts(spark, sf_dir):
+    """New decisions over stored links: a person's override stays, IRRELEVANT updates a link but makes none."""
+    k, e = F.col("id"), F.col("evidence_id")
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("evidence_id")).distinct()
+    old = links.where(e <= 3).select(k, e, dm.pick(_KINDS, k).alias("relationship"), (k % 10 / F.lit(10.0)).alias("overall"), (k % 7 == 0).alias("override"))
+    new = links.where(e >= 2).select(k, e, dm.pick(_KINDS, k + e).alias("relationship"), (k % 9 / F.lit(9.0)).alias("overall"))
+    return ev.upsert_links(old, new).withColumn("overall", F.round("overall", 4))
+
+
+_ERRORS = ("TIMEOUT", "CONNECTION", "RATE_LIMITED", "UNAVAILABLE", "INVALID", "NOT_FOUND")
+
+
+@query(f"""SELECT {dm._sql_pick(_ERRORS, "l_partkey")} AS error, l_linenumber AS attempt, l_partkey % 6 < 4 AND l_linenumber < 3 AS again, least(2.0::DOUBLE * pow(2, l_linenumber - 1), 60.0::DOUBLE) AS wait_s, count(*) AS n FROM lineitem GROUP BY ALL""")
+def retry_schedule(spark, sf_dir):
+    from ..streaming.jobs import backoff_seconds, may_retry
+
+    rows = table(spark, sf_dir, "lineitem").select(dm.pick(_ERRORS, F.col("l_partkey")).alias("error"), F.col("l_linenumber").alias("attempt"))
+    return rows.groupBy("error", "attempt", may_retry(F.col("error"), F.col("attempt")).alias("again"), backoff_seconds(F.col("attempt")).alias("wait_s")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CAST(id AS VARCHAR) AS id, tracking_id, category_code, severity, status, printf('%.2f', credibility) AS credibility, printf('%.6f', lat) AS lat, printf('%.6f', lon) AS lon, COALESCE(location_name, '') AS location_name, strftime(occurred_at, '%Y-%m-%dT%H:%M:%S') AS occurred_at, CASE WHEN is_demo THEN 'True' ELSE 'False' END AS is_demo
+ FROM incidents ORDER BY incidents.occurred_at DESC, incidents.id DESC LIMIT 50000""")
+def csv_export(spark, sf_dir):
+    """The export has its 50,000 rows at most."""
+    return ex.csv_rows(dm.incidents(spark, sf_dir))

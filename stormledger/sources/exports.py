@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rounding import fixed_places
+
 
 def csv_rows(df: DataFrame, limit: int = 50_000) -> DataFrame:
     """The rows of a CSV export: newest first, numbers with fixed decimals, empty text for nulls."""
     if not 1 <= limit <= 50_000:
         raise ValueError("a CSV export has 1 to 50000 rows")
     text = lambda c: F.coalesce(c, F.lit(""))
-    fixed = lambda c, n: text(F.when(F.col(c).isNotNull(), F.format_string(f"%.{n}f", c)))
+    fixed = lambda c, n: text(F.when(F.col(c).isNotNull(), fixed_places(F.col(c), n)))
     top = df.orderBy(F.col("occurred_at").desc(), F.col("id").desc()).limit(limit)
     return top.select(
         F.col("id").cast("string").alias("id"), "tracking_id", "category_code", "severity", "status", fixed("credibility", 2).alias("credibility"), fixed("lat", 6).alias("lat"), fixed("lon", 6).alias("lon"),

@@ -29,8 +29,21 @@ def _with(raw: DataFrame, *names: str) -> DataFrame:
     return raw.withColumns({n: F.lit(None).cast("string") for n in names if n not in raw.columns})
 
 
-def river_levels(raw: DataFrame) -> DataFrame:
-    """Observations from river telemetry; records without station, place or time are left out."""
+def _judged(rows: DataFrame, code: str, rejected: bool, **sound: Column) -> DataFrame:
+    """The rows (with ``payload``, their record as JSON) that pass each named test; or, ``rejected``, (source_code, payload, reason) of the others
+    with the first test that they fail. A test that is null is failed, so each record is in one of the two."""
+    reason = F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in sound.items()))
+    if rejected:
+        return rows.withColumn("reason", reason).where("reason is not null").select(F.lit(code).alias("source_code"), "payload", "reason")
+    return rows.where(reason.isNull()).drop("payload")
+
+
+def _payload(raw: DataFrame) -> Column:
+    return F.to_json(F.struct(*(F.col(f"`{c}`") for c in raw.columns))).alias("payload")
+
+
+def river_levels(raw: DataFrame, rejected: bool = False) -> DataFrame:
+    """Observations from river telemetry; records without station, place or time are ``rejected``."""
     levels = ("River Water Level Telemetry Hourly (meter)", "River Water Level (meter)", "water_level_m", "Water Level (m)")
     r = _with(raw, "Station", "Basin", "River", "District", "State", "Latitude", "Longitude", "Data Acquisition Time", *levels)
     basin = F.coalesce(F.nullif(_slug(F.col("Basin")), F.lit("")), F.lit("GEN"))
@@ -38,34 +51,49 @@ def river_levels(raw: DataFrame) -> DataFrame:
     local = F.to_utc_timestamp(F.try_to_timestamp(F.trim(at), F.lit("dd-MM-yyyy HH:mm")), "Asia/Kolkata")
     out = r.select(
         F.concat(F.lit("CWC-"), basin, F.lit("-"), _slug(F.col("Station"))).alias("station_code"), F.trim("Station").alias("station_name"), coordinate(F.col("Latitude"), 90.0).alias("lat"), coordinate(F.col("Longitude"), 180.0).alias("lon"),
-        F.coalesce(local, timestamp(at)).alias("observed_at"), _number(*levels).alias("water_level_m"), F.struct(F.col("River").alias("river"), F.col("Basin").alias("basin"), F.col("District").alias("district"), F.col("State").alias("state")).alias("raw_metrics"),
+        F.coalesce(local, timestamp(at)).alias("observed_at"), _number(*levels).alias("water_level_m"), F.struct(F.col("River").alias("river"), F.col("Basin").alias("basin"), F.col("District").alias("district"), F.col("State").alias("state")).alias("raw_metrics"), _payload(raw),
     )
-    named = F.col("station_name").isNotNull() & ~F.col("station_name").isin("", "-")
-    out = out.where(named & F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("observed_at").isNotNull())
-    return out.withColumn("external_id", F.concat_ws("-", "station_code", F.date_format("observed_at", "yyyyMMddHHmm")))
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    out = _judged(out, "CWC", rejected, station=~F.col("station_name").isin("", "-"), coordinates=placed, observed_at=F.col("observed_at").isNotNull())
+    return out if rejected else out.withColumn("external_id", F.concat_ws("-", "station_code", F.date_format("observed_at", "yyyyMMddHHmm")))
 
 
-def _evidence(rows: DataFrame, kind: str, title: Column, url: Column, publisher: Column, language: Column, published: Column, snippet: Column) -> DataFrame:
+def _evidence(rows: DataFrame, kind: str, title: Column, url: Column, publisher: Column, language: Column, published: Column, snippet: Column, *more: Column) -> DataFrame:
     link = canonical_url(url)
     return rows.select(
-        F.sha2(link, 256).alias("external_id"), F.lit(kind).alias("evidence_type"), title.alias("title"), link.alias("url"), publisher.alias("publisher_domain"), language.alias("language"), published.alias("published_at"), snippet.alias("text_snippet")
+        F.sha2(link, 256).alias("external_id"), F.lit(kind).alias("evidence_type"), title.alias("title"), link.alias("url"), publisher.alias("publisher_domain"), language.alias("language"), published.alias("published_at"), snippet.alias("text_snippet"), *more
     )
 
 
-def news_articles(raw: DataFrame) -> DataFrame:
-    """Evidence from news records with compact times (yyyyMMdd'T'HHmmss'Z'); records without a link are left out."""
-    r = _with(raw, "url", "title", "domain", "language", "seendate", "excerpt").where("trim(url) != ''")
+def news_articles(raw: DataFrame, rejected: bool = False) -> DataFrame:
+    """Evidence from news records with compact times (yyyyMMdd'T'HHmmss'Z'); records without a link are ``rejected``."""
+    r = _judged(_with(raw, "url", "title", "domain", "language", "seendate", "excerpt").withColumn("payload", _payload(raw)), "GDELT", rejected, link=F.trim("url") != "")
+    if rejected:
+        return r
     at = F.try_to_timestamp("seendate", F.lit("yyyyMMdd'T'HHmmss'Z'"))
     return _evidence(r, "NEWS_ARTICLE", clean_html(F.col("title")), F.col("url"), F.lower("domain"), F.col("language"), at, clean_html(F.col("excerpt")))
 
 
-def social_posts(raw: DataFrame) -> DataFrame:
-    """Evidence from public posts; the title is the text, cut at 77 characters if it has more than 80."""
-    r = _with(raw, "url", "content", "visibility", "created_at", "language").where("visibility = 'public'")
+#: What is kept of a post's media; the media itself isn't.
+MEDIA = ("type", "preview_url", "url", "description")
+
+
+def social_posts(raw: DataFrame, rejected: bool = False) -> DataFrame:
+    """Evidence from public posts, others are ``rejected``; the title is the text, cut at 77 characters if it has more than 80.
+
+    ``tags`` are the names in the post's array of that name, ``media`` what its ``media_attachments`` say of themselves; both empty without it.
+    """
+    r = _judged(_with(raw, "url", "content", "visibility", "created_at", "language").withColumn("payload", _payload(raw)), "MASTODON", rejected, visibility=F.col("visibility") == "public")
+    if rejected:
+        return r
     text = clean_html(F.col("content"))
     title = F.when(F.length(text) > 80, F.concat(F.substring(text, 1, 77), F.lit("..."))).otherwise(text)
     host = F.regexp_extract(F.lower("url"), r"^[a-z]+://([^/?#]+)", 1)
-    return _evidence(r, "SOCIAL_POST", title, F.col("url"), host, F.col("language"), timestamp(F.col("created_at")), text)
+    tags = F.filter(F.transform("tags", lambda t: t["name"]), lambda n: n != "") if "tags" in raw.columns else None
+    media = F.transform("media_attachments", lambda m: F.struct(*(m[f].alias(f) for f in MEDIA))) if "media_attachments" in raw.columns else None
+    none = F.from_json(F.lit("[]"), "array<string>"), F.from_json(F.lit("[]"), f"array<struct<{','.join(f'{f}:string' for f in MEDIA)}>>")
+    given = [(e if c is None else F.coalesce(c, e)).alias(n) for n, c, e in zip(("tags", "media"), (tags, media), none, strict=True)]
+    return _evidence(r, "SOCIAL_POST", title, F.col("url"), host, F.coalesce(F.nullif(F.trim("language"), F.lit("")), F.lit("English")), timestamp(F.col("created_at")), text, *given)
 
 
 def _record(raw: DataFrame) -> DataFrame:
@@ -189,13 +217,14 @@ def global_alerts(raw: DataFrame, country: str = "india") -> DataFrame:
     return out.where("lat between -90 and 90 and lon between -180 and 180")
 
 
-def met_warnings(raw: DataFrame) -> DataFrame:
-    """Events from a met office's district warnings, with an identity made of district, kind and time of issue."""
+def met_warnings(raw: DataFrame, rejected: bool = False) -> DataFrame:
+    """Events from a met office's district warnings, with an identity made of district, kind and time of issue; those without a place are ``rejected``."""
     r = _with(raw, "district", "warning_type", "color_code", "issue_time", "latitude", "longitude")
-    return r.select(
+    out = r.select(
         F.concat_ws("-", F.lit("IMD"), _slug(F.col("district")), _slug(F.col("warning_type")), F.date_format(timestamp(F.col("issue_time")), "yyyyMMddHHmm")).alias("external_id"), F.concat_ws(" warning for ", "warning_type", "district").alias("title"),
-        met_severity(F.col("color_code")).alias("severity"), category(F.col("warning_type"), F.col("warning_type")).alias("category_code"), coordinate(F.col("latitude"), 90.0).alias("lat"), coordinate(F.col("longitude"), 180.0).alias("lon"), timestamp(F.col("issue_time")).alias("occurred_at"),
-    ).where("lat is not null and lon is not null")
+        met_severity(F.col("color_code")).alias("severity"), category(F.col("warning_type"), F.col("warning_type")).alias("category_code"), coordinate(F.col("latitude"), 90.0).alias("lat"), coordinate(F.col("longitude"), 180.0).alias("lon"), timestamp(F.col("issue_time")).alias("occurred_at"), _payload(raw),
+    )
+    return _judged(out, "IMD", rejected, coordinates=F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
 HOURLY = ("precipitation", "temperature_2m", "relative_humidity_2m", "wind_speed_10m", "wind_direction_10m", "surface_pressure")

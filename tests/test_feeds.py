@@ -81,3 +81,20 @@ def test_stream_resumes(spark, tmp_path):
     go()
     go()
     assert [s for s in seen if s] == [["z.xml"], ["a.xml", "a.xml"]]
+
+
+def test_records_of_rows_are_accepted_or_rejected(spark):
+    river = spark.createDataFrame([("K", "1", "1", "02-01-2024 05:30"), (None, "1", "1", "02-01-2024 05:30"), ("K", None, "1", "02-01-2024 05:30"), ("K", "1", "1", None)], "Station string, Latitude string, Longitude string, `Data Acquisition Time` string")
+    assert fe.river_levels(river).count() == 1
+    bad = fe.river_levels(river, rejected=True).collect()
+    assert sorted(r["reason"] for r in bad) == ["coordinates", "observed_at", "station"] and {r["source_code"] for r in bad} == {"CWC"}
+    assert json.loads(next(r["payload"] for r in bad if r["reason"] == "coordinates")) == {"Station": "K", "Longitude": "1", "Data Acquisition Time": "02-01-2024 05:30"}
+    posts = spark.createDataFrame([("http://a/1", "x", "public", [("t",), ("",), (None,)]), ("http://a/2", "x", None, None)], "url string, content string, visibility string, tags array<struct<name:string>>")
+    (p,) = fe.social_posts(posts).collect()
+    assert (p["tags"], p["media"], p["language"]) == (["t"], [], "English")
+    assert [r["reason"] for r in fe.social_posts(posts, rejected=True).collect()] == ["visibility"]
+    news = spark.createDataFrame([(None, "t"), ("http://a/3", "t")], "url string, title string")
+    assert (fe.news_articles(news).count(), fe.news_articles(news, rejected=True).count()) == (1, 1)
+    met = spark.createDataFrame([("d", None), ("e", "18")], "district string, latitude string").withColumn("longitude", F.lit("73"))
+    assert (fe.met_warnings(met).count(), fe.met_warnings(met, rejected=True).count()) == (1, 1)
+    assert fe.river_levels(river.limit(0)).count() == fe.river_levels(river.limit(0), rejected=True).count() == 0

@@ -408,6 +408,19 @@ def test_exports(spark, tmp_path):
     assert f["geometry"]["type"] == "Point" and len(f["geometry"]["coordinates"]) == 2
 
 
+def test_fixed_places_print_like_python(spark):
+    import random
+
+    from stormledger.functions.rounding import fixed_places
+
+    rng = random.Random(3)
+    values = [0.345, 0.415, 0.125, 2.5, 0.5, 1.5, 0.0000005, 0.0000015, -0.345, -1.005, 179.9999995, 0.0] + [rng.randrange(10**7) / 10**7 for _ in range(300)] + [rng.randrange(1000) / 1000 for _ in range(300)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", *(fixed_places(F.col("v"), n).alias(f"p{n}") for n in (0, 2, 6))).collect()
+    clean = lambda t: t.lstrip("-") if float(t) == 0 else t  # noqa: E731 (a negative zero)
+    for r in got:
+        assert [clean(r[f"p{n}"]) for n in (0, 2, 6)] == [clean(f"{r['v']:.{n}f}") for n in (0, 2, 6)], r["v"]
+
+
 # --- percentiles, vectors, advisories, fingerprints
 
 
