@@ -211,3 +211,47 @@ def retry_schedule(spark, sf_dir):
 def csv_export(spark, sf_dir):
     """The export has its 50,000 rows at most."""
     return ex.csv_rows(dm.incidents(spark, sf_dir))
+
+
+_TYPES, _LEVELS = ("FL", "tc", "EQ"), ("Red", "Orange", "Purple")
+
+
+@query(f"""SELECT 'GDACS-' || upper({dm._sql_pick(_TYPES, "page_id")}) || '-' || page_id AS external_id, 'Event ' || page_id AS title, {dm._sql_pick(("FLOOD_WATERLOGGING", "CYCLONE_STORM", "OTHER"), "page_id")} AS category_code,
+ {dm._sql_pick(("SEVERE", "HIGH", "MODERATE"), "page_id // 3")} AS severity, 8 + page_id % 20 / 2.0::DOUBLE AS lat, 70 + page_id % 30 / 2.0::DOUBLE AS lon, TIMESTAMP '{_AT}' + to_minutes(CAST(page_id AS INTEGER)) AS occurred_at FROM pages WHERE page_id % 7 <> 4""")
+def global_feed(spark, sf_dir):
+    """Global alerts of pages under the five names of lists, as GeoJSON and plain, some of other countries."""
+    k = F.col("page_id")
+    lat, lon = (8 + k % 20 / F.lit(2.0)), (70 + k % 30 / F.lit(2.0))
+    named = [dm.pick(_TYPES, k).alias("eventtype"), _text("Event ", k.cast("string")).alias("name"), dm.pick(_LEVELS, F.floor(k / 3)).alias("alertlevel"), F.when(k % 7 == 4, "Indiana").otherwise("Nepal; India").alias("country"), F.date_format(dm.minutes_after(_AT, k), "yyyy-MM-dd'T'HH:mm:ss").alias("fromdate")]
+    feature = F.to_json(F.struct(F.struct(k.cast("string").alias("eventid"), *named).alias("properties"), F.struct(F.array(lon, lat).alias("coordinates")).alias("geometry")))
+    plain = F.to_json(F.struct(k.cast("string").alias("id"), *named, lat.alias("latitude"), lon.alias("longitude")))
+    doc = _text('{"', dm.pick(("features", "events", "items", "results", "data"), k), '":[', F.when(k % 2 == 0, feature).otherwise(plain), "]}")
+    return fe.global_alerts(table(spark, sf_dir, "pages").select(doc.alias("doc"))).select("external_id", "title", "category_code", "severity", "lat", "lon", "occurred_at")
+
+
+_WARNED = ("Heavy rain", "Hailstorm", "Dense fog")
+
+
+@query(f"""SELECT 'IMD-PUNE' || page_id || '-' || upper(replace({dm._sql_pick(_WARNED, "page_id")}, ' ', '')) || '-202401080530' AS external_id, {dm._sql_pick(_WARNED, "page_id")} || ' warning for Pune ' || page_id AS title,
+ {dm._sql_pick(("HIGH", "SEVERE", "LOW", "MODERATE"), "page_id")} AS severity, {dm._sql_pick(("HEAVY_RAINFALL", "HAILSTORM", "FOG"), "page_id")} AS category_code, TIMESTAMP '2024-01-08 05:30:00' AS occurred_at FROM pages WHERE page_id % 8 <> 5""")
+def met_feed(spark, sf_dir):
+    """District warnings of pages with colours and phrases, the longest known phrase inside counts; those without a place are left out."""
+    k = F.col("page_id")
+    raw = table(spark, sf_dir, "pages").select(
+        _text("Pune ", k.cast("string")).alias("district"), dm.pick(_WARNED, k).alias("warning_type"), dm.pick(("Amber", "very heavy at places", "Nil", "unheard of"), k).alias("color_code"), F.lit("2024-01-08T05:30:00Z").alias("issue_time"),
+        F.when(k % 8 == 5, "n/a").otherwise("18.5").alias("latitude"), F.lit("73.8").alias("longitude"),
+    )
+    return fe.met_warnings(raw).select("external_id", "title", "severity", "category_code", "occurred_at")
+
+
+@query("""SELECT 'City ' || c_custkey AS station_code, TIMESTAMP '2024-01-08 12:00:00' AS observed_at, (c_custkey + 12 - c_custkey % 6) % 50 / 10.0::DOUBLE AS precipitation, CAST(12 - c_custkey % 6 AS DOUBLE) AS temperature_2m FROM customer WHERE c_custkey % 8 <> 0""")
+def hourly_feed(spark, sf_dir):
+    """A day of hours for each customer's city from parallel arrays: the last hour that isn't after half past twelve; some begin later."""
+    k = F.col("c_custkey")
+    start = F.when(k % 8 == 0, F.lit(13)).otherwise((k % 6).cast("int"))
+    hours = F.sequence(F.lit(0), F.lit(23))
+    at = F.transform(hours, lambda h: F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(_AT).cast("timestamp")) + (start + h) * 3600), "yyyy-MM-dd'T'HH:mm"))
+    none = F.transform(hours, lambda h: F.lit(0.0))
+    arrays = {c: none for c in fe.HOURLY} | {"precipitation": F.transform(hours, lambda h: (k + h) % 50 / F.lit(10.0)), "temperature_2m": F.transform(hours, lambda h: h.cast("double"))}
+    raw = table(spark, sf_dir, "customer").select(_text("City ", k.cast("string")).alias("city"), F.lit(18.5).alias("lat"), F.lit(73.8).alias("lon"), F.struct(at.alias("time"), *(a.alias(c) for c, a in arrays.items())).alias("hourly"))
+    return fe.hourly_model(raw, F.lit("2024-01-08 12:30:00").cast("timestamp")).select("station_code", "observed_at", "precipitation", "temperature_2m")
