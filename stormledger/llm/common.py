@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize, shared_dir  # noqa: F401
+from ..storage import materialize, shared_dir, spread  # noqa: F401
 
 #: What separates words in every contract of this subpackage (Java and Python regex alike).
 BLANKS = r"[\x20\x09-\x0D]+"

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, spread
 
 BITS = 64
 
@@ -89,14 +89,14 @@ def bucketed(points: DataFrame, masks: list[int]) -> DataFrame:
     """(id, fp, t, key, n): each point in the bucket of every table, with the bucket's size; lone points are left out."""
     tables = points.select("id", "fp", F.posexplode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("t", "m")).select("id", "fp", "t", F.col("fp").bitwiseAND(F.col("m")).alias("key"))
     count = tables.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    return tables.join(count, ["t", "key"])
+    return tables.join(spread(count), ["t", "key"])
 
 
 def bucket_pairs(members: DataFrame, radius: int, *flags: str) -> DataFrame:
     """(t, u, v, fu, fv), u > v, and the flags of both: the pairs within the radius of each bucket. For buckets of a bounded size only."""
     side = lambda x: members.select("t", "key", F.col("id").alias(x), F.col("fp").alias(f"f{x}"), *(F.col(f).alias(f"{f}_{x}") for f in flags))
     near = F.bit_count(F.col("fu").bitwiseXOR(F.col("fv"))) <= radius
-    return side("u").join(side("v"), ["t", "key"]).where((F.col("u") > F.col("v")) & near).drop("key")
+    return side("u").join(spread(side("v")), ["t", "key"]).where((F.col("u") > F.col("v")) & near).drop("key")
 
 
 def flips(radius: int) -> list[int]:
@@ -130,7 +130,7 @@ def links_within(points: DataFrame, radius: int, masks: list[int], small: int =
         many = many.where(F.col("n") > middle)
     hot = many.select("id", "fp").distinct()
     low = named_values(hot, radius // 2).groupBy("value").agg(F.min("id").alias("v"))
-    stars = named_values(hot, radius - radius // 2).join(low, "value").where("id != v").select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v"))
+    stars = named_values(hot, radius - radius // 2).join(spread(low), "value").where("id != v").select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v"))
     return found.unionByName(stars).distinct()
 
 
@@ -150,7 +150,7 @@ def near_counts(points: DataFrame, masks: list[int], small: int = 64) -> DataFra
     pairs = flagged.where(~(F.col("hot_u") & F.col("hot_v")) & (F.col("t") == first)).select(F.explode(F.array("u", "v")).alias("id"))
     named = named_values(hot, 1)
     times = named.groupBy("value").agg(F.count("*").alias("k"))
-    hot_counts = named.join(times, "value").groupBy("id").agg(((F.sum("k") - 65) / 2).cast("long").alias("links"))
+    hot_counts = named.join(spread(times), "value").groupBy("id").agg(((F.sum("k") - 65) / 2).cast("long").alias("links"))
     cold_counts = pairs.groupBy("id").agg(F.count("*").alias("links"))
     return hot_counts.unionByName(cold_counts).groupBy("id").agg(F.sum("links").alias("links")).where("links > 0")
 
