@@ -232,8 +232,11 @@ HOURLY = ("precipitation", "temperature_2m", "relative_humidity_2m", "wind_speed
 
 def hourly_model(raw: DataFrame, now: Column) -> DataFrame:
     """Observations from parallel hourly arrays (city, lat, lon, hourly): of each city the last hour that isn't after ``now``."""
-    zipped = raw.select("city", "lat", "lon", F.explode(F.arrays_zip(*(F.col(f"hourly.{c}").alias(c) for c in ("time", *HOURLY)))).alias("h"))
-    rows = zipped.select("city", "lat", "lon", timestamp(F.col("h.time")).alias("observed_at"), *(F.col(f"h.{c}").cast("double").alias(c) for c in HOURLY)).where(F.col("observed_at") <= now)
+    # Each record is brought to its own last hour before any hours of a city meet, so nothing is exploded.
+    values = F.struct(*(F.get(F.col(f"hourly.{c}"), F.col("i")).cast("double").alias(c) for c in HOURLY))
+    times = F.transform("hourly.time", lambda t, i: F.struct(timestamp(t).alias("at"), (-i).alias("i")))
+    own = raw.select("city", "lat", "lon", "hourly", F.array_max(F.filter(times, lambda x: x["at"] <= now)).alias("x")).where("x is not null")
+    rows = own.select("city", "lat", "lon", F.col("x.at").alias("observed_at"), (-F.col("x.i")).alias("i"), "hourly").select("city", "lat", "lon", "observed_at", values.alias("v")).select("city", "lat", "lon", "observed_at", "v.*")
     last = F.max_by(F.struct("observed_at", "lat", "lon", *HOURLY), "observed_at")
     return rows.groupBy("city").agg(last.alias("x")).select(F.col("city").alias("station_code"), "x.*")
 
