@@ -6,6 +6,7 @@ allow goes to a side output with the reason. The state and the offsets are check
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +18,8 @@ from ..policy import TRANSITIONS
 CHANGE = "id long, seq long, at timestamp, new_status string, user_id long, notes string"
 ENTRY = f"{CHANGE}, previous_status string, processing_status string, applied boolean, reason string"
 FIRST = "PENDING"
+#: Groups of reports whose states are kept together: a call for each report of a batch would cost more than its changes.
+GROUPS = 4096
 # What a report's processing is after a change, and why a change isn't allowed.
 PROCESSING = {"VERIFIED": "COMPLETED", "REJECTED": "CLOSED", "DUPLICATE": "CLOSED", "UNDER_REVIEW": "IN_PROGRESS"}
 ENDED = "Cannot transition report from terminal state '{0}' to '{1}'. Terminal verification states (VERIFIED, REJECTED, DUPLICATE) cannot be modified."
@@ -33,15 +36,15 @@ def step(status: str, wanted: str | None) -> tuple[str, str, str | None]:
 
 
 def _apply(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """The changes of one report in a batch, in the order of their time and number."""
+    """The changes of one group of reports in a batch, each report's in the order of their time and number."""
     rows = pd.concat(list(frames)).sort_values(["at", "seq"], kind="stable", na_position="first")
-    status = state.get[0] if state.exists else FIRST
+    known = json.loads(state.get[0]) if state.exists else {}
     made = []
-    for wanted in rows["new_status"]:
-        after, clean, reason = step(status, wanted)
-        made.append((clean, status, PROCESSING.get(after) if reason is None else None, reason is None, reason))
-        status = after
-    state.update((status,))
+    for report, wanted in zip(map(str, rows["id"]), rows["new_status"], strict=True):
+        status = known.get(report, FIRST)
+        known[report], clean, reason = step(status, wanted)
+        made.append((clean, status, PROCESSING.get(known[report]) if reason is None else None, reason is None, reason))
+    state.update((json.dumps(known),))
     texts = ["new_status", "previous_status", "processing_status", "reason", "notes"]
     judged = pd.DataFrame(made, index=rows.index, columns=["new_status", "previous_status", "processing_status", "applied", "reason"])
     rows = rows.assign(**judged)[[c.split()[0] for c in ENTRY.split(", ")]]
@@ -55,7 +58,8 @@ def verified(changes: DataFrame) -> DataFrame:
     is judged by the status as it is then. Changes of no report are left out.
     """
     rows = changes.where(F.col("id").isNotNull()).selectExpr(*(c.split()[0] for c in CHANGE.split(", ")))
-    return rows.groupBy("id").applyInPandasWithState(_apply, ENTRY, "status string", "append", "NoTimeout")
+    rows = rows.withColumn("__group", F.pmod(F.xxhash64("id"), F.lit(GROUPS)))
+    return rows.groupBy("__group").applyInPandasWithState(_apply, ENTRY, "statuses string", "append", "NoTimeout")
 
 
 def outputs(path: str):
