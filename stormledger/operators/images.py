@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
 from ..policy import POLICY, Policy
-from ..storage import materialize
+from ..storage import materialize, spread
 
 
 def from_hex(h: Column) -> Column:
@@ -84,7 +84,7 @@ def near_classes(classed: DataFrame, policy: Policy = POLICY) -> DataFrame:
     keyed = one.select("h", "v", F.explode(keys).alias("key"))
     a, b = (keyed.select("key", F.col("h").alias(n), F.col("v").alias(f"v{n}")) for n in "ab")
     distance = F.bit_count(F.col("va").bitwiseXOR(F.col("vb")))
-    return a.join(b, "key").where((F.col("a") < F.col("b")) & (distance <= policy.image_hamming)).select("a", "b", distance.alias("distance")).distinct()
+    return a.join(spread(b), "key").where((F.col("a") < F.col("b")) & (distance <= policy.image_hamming)).select("a", "b", distance.alias("distance")).distinct()
 
 
 def _unit(lat: str, lon: str) -> dict[str, Column]:
@@ -100,26 +100,26 @@ def reused(classed: DataFrame, reports: DataFrame, policy: Policy = POLICY) -> D
     those of its near classes. A report far from one of them is settled, and so is one whose distance to the corners of their box is small enough;
     only reports in between meet the distinct points of their classes.
     """
-    placed = materialize(classed.where("class_id is not null").join(reports.select("id", "lat", "lon", F.unix_timestamp("occurred_at").alias("t")), "id").select("image_id", "id", "class_id", "lat", "lon", "t"), "images")
+    placed = materialize(classed.where("class_id is not null").join(spread(reports.select("id", "lat", "lon", F.unix_timestamp("occurred_at").alias("t"))), "id").select("image_id", "id", "class_id", "lat", "lon", "t"), "images")
     unit = _unit("lat", "lon")
     outer = [f(F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct(unit[c].alias("v"), "lat", "lon"))).alias(f"{n}_{c}") for c in _AXES for n, f in (("low", F.min), ("high", F.max))]
     own = materialize(placed.groupBy("class_id").agg(F.min("t").alias("t_low"), F.max("t").alias("t_high"), *outer), "image-classes")
     near = materialize(near_classes(placed, policy).select("a", "b"), "image-links")
     links = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(own.select(F.col("class_id").alias("a"), F.col("class_id").alias("b")))
     edges = [c for c in own.columns if c != "class_id"]
-    reach = links.join(own, F.col("b") == F.col("class_id")).groupBy(F.col("a").alias("class_id")).agg(*((F.min if "low" in c else F.max)(c).alias(c) for c in edges))
+    reach = links.join(spread(own), F.col("b") == F.col("class_id")).groupBy(F.col("a").alias("class_id")).agg(*((F.min if "low" in c else F.max)(c).alias(c) for c in edges))
     far_time = ((F.col("t") - F.col("t_low")) > policy.evidence_window_s) | ((F.col("t_high") - F.col("t")) > policy.evidence_window_s)
     far_place = reduce(or_, (F.coalesce(haversine_m("lat", "lon", f"{n}_{c}.lat", f"{n}_{c}.lon") > policy.image_far_m, F.lit(False)) for c in _AXES for n in ("low", "high")))
     corner = reduce(add, (F.pow(F.greatest(F.abs(unit[c] - F.col(f"low_{c}.v")), F.abs(unit[c] - F.col(f"high_{c}.v"))), 2) for c in _AXES))
     # A hair less than the square of the chord of 50 km, so that rounding settles nothing.
     chord = (2 * math.sin(policy.image_far_m / policy.earth_radius_m / 2)) ** 2 * (1 - 1e-9)
     far = F.coalesce(far_time, F.lit(False)) | far_place
-    state = placed.join(reach, "class_id").select("image_id", "id", "class_id", "lat", "lon", far.alias("far"), (~far & F.coalesce(corner > chord, F.lit(False))).alias("open"))
+    state = placed.join(spread(reach), "class_id").select("image_id", "id", "class_id", "lat", "lon", far.alias("far"), (~far & F.coalesce(corner > chord, F.lit(False))).alias("open"))
     state = materialize(state, "image-reach")
     points = placed.where("lat is not null and lon is not null").select(F.col("class_id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")).distinct()
     asked = state.where("open").select(F.col("class_id").alias("a"), "lat", "lon").distinct()
     hit = asked.join(links, "a").join(points, "b").where(haversine_m("lat", "lon", "lat2", "lon2") > policy.image_far_m).select(F.col("a").alias("class_id"), "lat", "lon").distinct().withColumn("hit", F.lit(True))
-    return state.join(hit, ["class_id", "lat", "lon"], "left").select("image_id", "id", F.when(F.col("far") | F.coalesce("hit", F.lit(False)), "CONTRADICTS").otherwise("NEUTRAL").alias("verdict"))
+    return state.join(spread(hit), ["class_id", "lat", "lon"], "left").select("image_id", "id", F.when(F.col("far") | F.coalesce("hit", F.lit(False)), "CONTRADICTS").otherwise("NEUTRAL").alias("verdict"))
 
 
 def time_check(taken: Column, claimed: Column) -> Column:
