@@ -51,3 +51,71 @@ def test_hours_are_not_exploded(spark):
     from stormledger.plans.feeds import hourly_feed
 
     assert "Generate" not in plan(hourly_feed(spark, SF))
+
+
+def test_stations_are_read_up_to_the_cap(spark, monkeypatch):
+    """Two hundred stations in one place: a report meets no more of them than it needs, and goes on where the first ones have no reading in time."""
+    from stormledger.operators import observations as ob
+
+    met, join = [], ob.latest_before
+    monkeypatch.setattr(ob, "latest_before", lambda left, *rest: (met.append(left.count()), join(left, *rest))[1])
+    report = spark.sql("SELECT 1L AS id, 18.5D AS lat, 73.8D AS lon, TIMESTAMP '2024-01-08 12:00:00' AS occurred_at")
+    k = F.col("id")
+    late = lambda first: F.expr("TIMESTAMP '2024-01-08 12:00:00'") + F.when(k < first, F.expr("INTERVAL 3 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS"))
+    stations = lambda first: spark.range(200).select(k.alias("obs_id"), F.lit("CWC").alias("source_id"), k.alias("station"), late(first).alias("observed_at"), F.lit(1.0).alias("level_m"), F.lit(18.5).alias("lat"), F.lit(73.8).alias("lon"))
+    found = lambda first: sorted(r["station"] for r in ob.candidates(report, stations(first)).collect())
+    assert found(0) == list(range(50)) and sum(met) < 100
+    assert found(120) == list(range(120, 170)) and found(180) == list(range(180, 200))
+
+
+def test_state_of_a_group_of_reports():
+    """One call judges the reports of a group apart from one another, and goes on from the kept state."""
+    import pandas as pd
+
+    from stormledger.streaming import verification as ve
+
+    class State:
+        kept = None
+        exists = property(lambda self: self.kept is not None)
+        get = property(lambda self: self.kept)
+
+        def update(self, value):
+            self.kept = value
+
+    rows = lambda *wanted: pd.DataFrame([(i, n, pd.Timestamp("2024-01-08"), w, 7, "x") for n, (i, w) in enumerate(wanted)], columns=["id", "seq", "at", "new_status", "user_id", "notes"])
+    state, said = State(), []
+    for batch in (rows((1, "VERIFIED"), (2, "UNDER_REVIEW")), rows((1, "REJECTED"), (2, "REJECTED"))):
+        said += [list(zip(x["id"], x["previous_status"], x["applied"], strict=True)) for x in ve._apply((0,), iter([batch]), state)]
+    assert said == [[(1, "PENDING", True), (2, "PENDING", True)], [(1, "VERIFIED", False), (2, "UNDER_REVIEW", True)]]
+
+
+def test_batches_of_many_files(spark):
+    import glob
+    import os
+
+    from stormledger.storage import shared_dir
+    from stormledger.streaming import jobs
+
+    folders = lambda: set(glob.glob(f"{shared_dir(spark)}/stream-*/in"))
+    before = folders()
+    jobs.stream_dead_letter(spark, SF)
+    (new,) = folders() - before
+    assert len([f for f in os.listdir(new) if f.endswith(".parquet")]) > 2
+
+
+def test_an_incident_that_goes_on_alerts_whom_it_has_not_reached(spark, tmp_path):
+    from stormledger.streaming.jobs import alert_once
+
+    users = spark.createDataFrame([(i, 18.0 + i / 20, 73.0 + i / 30) for i in range(40)], "user_id long, rlat double, rlon double")
+    points = [(n, 18.0 + n * 0.3 + j * 0.09, 73.0 + n * 0.2 + j * 0.07, j) for n in range(6) for j in range(3)]
+    each = alert_once(users, 25_000, f"{tmp_path}/seen", f"{tmp_path}/out")
+    for j in (0, 1, 1, 2):  # a batch that runs twice
+        each(spark.createDataFrame([p[:3] for p in points if p[3] == j], "n long, lat double, lon double"), j)
+    got = sorted((r["user_id"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    from math import asin, cos, radians, sin, sqrt
+
+    def metres(a, b, c, d):
+        a, b, c, d = map(radians, (a, b, c, d))
+        return 2 * 6_371_000 * asin(sqrt(sin((c - a) / 2) ** 2 + cos(a) * cos(c) * sin((d - b) / 2) ** 2))
+
+    assert got == sorted({(u, n) for u, y, x in users.collect() for n, lat, lon, _ in points if metres(lat, lon, y, x) <= 25_000})
