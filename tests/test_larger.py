@@ -119,3 +119,24 @@ def test_an_incident_that_goes_on_alerts_whom_it_has_not_reached(spark, tmp_path
         return 2 * 6_371_000 * asin(sqrt(sin((c - a) / 2) ** 2 + cos(a) * cos(c) * sin((d - b) / 2) ** 2))
 
     assert got == sorted({(u, n) for u, y, x in users.collect() for n, lat, lon, _ in points if metres(lat, lon, y, x) <= 25_000})
+
+
+def test_texts_do_not_travel_to_the_gazetteer(spark):
+    """The planner knows the starting gazetteer's size. Where a gazetteer is not broadcast, rows without a name don't meet in one task, and only texts with an ambiguous name travel."""
+    from stormledger.operators import location as lo
+
+    rows = spark.range(400).select("id", F.when(F.col("id") % 10 == 0, "flood in Rajpur, Chhattisgarh").otherwise("nothing is named here").alias("body"))
+    assert "SortMergeJoin" not in plan(lo.locate(rows, lo.gazetteer(spark)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        names = spark.createDataFrame([("pune", 1)], "__k string, n int")
+        met = lo.named(rows.withColumn("name", F.lit(None).cast("string")), names, "name", "id")
+        assert met.where("n is null").count() == 400
+        parts = met.withColumn("part", F.spark_partition_id()).groupBy("part").count()
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert parts.count() == 4
+        found = lo.locate(rows, lo.gazetteer(spark)).groupBy("place_name").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted((str(r[0]), r[1]) for r in found) == [("None", 360), ("Rajpur (Balrampur)", 40)]
