@@ -140,3 +140,17 @@ def test_texts_do_not_travel_to_the_gazetteer(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sorted((str(r[0]), r[1]) for r in found) == [("None", 360), ("Rajpur (Balrampur)", 40)]
+
+
+def test_word_parts_are_found_in_one_pass(spark):
+    """An automaton reads a text once for all word parts; it finds what a search for each of them finds, parts of one another included."""
+    from stormledger.operators import evidence as ev
+
+    texts = ["", "No truth in FLOODING claims from Nepal, floodings", "heatwave and drought; waterlogging", "flash flood inundation near a cricket match", "rumours of Nepali rain", "debunked: review meeting", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "evidence_id long, text string")
+    told = ev.read_texts(rows, ("HEATWAVE", "HEAVY_RAINFALL", "OTHER"))
+    assert "lambdafunction" not in told._jdf.queryExecution().optimizedPlan().toString()
+    flags = {r["evidence_id"]: (r["contextual"], r["denied"], r["abroad"]) for r in told.collect()}
+    assert flags == {0: (False,) * 3, 1: (False, True, True), 2: (False,) * 3, 3: (False,) * 3, 4: (False,) * 3, 5: (True, True, False), 6: (False,) * 3}
+    each = rows.select("evidence_id", *(ev.relevance(F.col("text"), F.lit(c)).alias(c) for c in ("HEATWAVE", "HEAVY_RAINFALL", "OTHER")))
+    assert {r["evidence_id"]: r["relevant"] for r in told.collect()} == {r[0]: {"HEATWAVE": r[1], "HEAVY_RAINFALL": r[2], "OTHER": r[3]} for r in each.collect()}
