@@ -154,3 +154,14 @@ def test_word_parts_are_found_in_one_pass(spark):
     assert flags == {0: (False,) * 3, 1: (False, True, True), 2: (False,) * 3, 3: (False,) * 3, 4: (False,) * 3, 5: (True, True, False), 6: (False,) * 3}
     each = rows.select("evidence_id", *(ev.relevance(F.col("text"), F.lit(c)).alias(c) for c in ("HEATWAVE", "HEAVY_RAINFALL", "OTHER")))
     assert {r["evidence_id"]: r["relevant"] for r in told.collect()} == {r[0]: {"HEATWAVE": r[1], "HEAVY_RAINFALL": r[2], "OTHER": r[3]} for r in each.collect()}
+
+
+def test_stages_do_not_broadcast_reports(spark):
+    """What a stage returns, and what passed it before, has a row for each report."""
+    from stormledger.streaming.jobs import run_stages
+
+    batch = spark.range(30).select("id")
+    done = batch.where("id % 3 = 0").select("id", F.lit("A").alias("stage"), F.lit("SUCCESS").alias("status"))
+    out = run_stages(batch, done, {"A": lambda df: df.select("id", (F.col("id") != 4).alias("ok")), "B": lambda df: df.where("id > 5").select("id", F.lit(True).alias("ok"))})
+    assert "BroadcastHashJoin" not in plan(out)
+    assert sorted((r["stage"], r["status"], r["count"]) for r in out.groupBy("stage", "status").count().collect()) == [("A", "FAILED", 1), ("A", "SKIPPED", 10), ("A", "SUCCESS", 19), ("B", "FAILED", 6), ("B", "SUCCESS", 24)]
