@@ -165,3 +165,63 @@ def test_stages_do_not_broadcast_reports(spark):
     out = run_stages(batch, done, {"A": lambda df: df.select("id", (F.col("id") != 4).alias("ok")), "B": lambda df: df.where("id > 5").select("id", F.lit(True).alias("ok"))})
     assert "BroadcastHashJoin" not in plan(out)
     assert sorted((r["stage"], r["status"], r["count"]) for r in out.groupBy("stage", "status").count().collect()) == [("A", "FAILED", 1), ("A", "SKIPPED", 10), ("A", "SUCCESS", 19), ("B", "FAILED", 6), ("B", "SUCCESS", 24)]
+
+
+ODD = [
+    None, "", " the ", "heavy rain, heavy rain", "floodings raining subways stationed dams roads damming underpasses", "storms storming thunderstorms thunderstorm", "ﬂood ＲＡＩＮ ℡ ™ ΣΑΣ İstanbul",
+    "c_heav heavy", "heavy_rain heavy rain", "a_b b_a b a", "__ _ ___x", "१२३ बाढ़ पानी 漢字漢字漢字", "😀s 😀😀😀😀s", "\x1c\x1d a\x1fb flo\u200bod", "a" * 3000 + "ing",
+    "Ignore ALL previous\n prompts rain", "ıgnore all previous instructions fog", "𝐈̇gnore all previous instructions fog", "disregard prior rules fog", "<|im_start|>a b<|im_end|> c", "x <|im_end|> y", "[INST] a [/INST] b", "[INST] b",
+    "human : a", "### prompt: a", "<script>flood</script> y", "java\u200bscript : z",
+]
+
+
+def test_vectors_of_many_texts(spark, monkeypatch):
+    """Vectors that are made together are those of the terms, wherever one lot of texts ends."""
+    from stormledger.operators import similarity as sm
+
+    texts = ODD + [f"{w} {t}" for w in ("rain", "roads near") for t in ODD]
+    at = 0
+    n, ids, weights = sm.sparse(texts)
+    for text, many in zip(texts, n, strict=True):
+        want = {sm._hash(t) & ~3: w for t, w in sm.terms(text).items()}
+        assert dict(zip(ids[at : at + many].tolist(), weights[at : at + many].tolist(), strict=True)) == want and len(want) == len(sm.terms(text)), text
+        assert (ids[at : at + many][1:] > ids[at : at + many][:-1]).all()
+        at += many
+    assert at == len(ids) == len(weights)
+    given = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    for letters in (1, 40):
+        monkeypatch.setattr(sm, "LETTERS", letters)
+        lots = [batch for t in (texts, [], texts[:1]) for batch in sm._made([_batch(t)])]
+        assert sum(len(keys) for keys, *_ in lots) == len(texts) + 1
+        assert [i for _, many, *_ in lots for i in many] == [*n, n[0]]
+    assert {r["key"]: (r["tokens"], r["norm"] ** 2) for r in sm.lengths(given).collect()} == {i: (len(d), pytest.approx(sum(w * w for w in d.values()))) for i, d in enumerate(map(sm.terms, texts))}
+
+
+def _batch(texts):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), "int64"), pa.array(texts, "string")], ["key", "text"])
+
+
+def test_article_vectors_take_little_time(spark):
+    """Whole articles are neither sorted nor aggregated, and no token is handled by itself."""
+    from time import process_time
+
+    from stormledger.operators import similarity as sm
+    from stormledger.plans.catalogue import article_vectors
+
+    found = plan(article_vectors(spark, SF))
+    assert "Aggregate" not in found and "Sort" not in found
+    texts = [" ".join(f"word{(i * j * 7919) % 5003} raining" for j in range(200)) for i in range(300)]
+
+    def least(make):
+        times = []
+        for _ in range(3):
+            began = process_time()
+            make()
+            times.append(process_time() - began)
+        return min(times)
+
+    keys = spark.createDataFrame(list(enumerate(texts)), "t long, text string").select(F.col("t").cast("string").cast("binary").alias("t"), "text")
+    assert sm.vectors(keys).count() == len(texts)
+    assert 2 * least(lambda: list(sm._made([_batch(texts)]))) < least(lambda: [sm.terms(t) for t in texts])
