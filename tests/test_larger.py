@@ -225,3 +225,18 @@ def test_article_vectors_take_little_time(spark):
     keys = spark.createDataFrame(list(enumerate(texts)), "t long, text string").select(F.col("t").cast("string").cast("binary").alias("t"), "text")
     assert sm.vectors(keys).count() == len(texts)
     assert 2 * least(lambda: list(sm._made([_batch(texts)]))) < least(lambda: [sm.terms(t) for t in texts])
+
+
+def test_texts_meet_all_stations_in_reach(spark):
+    """Two hundred stations in one place, and more than a cap of them in reach of one text; a reading counts up to the edge of a report's window, and not between two windows."""
+    from stormledger.operators import observations as ob
+
+    at = lambda hours: F.expr("TIMESTAMP '2024-01-08 00:00:00'") + F.make_dt_interval(F.lit(0), hours)
+    k = F.col("id")
+    reports = spark.createDataFrame([(1, "a", 18.5, 0), (2, "a", 18.501, 20), (3, "a", 18.5, 96), (4, None, 18.5, 0), (5, "b", 20.0, 0)], "id long, title string, lat double, h int")
+    reports = reports.select("id", "title", "lat", F.lit(73.8).alias("lon"), at(F.col("h")).alias("occurred_at"))
+    stations = spark.range(200).select(k.alias("obs_id"), k.alias("station"), F.lit("Mula").alias("river"), at((k % 130).cast("int") - 30).alias("observed_at"), F.lit(1.0).alias("level_m"), (18.5 + (k % 3) / 1000.0).alias("lat"), F.lit(73.8).alias("lon"))
+    got = {(r["title"], r["station"]) for r in ob.told_stations(reports, stations, ["title"], ["river"]).collect()}
+    hour = {s: s % 130 - 30 for s in range(200)}
+    assert got == {(t, s) for t, hours in (("a", (0, 20, 96)), (None, (0,))) for s, h in hour.items() if any(abs(h - x) <= 24 for x in hours)}
+    assert len(got) > 200
