@@ -288,3 +288,19 @@ def test_weighing_is_compiled(spark):
     rows = spark.createDataFrame([], types)
     code = spark._jvm.PythonSQLUtils.explainString(ob.judged(rows)._jdf.queryExecution(), "codegen")
     assert all(int(n) < 8000 for n in re.findall(r"maxMethodCodeSize:(\d+)", code))
+
+
+def test_users_of_one_place_are_tested_once(spark, tmp_path, monkeypatch):
+    from stormledger.streaming import jobs
+
+    users = spark.range(200).select((F.col("id") % 100 + F.when(F.col("id") >= 100, 5000).otherwise(0)).alias("c_custkey"))
+    users.write.parquet(f"{tmp_path}/customer.parquet")
+    spark.read.parquet(f"{SF}/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
+    met, make = [], jobs.alert_once
+    monkeypatch.setattr(jobs, "alert_once", lambda people, *rest: (met.append(people.count()), make(people, *rest))[1])
+    got = sorted((r["user_id"], r["n"]) for r in jobs.proximity_alerts(spark, str(tmp_path)).collect())
+    assert met == [100]
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(con.sql(jobs.ORACLES["proximity_alerts"]).fetchall()) and got
