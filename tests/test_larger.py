@@ -304,3 +304,18 @@ def test_users_of_one_place_are_tested_once(spark, tmp_path, monkeypatch):
     for t in ("customer", "orders"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert got == sorted(con.sql(jobs.ORACLES["proximity_alerts"]).fetchall()) and got
+
+
+def test_duplicates_are_ranked_where_they_meet(spark):
+    """No pair is shuffled to be ranked or scored, and scores equal those of pairs that are given."""
+    from stormledger.operators import duplicates as du
+    from stormledger.plans import domain as dm
+
+    reports = dm.reports(spark, SF).withColumn("locality", F.lit(None).cast("string")).drop("city").withColumn("city", F.lit(None).cast("string"))
+    pairs = du.candidates(reports)
+    assert plan(pairs).count("Exchange hashpartitioning") == 2
+    made = du.scored(reports)
+    assert plan(made).count("Exchange hashpartitioning") == 2
+    rows = lambda df: sorted((r["a"], r["b"], round(r["similarity"], 9), round(r["overall"], 9), r["decision"]) for r in df.collect())
+    assert rows(made) == rows(du.score(pairs, reports)) and made.count() > 100
+    assert sorted(map(tuple, du.best_earlier(made).collect())) == sorted(map(tuple, du.best_earlier(made, reports).collect()))
